@@ -17,6 +17,12 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Note on lambdas: Catalyst inlines projected columns into later projections, so a lambda
+# that refers to a row-level value computed outside it (a norm, a weight array) would
+# recompute that value for every element. Every lambda below refers to lambda variables
+# only; row-level values enter through ``zip_with`` against ``array_repeat``.
+
+
 def as_double(v) -> Column:
     return F.transform(_col(v), lambda x: x.cast("double"))
 
@@ -32,20 +38,27 @@ def l2_norm(v) -> Column:
 
 
 def scale(v, s) -> Column:
-    return F.transform(as_double(v), lambda x: x * s)
+    """Multiply every element by the row-level scalar ``s``."""
+    v = as_double(v)
+    return F.zip_with(v, F.array_repeat(_col(s) if isinstance(s, str) else s, F.size(v)), lambda x, y: x * y)
+
+
+def multiply(a, b) -> Column:
+    return F.zip_with(as_double(a), as_double(b), lambda x, y: x * y)
 
 
 def l2_normalize(v, zero_norm_divisor: float | None = None) -> Column:
     """Unit vector. ``zero_norm_divisor=None`` leaves a zero vector unchanged."""
+    v = as_double(v)
     n = l2_norm(v)
     div = F.when(n > 0, n).otherwise(F.lit(1.0 if zero_norm_divisor is None else zero_norm_divisor))
-    return F.transform(as_double(v), lambda x: x / div)
+    return F.zip_with(v, F.array_repeat(div, F.size(v)), lambda x, y: x / y)
 
 
 def weighted_normalize(v, weights: Sequence[float] | Column) -> Column:
     """VEC1: element-wise weights, then L2 normalise (zero norm -> unchanged)."""
     w = weights if isinstance(weights, Column) else F.array(*[F.lit(float(x)) for x in weights])
-    return l2_normalize(F.zip_with(as_double(v), w, lambda x, y: x * y))
+    return l2_normalize(multiply(v, w))
 
 
 def block_weights(layout: VectorLayout, weights: Sequence[float] | Column | None = None) -> Column:
@@ -55,12 +68,15 @@ def block_weights(layout: VectorLayout, weights: Sequence[float] | Column | None
     return F.array(*[F.lit(float(x)) for x in w])
 
 
+def expand_blocks(per_block: Column, block_dim: int) -> Column:
+    """[w1, w2, ...] -> [w1 x d, w2 x d, ...] (one entry per vector element)."""
+    return F.flatten(F.transform(per_block, lambda x: F.array_repeat(x, block_dim)))
+
+
 def block_weighted_normalize(v, layout: VectorLayout, weights: Sequence[float] | Column | None = None) -> Column:
     """VEC2: multiply block i by weight i, flatten, L2 normalise (norm 0 -> divide by 1)."""
     w = block_weights(layout, weights)
-    d = layout.block_dim
-    scaled = F.transform(as_double(v), lambda x, i: x * F.element_at(w, (F.floor(i / d) + 1).cast("int")))
-    return l2_normalize(scaled, zero_norm_divisor=1.0)
+    return l2_normalize(multiply(v, expand_blocks(w, layout.block_dim)), zero_norm_divisor=1.0)
 
 
 def block_mask(v, layout: VectorLayout) -> Column:
@@ -74,12 +90,12 @@ def block_mask(v, layout: VectorLayout) -> Column:
 
 def masked_query_weights(mask: Column, layout: VectorLayout, exponent: float = 2.0) -> tuple[Column, Column]:
     """VEC3: effective weights ``w*m/W_A`` and confidence ``W_A**exponent``.
-    All perspectives missing -> plain weights ``w/Σw`` and confidence 0."""
+    All perspectives missing -> plain weights ``w/sum(w)`` and confidence 0."""
     raw = [float(x) for x in layout.weights]
     total = sum(raw) or 1.0
-    w_a = F.aggregate(F.zip_with(block_weights(layout), mask, lambda w, m: w * m), F.lit(0.0),
-                      lambda acc, x: acc + x)
-    eff = F.when(w_a > 0, F.zip_with(block_weights(layout), mask, lambda w, m: w * m / w_a)) \
+    wm = F.zip_with(block_weights(layout), mask, lambda w, m: w * m)
+    w_a = F.aggregate(wm, F.lit(0.0), lambda acc, x: acc + x)
+    eff = F.when(w_a > 0, F.zip_with(wm, F.array_repeat(w_a, len(raw)), lambda x, y: x / y)) \
         .otherwise(F.array(*[F.lit(x / total) for x in raw]))
     conf = F.when(w_a > 0, F.pow(w_a, F.lit(exponent))).otherwise(F.lit(0.0))
     return eff, conf
@@ -87,10 +103,8 @@ def masked_query_weights(mask: Column, layout: VectorLayout, exponent: float = 2
 
 def masked_query_vector(v, mask: Column, eff_weights: Column, layout: VectorLayout) -> Column:
     """Zero missing blocks, scale by effective weights, flatten, L2 normalise (norm>0)."""
-    d = layout.block_dim
     factor = F.zip_with(mask, eff_weights, lambda m, w: m * w)
-    scaled = F.transform(as_double(v), lambda x, i: x * F.element_at(factor, (F.floor(i / d) + 1).cast("int")))
-    return l2_normalize(scaled)
+    return l2_normalize(multiply(v, expand_blocks(factor, layout.block_dim)))
 
 
 def cosine(a, b) -> Column:
