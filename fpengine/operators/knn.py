@@ -118,17 +118,19 @@ def exact_range_pairs(points: DataFrame, radius: float, *, id_col: str = "id", v
     nb = max(math.ceil(n / points_per_block), min(floor_blocks, max(1, n // 256)))
     base = points.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_v")) \
         .withColumn("_blk", F.pmod(F.xxhash64("_id"), F.lit(nb)))
-    left = base.withColumnRenamed("_blk", "_a").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    right = base.withColumnRenamed("_blk", "_b").withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    left = base.select(F.col("_id").alias("_ida"), F.col("_v").alias("_va"), F.col("_blk").alias("_a")) \
+        .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    right = base.select(F.col("_id").alias("_idb"), F.col("_v").alias("_vb"), F.col("_blk").alias("_b")) \
+        .withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
     r2 = float(radius) ** 2
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"src": [], "dst": [], "dist": []})
-        am = np.vstack(a["_v"].to_numpy()).astype(np.float64)
-        bm = np.vstack(b["_v"].to_numpy()).astype(np.float64)
-        aid = a["_id"].to_numpy().astype(np.int64)
-        bid = b["_id"].to_numpy().astype(np.int64)
+        am = np.vstack(a["_va"].to_numpy()).astype(np.float64)
+        bm = np.vstack(b["_vb"].to_numpy()).astype(np.float64)
+        aid = a["_ida"].to_numpy().astype(np.int64)
+        bid = b["_idb"].to_numpy().astype(np.int64)
         an = (am * am).sum(1)
         out_s, out_d, out_x = [], [], []
         for start in range(0, len(bid), chunk_rows):

@@ -31,3 +31,62 @@ def ml7(spark, sf_dir):
     vocab = FT.tfidf_fit(docs, "doc_id", "text", TFIDF_VOCAB_DEFAULT)
     out = FT.tfidf_transform(docs, "doc_id", "text", vocab)
     return out.select(F.col("doc_id").cast("long"), "term", F.round("tfidf", 6).alias("tfidf"))
+
+
+# ---------------------------------------------------------------- clustering
+from ..operators import cluster as CL  # noqa: E402
+
+ML1_EPS = 1.2
+ML1_MIN_SAMPLES = 5
+
+
+def ml1_assign(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return CL.dbscan(emb, eps=ML1_EPS, min_samples=ML1_MIN_SAMPLES, min_cluster_size=20)
+
+
+@register("ML1_density_clusters")
+def ml1(spark, sf_dir):
+    """Distributed DBSCAN* over the embedding vectors (checked against brute force in tests)."""
+    return ml1_assign(spark, sf_dir).select(F.col("id").cast("long").alias("vec_id"), "cluster", "is_core")
+
+
+@register("AGG4_cluster_stats")
+def agg4(spark, sf_dir):
+    a = ml1_assign(spark, sf_dir).withColumn("device_type", F.lit("embeddings"))
+    return CL.cluster_stats(a)
+
+
+@register("ML6_nearest_centroid", """
+WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT label, i, avg(e[i]) AS m FROM x, range(1, 65) r(i) GROUP BY label, i),
+c AS (SELECT label AS nearest, list(m ORDER BY i) AS centroid FROM u GROUP BY label),
+d AS (SELECT x.vec_id, c.nearest, sqrt(list_sum(list_transform(x.e, lambda a, i: (a - c.centroid[i]) * (a - c.centroid[i])))) AS distance
+      FROM x, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, nearest) AS rk FROM d)
+SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(nearest AS INTEGER) AS nearest, round(distance, 6) AS distance FROM r WHERE rk = 1
+""")
+def ml6(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    cents = CL.centroids(emb, "label", "embedding")
+    res = CL.nearest_centroid(emb, cents, "vec_id", "embedding", "label")
+    return res.select(F.col("vec_id").cast("long"), F.col("nearest").cast("int"), F.round("distance", 6).alias("distance"))
+
+
+@register("VEC10_pca")
+def vec10(spark, sf_dir):
+    """Centred PCA of the embedding vectors to 16 components (sign of components is free)."""
+    emb = table(spark, sf_dir, "embeddings")
+    proj, _ = CL.pca_project(emb, "vec_id", "embedding", 16)
+    return proj.select(F.col("vec_id").cast("long"), F.size("pca").alias("dims"),
+                       F.round(F.aggregate("pca", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sq_norm"))
+
+
+@register("ML2_kmeans_codes")
+def ml2(spark, sf_dir):
+    """K-means (k=6, seed 42) on the dense codes of brand and size."""
+    from ..operators import windows as W
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    coded, _ = W.dense_codes(part, "p_brand", out="brand_code")
+    coded = coded.withColumn("brand_code", F.col("brand_code").cast("double")).withColumn("size", F.col("p_size").cast("double"))
+    return CL.kmeans_codes(coded, "p_partkey", ["brand_code", "size"], 6)
