@@ -4,6 +4,7 @@ VEC11, VEC12). Joins replace a graph database; no graph library is needed."""
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,51 +59,68 @@ def _subset_keys(arr: str, subsets) -> Column:
 def shared_feature_neighbors(devices: DataFrame, id_col: str, feature_cols: Sequence[str], seeds: DataFrame,
                              *, q: int = 1, k: int = 5, type_col: str | None = None,
                              query_col: str = "query_id", seed_col: str = "seed_id",
-                             salt_buckets: int = 4) -> DataFrame:
+                             salt_buckets: int = 1) -> DataFrame:
     """JN8: for each query, devices sharing more than ``q`` feature nodes with one of its
     seeds; per neighbour the best count over the seeds; seeds themselves excluded; the
     ``k`` best by (shared desc, id asc).
 
     Exact without a feature self-join: a device has one node per feature column, so two
-    devices sharing at least ``t = q+1`` nodes agree on at least one ``t``-subset of
-    columns. Each device emits one key per ``t``-subset; seeds are joined to devices on
-    those keys, and the exact shared count is then computed from the two value arrays.
-    A hub value (say a blank held by a third of all devices) only produces a pair when
-    ``t`` columns agree at once. Keys are additionally salted so that a hot key is spread
-    over ``salt_buckets`` tasks (the seed side is replicated per salt), and AQE's skew
-    join splits what remains.
+    devices sharing ``s >= t = q+1`` nodes agree on exactly ``C(s, t)`` of the
+    ``t``-subsets of columns and on none when ``s < t``. Each device emits one key per
+    ``t``-subset; seeds are joined to devices on those keys, the matches are counted per
+    (query, seed, device) with map-side partial aggregation, and ``s`` is read back from
+    the count. A hub value (say a blank held by a third of all devices) only produces a
+    candidate when ``t`` columns agree at once.
+
+    Skew: AQE's skew join splits any join partition that a hot key makes oversized (it
+    replicates the matching side only for that partition). ``salt_buckets > 1`` salts all
+    keys explicitly as well (device side spread over buckets, seed side replicated).
     """
     n_feat = len(feature_cols)
     t = q + 1
     spark = devices.sparkSession
-    vals = F.array(*[feature_value(c) for c in feature_cols])
-    dev = devices.select(F.col(id_col).alias("_id"), vals.alias("_f"),
-                         (F.col(type_col).cast("string") if type_col else F.lit(None).cast("string")).alias("device_type"))
     out_schema = (f"{query_col} {seeds.schema[query_col].dataType.simpleString()}, neighbor_id "
                   f"{devices.schema[id_col].dataType.simpleString()}, device_type string, shared_count long, rank int")
     if t > n_feat:
         return spark.createDataFrame([], out_schema)
     subsets = list(itertools.combinations(range(n_feat), t))
-    dev_keys = dev.select("_id", "_f", "device_type", F.explode(_subset_keys("_f", subsets)).alias("_k")) \
-        .withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salt_buckets)))
+    vals = F.array(*[feature_value(c) for c in feature_cols])
+    dev = devices.select(F.col(id_col).alias("_id"), vals.alias("_f"),
+                         (F.col(type_col).cast("string") if type_col else F.lit(None).cast("string")).alias("device_type"))
+    dev_keys = dev.select("_id", "device_type", F.explode(_subset_keys("_f", subsets)).alias("_k"))
     seed_rows = seeds.select(F.col(query_col), F.col(seed_col).alias("_sid")).distinct()
-    seed_keys = (seed_rows.join(dev.select(F.col("_id").alias("_sid"), F.col("_f").alias("_sf")), "_sid")
-                 .select(query_col, "_sid", "_sf", F.explode(_subset_keys("_sf", subsets)).alias("_k"))
-                 .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1)))))
-    cand = (seed_keys.join(dev_keys, ["_k", "_salt"])
-            .where(F.col("_id") != F.col("_sid"))
-            .select(query_col, "_sid", F.col("_id").alias("neighbor_id"), "device_type", "_sf", "_f")
-            .dropDuplicates([query_col, "_sid", "neighbor_id"]))
-    shared = F.size(F.filter(F.zip_with("_sf", "_f", lambda a, b: a == b), lambda x: x))
-    scored = cand.select(query_col, "neighbor_id", "device_type", shared.cast("long").alias("shared_count")) \
-        .where(F.col("shared_count") > q)
-    best = scored.groupBy(query_col, "neighbor_id").agg(F.max("shared_count").alias("shared_count"),
-                                                        F.first("device_type").alias("device_type"))
+    # Shared counts are a property of the (seed, device) pair, not of the query: compute them
+    # once over the distinct seeds.
+    seed_ids = seed_rows.select("_sid").distinct()
+    seed_keys = seed_ids.join(dev_keys.select(F.col("_id").alias("_sid"), "_k"), "_sid")
+    if salt_buckets > 1:
+        dev_keys = dev_keys.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salt_buckets)))
+        seed_keys = seed_keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+        on = ["_k", "_salt"]
+    else:
+        on = ["_k"]
+    matches = (seed_keys.join(dev_keys.drop("device_type"), on).where(F.col("_id") != F.col("_sid"))
+               .groupBy("_sid", "_id").agg(F.count(F.lit(1)).alias("_m")))
+    # C(s, t) -> s for s = t..n_feat
+    inverse = F.create_map(*[x for s_ in range(t, n_feat + 1) for x in (F.lit(math.comb(s_, t)), F.lit(s_))])
+    pairs = matches.select("_sid", F.col("_id").alias("neighbor_id"),
+                           F.element_at(inverse, F.col("_m")).cast("long").alias("shared_count"))
+    # Exact pruning: if x is in a query's final top-k with its best count from seed S, every
+    # device ranked above x in S's own list is either a seed of the query or ranks above x
+    # in the final list too; so x lies within the top (k + n_seeds(query)) of S's list.
+    n_seeds = seed_rows.groupBy(query_col).agg(F.count(F.lit(1)).alias("_ns"))
+    max_seeds = n_seeds.agg(F.max("_ns")).first()[0] or 0
+    per_seed = Window.partitionBy("_sid").orderBy(F.col("shared_count").desc(), F.col("neighbor_id").asc())
+    seed_top = pairs.withColumn("_r", F.row_number().over(per_seed)).where(F.col("_r") <= k + max_seeds)
+    fan = (seed_rows.join(n_seeds, query_col).join(seed_top, "_sid")
+           .where(F.col("_r") <= k + F.col("_ns")).select(query_col, "neighbor_id", "shared_count"))
+    best = fan.groupBy(query_col, "neighbor_id").agg(F.max("shared_count").alias("shared_count"))
     not_seed = best.join(seed_rows.select(query_col, F.col("_sid").alias("neighbor_id")),
                          [query_col, "neighbor_id"], "left_anti")
     w = Window.partitionBy(query_col).orderBy(F.col("shared_count").desc(), F.col("neighbor_id").asc())
-    return (not_seed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select(query_col, "neighbor_id", "device_type", "shared_count", "rank"))
+    top = not_seed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    types = dev.select(F.col("_id").alias("neighbor_id"), "device_type")
+    return top.join(types, "neighbor_id", "left").select(query_col, "neighbor_id", "device_type", "shared_count", "rank")
 
 
 def community_layer(assign: DataFrame, devices: DataFrame, *, perspective: str | None = None
