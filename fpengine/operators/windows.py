@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _PID_SHIFT = 1 << 33  # monotonically_increasing_id() = partition_id << 33 | row index
 
 
@@ -42,6 +44,10 @@ def distributed_row_number(df: DataFrame, by: Sequence[str], order: Sequence, ou
     ranged = df.repartitionByRange(n_part, *sort_cols).sortWithinPartitions(*sort_cols)
     x = (ranged.withColumn("_pid", F.spark_partition_id())
          .withColumn("_loc", F.monotonically_increasing_id() - F.col("_pid").cast("long") * F.lit(_PID_SHIFT)))
+    # Range boundaries come from a sample whose rows depend on the input order; after a
+    # shuffle that order can differ between two evaluations, so the numbered frame is
+    # materialised once (reliable checkpoint) and both branches read the same rows.
+    x = cut_lineage(x)
     stats = x.groupBy("_pid", *by).agg(F.min("_loc").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -112,3 +118,30 @@ def batch_ids(df: DataFrame, by: Sequence[str], order: Sequence, size: int, out:
     """WIN7: fixed-size batches, batch = floor((row_number - 1) / size) per key."""
     numbered = distributed_row_number(df, by, order, out="_rn")
     return numbered.withColumn(out, F.floor((F.col("_rn") - 1) / size)).drop("_rn")
+
+
+def next_match(df: DataFrame, by: Sequence[str], order: Sequence, predicate: Column, value: Column,
+               out: str, num_partitions: int | None = None) -> DataFrame:
+    """JN17: for every row, ``value`` of the first *later* row (same ``by`` key, in
+    ``order``) for which ``predicate`` holds; null when there is none.
+
+    Distributed forward as-of: rows are range-partitioned on (by, order); inside a
+    partition a reversed running frame gives the nearest later match (groups bounded by
+    the partition); a small per-(partition, key) table carries the first match of every
+    later partition backwards."""
+    spark = df.sparkSession
+    n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sort_cols = _cols(by) + _cols(order)
+    x = (df.withColumn("_mv", F.when(predicate, value))
+         .repartitionByRange(n_part, *sort_cols).sortWithinPartitions(*sort_cols)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_loc", F.monotonically_increasing_id() - F.col("_pid").cast("long") * F.lit(_PID_SHIFT)))
+    x = cut_lineage(x)  # see distributed_row_number
+    later = Window.partitionBy("_pid", *by).orderBy(F.col("_loc").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    local = x.withColumn("_local", F.last("_mv", ignorenulls=True).over(later))
+    firsts = x.where(F.col("_mv").isNotNull()).groupBy("_pid", *by).agg(F.min_by("_mv", "_loc").alias("_first"))
+    carry_w = Window.partitionBy(*by).orderBy(F.col("_pid").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    keys = x.select("_pid", *by).distinct().join(firsts, ["_pid", *by], "left")
+    carry = keys.withColumn("_carry", F.last("_first", ignorenulls=True).over(carry_w)).select("_pid", *by, "_carry")
+    res = _null_safe_join(local, carry, ["_pid", *by])
+    return res.withColumn(out, F.coalesce("_local", "_carry")).drop("_mv", "_pid", "_loc", "_local", "_carry")
