@@ -59,7 +59,7 @@ def _subset_keys(arr: str, subsets) -> Column:
 def shared_feature_neighbors(devices: DataFrame, id_col: str, feature_cols: Sequence[str], seeds: DataFrame,
                              *, q: int = 1, k: int = 5, type_col: str | None = None,
                              query_col: str = "query_id", seed_col: str = "seed_id",
-                             salt_buckets: int = 1) -> DataFrame:
+                             salt_buckets: int = 1, exclude: DataFrame | None = None) -> DataFrame:
     """JN8: for each query, devices sharing more than ``q`` feature nodes with one of its
     seeds; per neighbour the best count over the seeds; seeds themselves excluded; the
     ``k`` best by (shared desc, id asc).
@@ -108,15 +108,19 @@ def shared_feature_neighbors(devices: DataFrame, id_col: str, feature_cols: Sequ
     # Exact pruning: if x is in a query's final top-k with its best count from seed S, every
     # device ranked above x in S's own list is either a seed of the query or ranks above x
     # in the final list too; so x lies within the top (k + n_seeds(query)) of S's list.
-    n_seeds = seed_rows.groupBy(query_col).agg(F.count(F.lit(1)).alias("_ns"))
+    # excluded neighbours per query: its seeds, plus ``exclude`` (query_col, neighbor_id)
+    excl = seed_rows.select(query_col, F.col("_sid").alias("neighbor_id"))
+    if exclude is not None:
+        excl = excl.unionByName(exclude.select(query_col, "neighbor_id")).distinct()
+    n_excl = excl.groupBy(query_col).agg(F.count(F.lit(1)).alias("_ns"))
+    n_seeds = n_excl
     max_seeds = n_seeds.agg(F.max("_ns")).first()[0] or 0
     per_seed = Window.partitionBy("_sid").orderBy(F.col("shared_count").desc(), F.col("neighbor_id").asc())
     seed_top = pairs.withColumn("_r", F.row_number().over(per_seed)).where(F.col("_r") <= k + max_seeds)
-    fan = (seed_rows.join(n_seeds, query_col).join(seed_top, "_sid")
+    fan = (seed_rows.join(n_seeds, query_col, "left").na.fill(0, ["_ns"]).join(seed_top, "_sid")
            .where(F.col("_r") <= k + F.col("_ns")).select(query_col, "neighbor_id", "shared_count"))
     best = fan.groupBy(query_col, "neighbor_id").agg(F.max("shared_count").alias("shared_count"))
-    not_seed = best.join(seed_rows.select(query_col, F.col("_sid").alias("neighbor_id")),
-                         [query_col, "neighbor_id"], "left_anti")
+    not_seed = best.join(excl, [query_col, "neighbor_id"], "left_anti")
     w = Window.partitionBy(query_col).orderBy(F.col("shared_count").desc(), F.col("neighbor_id").asc())
     top = not_seed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     types = dev.select(F.col("_id").alias("neighbor_id"), "device_type")

@@ -144,3 +144,178 @@ SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(label AS INTEGER) AS label,
   CAST(len(centroid) AS INTEGER) AS dim
 FROM j
 """)(_vec_distances)
+
+
+# ---------------------------------------------------------------- RT2 / RT3 / RT6 / SET7
+from ..operators import cluster as CL  # noqa: E402
+from ..operators import graph as G  # noqa: E402
+from .reg_aggregate import SINGLE_SQL, overall_clusters, single_clusters  # noqa: E402
+from .retrieve import community_retrieval, reasoning_paths, single_cluster_centroids, unseen_indicators  # noqa: E402
+
+
+def _hits(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    hits = local_retrieval(emb, emb, query_id="vec_id", corpus_id="vec_id", k=K, payload=("label",), exclude_self=True)
+    return emb, hits
+
+
+def _reports(emb):
+    """Cluster report stand-in: clusters with at least 50 members carry a summary text."""
+    return emb.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 50).select(
+        F.lit("embeddings").alias("device_type"), F.col("label").alias("cluster"),
+        F.concat(F.lit("cluster "), F.col("label").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" devices")).alias("report"))
+
+
+_CENT_SQL = """
+xv AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings),
+cu AS (SELECT label, i, avg(e[i]) AS m FROM xv, range(1, 65) r(i) GROUP BY label, i),
+cents AS (SELECT label AS cluster, list(m ORDER BY i) AS centroid FROM cu GROUP BY label)"""
+
+
+@register("RT2_community_retrieval", f"""
+WITH {_PREP_SQL}, {_CENT_SQL},
+rel AS (SELECT query_id, neighbor_label AS cluster, list(neighbor_id ORDER BY neighbor_id) AS ips, count(*) AS n FROM hits GROUP BY 1, 2),
+rep AS (SELECT label AS cluster, 'cluster ' || CAST(label AS VARCHAR) || ': ' || CAST(count(*) AS VARCHAR) || ' devices' AS report
+        FROM embeddings GROUP BY label HAVING count(*) >= 50),
+j AS (SELECT rel.query_id, rel.cluster, rel.ips, rel.n, list_cosine_similarity(xv.e, cents.centroid) AS similarity,
+             coalesce(rep.report, 'No report available') AS report
+      FROM rel JOIN xv ON xv.vec_id = rel.query_id JOIN cents USING (cluster) LEFT JOIN rep USING (cluster))
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(cluster AS INTEGER) AS cluster,
+       array_to_string(list_transform(ips, lambda v: CAST(v AS VARCHAR)), ',') AS related_ips, CAST(n AS BIGINT) AS n_related,
+       round(similarity, 6) AS similarity, report,
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, cluster) AS BIGINT) AS rank
+FROM j
+""")
+def rt2(spark, sf_dir):
+    emb, hits = _hits(spark, sf_dir)
+    assign = emb.select(F.col("vec_id").alias("neighbor_id"), F.lit("embeddings").alias("device_type"),
+                        F.col("label").alias("cluster"))
+    cents = CL.centroids(emb, "label", "embedding").select(F.lit("embeddings").alias("device_type"),
+                                                           F.col("label").alias("cluster"), "centroid")
+    q = emb.select(F.col("vec_id").alias("query_id"), "embedding")
+    r = community_retrieval(hits, q, assign, cents, _reports(emb))
+    return r.select(F.col("query_id").cast("long"), F.col("cluster").cast("int"),
+                    F.array_join(F.transform("related_ips", lambda v: v.cast("string")), ",").alias("related_ips"),
+                    F.col("n_related").cast("long"), F.round("similarity", 6).alias("similarity"), "report",
+                    F.col("rank").cast("long"))
+
+
+_PATH_SQL = f"""
+single AS ({SINGLE_SQL}),
+mcount AS (SELECT perspective, count(DISTINCT cluster) AS M FROM single GROUP BY 1),
+rel AS (SELECT query_id, CAST(neighbor_id AS VARCHAR) AS ip, neighbor_label AS overall_cluster FROM hits),
+cnt AS (SELECT r.query_id, r.overall_cluster, s.perspective, s.cluster, count(*) AS n_c
+        FROM rel r JOIN single s USING (ip) WHERE s.cluster <> -1 GROUP BY 1, 2, 3, 4),
+w AS (SELECT *, n_c / sum(n_c) OVER (PARTITION BY query_id, overall_cluster, perspective) AS w FROM cnt),
+ent AS (SELECT query_id, overall_cluster, perspective, sum(CASE WHEN w > 0 THEN -w * ln(w) ELSE 0 END) AS H FROM w GROUP BY 1, 2, 3),
+en AS (SELECT e.*, CASE WHEN mc.M > 1 THEN H / ln(mc.M) ELSE 0.0 END AS norm FROM ent e JOIN mcount mc USING (perspective)),
+imp AS (SELECT *, CASE WHEN sum(1 - norm) OVER (PARTITION BY query_id, overall_cluster) > 0
+                       THEN (1 - norm) / sum(1 - norm) OVER (PARTITION BY query_id, overall_cluster) ELSE 1 - norm END AS importance,
+               norm < 0.1 AS is_important FROM en),
+xv AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings),
+pofs AS (SELECT * FROM (VALUES ('sw', 0), ('hw', 16), ('hfavicons', 32), ('certificate', 48)) t(perspective, off)),
+mem AS (SELECT s.perspective, s.cluster, p.off, xv.e FROM single s JOIN pofs p USING (perspective)
+        JOIN xv ON CAST(xv.vec_id AS VARCHAR) = s.ip WHERE s.cluster <> -1),
+repu AS (SELECT perspective, cluster, i, avg(e[off + i]) AS mm FROM mem, range(1, 17) r(i) GROUP BY 1, 2, 3),
+reps AS (SELECT perspective, cluster, list(mm ORDER BY i) AS rep FROM repu GROUP BY 1, 2),
+det AS (SELECT w.query_id, w.overall_cluster, w.perspective, w.cluster, w.w, imp.importance, imp.is_important,
+               list_cosine_similarity(xq.e[p.off + 1:p.off + 16], reps.rep) AS sim
+        FROM w JOIN imp USING (query_id, overall_cluster, perspective) JOIN reps USING (perspective, cluster)
+        JOIN pofs p USING (perspective) JOIN xv xq ON xq.vec_id = w.query_id),
+feat AS (SELECT query_id, overall_cluster, perspective, sum(w * sim) AS fs, any_value(importance) AS S
+         FROM det WHERE is_important GROUP BY 1, 2, 3),
+paths AS (SELECT query_id, overall_cluster, sum(S * fs) AS path_score, count(*) AS n_important FROM feat GROUP BY 1, 2),
+rpaths AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path_score DESC, overall_cluster) AS rank FROM paths)"""
+
+
+def _paths(spark, sf_dir):
+    emb, hits = _hits(spark, sf_dir)
+    single = single_clusters(spark, sf_dir)
+    overall = overall_clusters(spark, sf_dir).select("ip", "overall_cluster")
+    reps = single_cluster_centroids(emb, single, "vec_id", "embedding")
+    q = emb.select(F.col("vec_id").alias("query_id"), "embedding")
+    paths, details = reasoning_paths(hits, q, overall, single.drop("device_type"), reps)
+    return hits, paths, details
+
+
+@register("RT3_reasoning_paths", f"""
+WITH {_PREP_SQL}, {_PATH_SQL}
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(overall_cluster AS INTEGER) AS overall_cluster,
+       round(path_score, 6) AS path_score, CAST(n_important AS BIGINT) AS n_important, CAST(rank AS BIGINT) AS rank
+FROM rpaths
+""")
+def rt3(spark, sf_dir):
+    _, paths, _ = _paths(spark, sf_dir)
+    return paths.select(F.col("query_id").cast("long"), F.col("overall_cluster").cast("int"),
+                        F.round("path_score", 6).alias("path_score"), F.col("n_important").cast("long"), F.col("rank").cast("long"))
+
+
+def _r4(x: str) -> str:
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE)"
+
+
+@register("RT6_unseen_indicators", f"""
+WITH {_PREP_SQL}, {_PATH_SQL},
+best AS (SELECT query_id, max(CASE WHEN rank = 1 THEN path_score END) AS bp, max(CASE WHEN rank = 2 THEN path_score END) AS sp,
+                count(*) AS nca FROM rpaths GROUP BY 1),
+loc AS (SELECT query_id, max(CASE WHEN rk = 1 THEN raw_score * conf END) AS top_sim FROM hits GROUP BY 1),
+dom AS (SELECT query_id, arg_min(neighbor_label, (-n, neighbor_label)) AS most_common, max(n) / sum(n) AS ratio, count(*) AS diversity
+        FROM (SELECT query_id, neighbor_label, count(*) AS n FROM hits WHERE rk <= 5 GROUP BY 1, 2) GROUP BY 1),
+persp AS (SELECT query_id, perspective, max(sim) AS best_sim, max(CAST(is_important AS INTEGER)) AS key FROM det GROUP BY 1, 2),
+keys AS (SELECT query_id, coalesce(avg(best_sim) FILTER (WHERE key = 1 AND best_sim > 0), 0.0) AS kavg,
+                coalesce(min(best_sim) FILTER (WHERE key = 1 AND best_sim > 0), 0.0) AS kmin FROM persp GROUP BY 1),
+a AS (SELECT loc.query_id, loc.top_sim, dom.most_common, dom.ratio, dom.diversity, coalesce(best.bp, 0.0) AS bp, best.sp,
+             coalesce(keys.kavg, 0.0) AS kavg, coalesce(keys.kmin, 0.0) AS kmin
+      FROM loc LEFT JOIN dom USING (query_id) LEFT JOIN best USING (query_id) LEFT JOIN keys USING (query_id))
+SELECT CAST(query_id AS BIGINT) AS query_id, round(bp, 6) AS best_path_score, round(sp, 6) AS second_path_score,
+       round(top_sim, 6) AS top_similarity, CAST(most_common AS INTEGER) AS dominant_label, round(ratio, 6) AS dominant_ratio,
+       CAST(diversity AS BIGINT) AS diversity, round(kavg, 6) AS key_avg_similarity, round(kmin, 6) AS key_min_similarity,
+       {_r4('1.0 - (0.4 * bp + 0.4 * kavg + 0.2 * top_sim)')} AS heuristic_unseen_score,
+       {_r4('1.0 - (0.4 * bp + 0.4 * kavg + 0.2 * top_sim)')} >= 0.5 AS is_unseen
+FROM a
+""")
+def rt6(spark, sf_dir):
+    hits, paths, details = _paths(spark, sf_dir)
+    u = unseen_indicators(hits, paths, details, "label")
+    return u.select(F.col("query_id").cast("long"), F.round("best_path_score", 6).alias("best_path_score"),
+                    F.round("second_path_score", 6).alias("second_path_score"), F.round("top_similarity", 6).alias("top_similarity"),
+                    F.col("most_common").cast("int").alias("dominant_label"), F.round("ratio", 6).alias("dominant_ratio"),
+                    F.col("diversity").cast("long"), F.round("key_avg_similarity", 6).alias("key_avg_similarity"),
+                    F.round("key_min_similarity", 6).alias("key_min_similarity"), "heuristic_unseen_score", "is_unseen")
+
+
+@register("RT1_SET7_graph_neighbors", f"""
+WITH {_PREP_SQL},
+single AS ({SINGLE_SQL}),
+f AS (SELECT CAST(ip AS BIGINT) AS id, max(CASE WHEN perspective = 'sw' THEN cluster END) AS f1,
+             max(CASE WHEN perspective = 'hw' THEN cluster END) AS f2, max(CASE WHEN perspective = 'hfavicons' THEN cluster END) AS f3,
+             max(CASE WHEN perspective = 'certificate' THEN cluster END) AS f4 FROM single GROUP BY ip),
+seeds AS (SELECT query_id, neighbor_id AS seed_id FROM hits),
+pairs AS (SELECT s.query_id, b.id AS neighbor_id,
+                 CAST(a.f1 = b.f1 AS INTEGER) + CAST(a.f2 = b.f2 AS INTEGER) + CAST(a.f3 = b.f3 AS INTEGER) + CAST(a.f4 = b.f4 AS INTEGER) AS shared
+          FROM seeds s JOIN f a ON a.id = s.seed_id JOIN f b ON b.id <> a.id),
+best AS (SELECT query_id, neighbor_id, max(shared) AS shared_count FROM pairs WHERE shared > 1 GROUP BY 1, 2),
+ns AS (SELECT * FROM best WHERE neighbor_id <> query_id
+       AND NOT EXISTS (SELECT 1 FROM seeds s WHERE s.query_id = best.query_id AND s.seed_id = best.neighbor_id)),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared_count DESC, neighbor_id) AS r FROM ns)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(neighbor_id AS BIGINT) AS neighbor_id, 'vector_search' AS source,
+       round(raw_score * conf, 6) AS similarity_score, CAST(NULL AS BIGINT) AS shared_count FROM hits
+UNION ALL
+SELECT CAST(query_id AS BIGINT), CAST(neighbor_id AS BIGINT), 'graph_neighbor', 0.0, CAST(shared_count AS BIGINT) FROM g WHERE r <= {K}
+""")
+def rt1_graph(spark, sf_dir):
+    """RT1 with graph-neighbour expansion: JN8 over the layer-1 graph whose feature nodes
+    are each vector's single-perspective clusters, seeded by the vector hits, merged with
+    them (SET7; at most 2k rows per query)."""
+    emb, hits = _hits(spark, sf_dir)
+    single = single_clusters(spark, sf_dir)
+    wide = single.groupBy("ip").pivot("perspective", list(EMBEDDING_LAYOUT.names)).agg(F.first("cluster")) \
+        .withColumn("id", F.col("ip").cast("long"))
+    seeds = hits.select("query_id", F.col("neighbor_id").alias("seed_id"))
+    self_excl = emb.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("neighbor_id"))
+    nb = G.shared_feature_neighbors(wide, "id", list(EMBEDDING_LAYOUT.names), seeds, q=1, k=K, exclude=self_excl)
+    vec = hits.select(F.col("query_id").cast("long"), F.col("neighbor_id").cast("long"), F.col("source"),
+                      F.round("similarity_score", 6).alias("similarity_score"), F.lit(None).cast("long").alias("shared_count"))
+    graph = nb.select(F.col("query_id").cast("long"), F.col("neighbor_id").cast("long"), F.lit("graph_neighbor").alias("source"),
+                      F.lit(0.0).alias("similarity_score"), F.col("shared_count").cast("long"))
+    return vec.unionByName(graph)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EMBEDDING_LAYOUT, VectorLayout
@@ -67,3 +67,113 @@ def knn_vote(hits: DataFrame, label_col: str, *, query_id: str = "query_id",
             .select(query_id, F.col(label_col).alias("pred_label"), "vote_score", "votes",
                     F.when(F.col("_t") > 0, F.col("vote_score") / F.col("_t")).otherwise(F.lit(0.0))
                     .alias("vote_share")))
+
+
+# ---------------------------------------------------------------- RT2 / RT3 / RT6
+
+def block_of(vec_col: str, layout: VectorLayout, names_col: str = "perspective") -> Column:
+    """The block of a vector that belongs to the perspective named in ``names_col``."""
+    idx = F.array_position(F.array(*[F.lit(n) for n in layout.names]), F.col(names_col)).cast("int")
+    return F.slice(F.col(vec_col), (idx - 1) * layout.block_dim + 1, layout.block_dim)
+
+
+def single_cluster_centroids(vectors: DataFrame, single: DataFrame, id_col: str, vec_col: str,
+                             layout: VectorLayout = EMBEDDING_LAYOUT) -> DataFrame:
+    """Representative vector of each single-perspective cluster: the mean of the
+    perspective's block over the cluster's members (noise excluded).
+    Output: perspective, cluster, rep (array<double>)."""
+    j = single.where(F.col("cluster") != -1).join(vectors.select(F.col(id_col).cast("string").alias("ip"), vec_col), "ip")
+    blk = j.select("perspective", "cluster", F.posexplode(block_of(vec_col, layout)).alias("pos", "x"))
+    return (blk.groupBy("perspective", "cluster", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+            .groupBy("perspective", "cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_s"))
+            .select("perspective", "cluster", F.transform("_s", lambda s: s["m"]).alias("rep")))
+
+
+def community_retrieval(hits: DataFrame, queries: DataFrame, assign: DataFrame, centroids: DataFrame,
+                        reports: DataFrame | None = None, *, query_vec: str = "embedding") -> DataFrame:
+    """RT2 with JN9, JN10 and VEC6. ``hits``: query_id, neighbor_id (top-k, so the related
+    list of a cluster holds at most k ids); ``assign``: neighbor_id, device_type, cluster;
+    ``centroids``: device_type, cluster, centroid; ``queries``: query_id, <query_vec>.
+    Output per (query, cluster): related_ips, n_related, similarity (cosine of the query and
+    the cluster centroid), report (default 'No report available'), rank by similarity."""
+    rel = (hits.select("query_id", "neighbor_id").join(assign, "neighbor_id")
+           .groupBy("query_id", "device_type", "cluster")
+           .agg(F.array_sort(F.collect_list("neighbor_id")).alias("related_ips"), F.count(F.lit(1)).alias("n_related")))
+    j = rel.join(queries.select("query_id", query_vec), "query_id").join(centroids, ["device_type", "cluster"])
+    out = j.select("query_id", "device_type", "cluster", "related_ips", "n_related",
+                   V.cosine(query_vec, "centroid").alias("similarity"))
+    if reports is not None:
+        out = out.join(reports, ["device_type", "cluster"], "left")
+    else:
+        out = out.withColumn("report", F.lit(None).cast("string"))
+    out = out.withColumn("report", F.coalesce("report", F.lit("No report available")))
+    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("cluster"))
+    return out.withColumn("rank", F.row_number().over(w))
+
+
+def reasoning_paths(hits: DataFrame, queries: DataFrame, overall: DataFrame, single: DataFrame, reps: DataFrame,
+                    *, query_vec: str = "embedding", layout: VectorLayout = EMBEDDING_LAYOUT,
+                    threshold: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """RT3 (AGG8-AGG10 per query). For each query and each overall cluster holding some of
+    its similar devices: entropy importance of every perspective over those related
+    devices' single clusters (noise excluded; M = distinct single clusters of the type incl.
+    noise), L1-normalised; on the important perspectives the feature score
+    sum_c w_c * cos(query block, representative of c), and the path score
+    sum_f S_f * feature score. Clusters without an important perspective are dropped.
+    Returns (paths: query_id, overall_cluster, path_score, n_important, rank;
+             details: query_id, overall_cluster, perspective, cluster, w, similarity, importance, is_important)."""
+    m = single.groupBy("perspective").agg(F.countDistinct("cluster").alias("M"))
+    rel = hits.select("query_id", F.col("neighbor_id").cast("string").alias("ip")).join(overall, "ip")
+    cnt = (rel.join(single, "ip").where(F.col("cluster") != -1)
+           .groupBy("query_id", "overall_cluster", "perspective", "cluster").agg(F.count(F.lit(1)).alias("n_c")))
+    grp = Window.partitionBy("query_id", "overall_cluster", "perspective")
+    w = cnt.withColumn("w", F.col("n_c") / F.sum("n_c").over(grp))
+    ent = w.groupBy("query_id", "overall_cluster", "perspective").agg(
+        F.sum(F.when(F.col("w") > 0, -F.col("w") * F.log("w")).otherwise(F.lit(0.0))).alias("H")).join(m, "perspective")
+    ent = ent.withColumn("norm", F.when(F.col("M") > 1, F.col("H") / F.log(F.col("M").cast("double"))).otherwise(F.lit(0.0))) \
+        .withColumn("raw", 1 - F.col("norm"))
+    per = Window.partitionBy("query_id", "overall_cluster")
+    ent = ent.withColumn("importance", F.when(F.sum("raw").over(per) > 0, F.col("raw") / F.sum("raw").over(per))
+                         .otherwise(F.col("raw"))).withColumn("is_important", F.col("norm") < threshold)
+    qb = queries.select("query_id", query_vec)
+    details = (w.join(ent.select("query_id", "overall_cluster", "perspective", "importance", "is_important"),
+                      ["query_id", "overall_cluster", "perspective"])
+               .join(reps, ["perspective", "cluster"])
+               .join(qb, "query_id")
+               .select("query_id", "overall_cluster", "perspective", "cluster", "w", "importance", "is_important",
+                       V.cosine(block_of(query_vec, layout), "rep").alias("similarity")))
+    feat = (details.where("is_important").groupBy("query_id", "overall_cluster", "perspective")
+            .agg(F.sum(F.col("w") * F.col("similarity")).alias("feature_score"), F.first("importance").alias("S")))
+    paths = feat.groupBy("query_id", "overall_cluster").agg(
+        F.sum(F.col("S") * F.col("feature_score")).alias("path_score"), F.count(F.lit(1)).alias("n_important"))
+    rw = Window.partitionBy("query_id").orderBy(F.col("path_score").desc(), F.col("overall_cluster"))
+    return paths.withColumn("rank", F.row_number().over(rw)), details
+
+
+def unseen_indicators(hits: DataFrame, paths: DataFrame, details: DataFrame, label_col: str = "label",
+                      threshold: float = 0.5) -> DataFrame:
+    """RT6 statistical part: best / second path score and gap (WIN6), top similarity and
+    dominant label among the first 5 hits (AGG15), best similarity per key (important)
+    perspective across clusters (WIN5) with positive mean / min (AGG16), and the heuristic
+    unseen score 1 - (.4 path + .4 key + .2 local) (FN16); is_unseen = score >= threshold."""
+    from ..functions.scalar import unseen_score
+    from ..operators.aggregate import first_hits_stats
+    best = paths.groupBy("query_id").agg(
+        F.max(F.when(F.col("rank") == 1, F.col("path_score"))).alias("best_path_score"),
+        F.max(F.when(F.col("rank") == 2, F.col("path_score"))).alias("second_path_score"),
+        F.count(F.lit(1)).alias("num_clusters_analyzed"))
+    best = best.withColumn("score_gap", F.col("best_path_score") - F.col("second_path_score"))
+    local = hits.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("similarity_score"))).alias("top_similarity"))
+    dom = first_hits_stats(hits, "query_id", "rank", label_col, 5)
+    persp = details.groupBy("query_id", "perspective").agg(
+        F.max("similarity").alias("best_sim"), F.max(F.col("is_important").cast("int")).alias("key"))
+    keys = persp.groupBy("query_id").agg(
+        F.coalesce(F.avg(F.when((F.col("key") == 1) & (F.col("best_sim") > 0), F.col("best_sim"))), F.lit(0.0)).alias("key_avg_similarity"),
+        F.coalesce(F.min(F.when((F.col("key") == 1) & (F.col("best_sim") > 0), F.col("best_sim"))), F.lit(0.0)).alias("key_min_similarity"),
+        F.coalesce(F.avg(F.when((F.col("key") == 0) & (F.col("best_sim") > 0), F.col("best_sim"))), F.lit(0.0)).alias("nonkey_avg_similarity"),
+        F.sum("key").alias("num_key_perspectives"))
+    q = local.join(dom, "query_id", "left").join(best, "query_id", "left").join(keys, "query_id", "left")
+    q = q.na.fill({"best_path_score": 0.0, "key_avg_similarity": 0.0, "key_min_similarity": 0.0,
+                   "nonkey_avg_similarity": 0.0, "num_clusters_analyzed": 0, "num_key_perspectives": 0})
+    score = unseen_score("best_path_score", "key_avg_similarity", "top_similarity")
+    return q.withColumn("heuristic_unseen_score", score).withColumn("is_unseen", F.col("heuristic_unseen_score") >= threshold)
