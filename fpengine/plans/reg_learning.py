@@ -90,3 +90,143 @@ def ml2(spark, sf_dir):
     coded, _ = W.dense_codes(part, "p_brand", out="brand_code")
     coded = coded.withColumn("brand_code", F.col("brand_code").cast("double")).withColumn("size", F.col("p_size").cast("double"))
     return CL.kmeans_codes(coded, "p_partkey", ["brand_code", "size"], 6)
+
+
+# ---------------------------------------------------------------- features, drift, classifier
+from ..operators import drift as DR  # noqa: E402
+from ..operators import windows as WN  # noqa: E402
+
+SPLIT_TS = "2024-01-16 00:00:00"
+
+
+@register("ML8_onehot", """
+WITH cats AS (SELECT DISTINCT coalesce(CAST(p_type AS VARCHAR), 'UNK') AS category FROM part WHERE p_size <= 25)
+SELECT CAST(p_partkey AS BIGINT) AS p_partkey, 'p_type_' || category AS feature, 1.0 AS value
+FROM part JOIN cats ON coalesce(CAST(p_type AS VARCHAR), 'UNK') = category
+""")
+def ml8(spark, sf_dir):
+    """One-hot of p_type with categories fitted on the parts of size <= 25, applied to all
+    parts (an unseen category would give an all-zero block)."""
+    p = table(spark, sf_dir, "part")
+    cats = FT.onehot_fit(p.where(F.col("p_size") <= 25), "p_type")
+    return FT.onehot_transform(p, "p_partkey", "p_type", cats).select(F.col("p_partkey").cast("long"), "feature", "value")
+
+
+@register("ML10_max_abs_scale", """
+WITH l AS (SELECT o_orderkey, 'o_totalprice' AS feature, o_totalprice AS value FROM orders
+           UNION ALL SELECT o_orderkey, 'o_custkey', CAST(o_custkey AS DOUBLE) FROM orders),
+m AS (SELECT feature, max(abs(value)) AS mx FROM l GROUP BY 1)
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, feature, round(CASE WHEN mx > 0 THEN value / mx ELSE value END, 6) AS value
+FROM l JOIN m USING (feature)
+""")
+def ml10(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    long = o.select("o_orderkey", F.lit("o_totalprice").alias("feature"), F.col("o_totalprice").alias("value")) \
+        .unionByName(o.select("o_orderkey", F.lit("o_custkey").alias("feature"), F.col("o_custkey").cast("double").alias("value")))
+    s = FT.max_abs_scale(long)
+    return s.select(F.col("o_orderkey").cast("long"), "feature", F.round("value", 6).alias("value"))
+
+
+@register("ML11_label_encoding", """
+SELECT CAST(doc_id AS BIGINT) AS doc_id, lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS BIGINT) AS label FROM documents
+""")
+def ml11(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    coded, _ = WN.dense_codes(d, "lang", out="label")
+    return coded.select(F.col("doc_id").cast("long"), "lang", F.col("label").cast("long"))
+
+
+@register("ML13_class_weights", """
+WITH c AS (SELECT lang, count(*) AS n_c FROM documents GROUP BY lang)
+SELECT lang, CAST(n_c AS BIGINT) AS n_c, round((SELECT sum(n_c) FROM c) / ((SELECT count(*) FROM c) * n_c), 6) AS class_weight FROM c
+""")
+def ml13(spark, sf_dir):
+    w = FT.balanced_class_weights(table(spark, sf_dir, "documents"), "lang")
+    return w.select("lang", F.col("n_c").cast("long"), F.round("class_weight", 6).alias("class_weight"))
+
+
+@register("ML21_standard_scale", f"""
+WITH ref AS (SELECT value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events WHERE ts < TIMESTAMP '{SPLIT_TS}'),
+st AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(k) AS mk, stddev_pop(k) AS sk FROM ref)
+SELECT CAST(event_id AS BIGINT) AS event_id, round((value - mv) / CASE WHEN sv = 0 THEN 1 ELSE sv END, 6) AS z_value,
+       round((CAST(json_extract_string(props, '$.k') AS DOUBLE) - mk) / CASE WHEN sk = 0 THEN 1 ELSE sk END, 6) AS z_k
+FROM events, st WHERE ts >= TIMESTAMP '{SPLIT_TS}'
+""")
+def ml21(spark, sf_dir):
+    """Standard scaling fitted on the reference snapshot (population std), applied to the
+    later snapshot."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    ref = e.where(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp"))
+    test = e.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp"))
+    stats = FT.standard_scale_fit(ref, ["value", "k"]).first()
+    z = FT.standard_scale_apply(test, ["value", "k"], stats)
+    return z.select(F.col("event_id").cast("long"), F.round("value", 6).alias("z_value"), F.round("k", 6).alias("z_k"))
+
+
+def _event_features(spark, sf_dir):
+    """ML9: long-form features of each event with their perspective, and the fitted index."""
+    e = table(spark, sf_dir, "events")
+    ref_mask = F.col("ts") < F.lit(SPLIT_TS).cast("timestamp")
+    num = e.select("event_id", ref_mask.alias("is_ref"), "event_type", F.inline(F.array(
+        F.struct(F.lit("value").alias("feature"), F.lit("value").alias("perspective"), F.col("value").cast("double").alias("value")),
+        F.struct(F.lit("k").alias("feature"), F.lit("props").alias("perspective"),
+                 F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0)).alias("value")),
+        F.struct(F.lit("hour").alias("feature"), F.lit("time").alias("perspective"), F.hour("ts").cast("double").alias("value")))))
+    cats = FT.onehot_fit(e.where(ref_mask), "event_type")
+    oh = FT.onehot_transform(e.withColumn("is_ref", ref_mask), "event_id", "event_type", cats) \
+        .withColumn("perspective", F.lit("type"))
+    oh = oh.join(e.select("event_id", ref_mask.alias("is_ref"), "event_type"), "event_id")
+    long = num.unionByName(oh.select("event_id", "is_ref", "event_type", "feature", "perspective", "value"))
+    feats = long.select("feature", "perspective").distinct().orderBy("perspective", "feature").collect()  # bounded: feature count
+    index = spark.createDataFrame([(r["feature"], r["perspective"], i) for i, r in enumerate(feats)], "feature string, perspective string, idx int")
+    groups: dict[str, list[int]] = {}
+    for i, r in enumerate(feats):
+        groups.setdefault(r["perspective"], []).append(i)
+    return e, long, index, groups, len(feats)
+
+
+def drift_pipeline(spark, sf_dir, k: int = 2):
+    e, long, index, groups, dim = _event_features(spark, sf_dir)
+    dense = DR.assemble_dense(long, "event_id", index, dim)
+    meta = e.select("event_id", "event_type", (F.col("ts") < F.lit(SPLIT_TS).cast("timestamp")).alias("is_ref"))
+    dense = dense.join(meta, "event_id")
+    ref = dense.where("is_ref")
+    mu, sd = DR.fit_standardizer(ref, dim)
+    z = DR.standardize(dense, mu, sd)
+    zref = z.where("is_ref")
+    pmu, pcs = DR.fit_pca(zref, dim, k)
+    scored = DR.perspective_scores(z, pmu, pcs, groups, alpha={})
+    flagged, stats = DR.detect(scored.where("is_ref"), scored.where(~F.col("is_ref")))
+    return scored, flagged, stats, groups, pmu, pcs
+
+
+@register("ML16_ML20_drift_pipeline")
+def ml20(spark, sf_dir):
+    """End to end: features (ML9) -> standard scaling fitted on the reference days (ML21)
+    -> PCA reconstruction error per perspective (ML16) -> median + 3.5 MAD threshold of the
+    reference scores (ML17). One row per later event."""
+    _, flagged, _, groups, _, _ = drift_pipeline(spark, sf_dir)
+    cols = [F.round(f"score_{g}", 6).alias(f"score_{g}") for g in sorted(groups)]
+    return flagged.select(F.col("event_id").cast("long"), "event_type", F.round("drift_score", 6).alias("drift_score"),
+                          F.col("is_drift").cast("int").alias("is_drift"), *cols)
+
+
+@register("ML19_ML18_contrastive")
+def ml19(spark, sf_dir):
+    """Contrastive pairs (a quarter within the class, the rest across classes) over the
+    reference events, with the perspective-weighted residual distance and loss."""
+    scored, _, _, groups, pmu, pcs = drift_pipeline(spark, sf_dir)
+    import numpy as np
+    proj = pcs @ pcs.T
+    ref = scored.where("is_ref")
+    mu_l = F.array(*[F.lit(float(v)) for v in pmu])
+    c = F.zip_with("x", mu_l, lambda a, b: a - b)
+    rows = [F.array(*[F.lit(float(v)) for v in proj[i]]) for i in range(proj.shape[0])]
+    resid = ref.withColumn("_c", c).select("event_id", F.array(*[
+        F.col("_c")[i] - F.aggregate(F.zip_with(rows[i], "_c", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        for i in range(proj.shape[0])]).alias("r"))
+    del np
+    pairs = DR.contrastive_pairs(ref.select("event_id", "event_type"), "event_id", "event_type")
+    loss = DR.contrastive_loss(pairs, resid, "event_id", groups, alpha={})
+    return loss.select(F.col("event_id").cast("long"), "event_type", F.col("partner_id").cast("long"), "partner_label",
+                       "same_class", F.round("distance", 6).alias("distance"), F.round("loss", 6).alias("loss"))
