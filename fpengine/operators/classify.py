@@ -40,13 +40,13 @@ def to_vector(df: DataFrame, array_col: str = "x", out: str = "features") -> Dat
     return df.withColumn(out, array_to_vector(F.col(array_col)))
 
 
-def build_estimator(reg_params: Sequence[float] = (0.01, 0.1), max_iter: int = 25, weight_col: str | None = "weight"
-                    ) -> tuple[Pipeline, list]:
+def build_estimator(reg_params: Sequence[float] = (0.01, 0.1), max_iter: int = 15, weight_col: str | None = "weight",
+                    class_parallelism: int = 4) -> tuple[Pipeline, list]:
     scaler = MaxAbsScaler(inputCol="features", outputCol="scaled")                         # ML10
     svc = LinearSVC(featuresCol="scaled", labelCol="label", maxIter=max_iter)
     if weight_col:
         svc.setWeightCol(weight_col)
-    ovr = OneVsRest(classifier=svc, featuresCol="scaled", labelCol="label")
+    ovr = OneVsRest(classifier=svc, featuresCol="scaled", labelCol="label", parallelism=class_parallelism)
     if weight_col:
         ovr.setWeightCol(weight_col)
     pipe = Pipeline(stages=[scaler, ovr])
@@ -55,12 +55,13 @@ def build_estimator(reg_params: Sequence[float] = (0.01, 0.1), max_iter: int = 2
 
 
 def cross_validate(train: DataFrame, *, fold_col: str = "fold", reg_params: Sequence[float] = (0.01, 0.1),
-                   max_iter: int = 25, parallelism: int = 2, weight_col: str | None = "weight"):
+                   max_iter: int = 15, parallelism: int = 2, weight_col: str | None = "weight"):
     """ML12: CrossValidator with a precomputed stratified fold column (WIN3) and macro-F1.
     Returns the fitted CrossValidatorModel (bestModel is a PipelineModel)."""
     pipe, grid = build_estimator(reg_params, max_iter, weight_col)
+    n_folds = train.select(fold_col).distinct().count()
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=MacroF1Evaluator(),
-                        foldCol=fold_col, parallelism=parallelism)
+                        foldCol=fold_col, numFolds=n_folds, parallelism=parallelism)
     return cv.fit(train)
 
 

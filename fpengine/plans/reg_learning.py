@@ -230,3 +230,80 @@ def ml19(spark, sf_dir):
     loss = DR.contrastive_loss(pairs, resid, "event_id", groups, alpha={})
     return loss.select(F.col("event_id").cast("long"), "event_type", F.col("partner_id").cast("long"), "partner_label",
                        "same_class", F.round("distance", 6).alias("distance"), F.round("loss", 6).alias("loss"))
+
+
+# ---------------------------------------------------------------- classifier (ML12, ML14, ML15)
+from ..operators import classify as CF  # noqa: E402
+from ..operators import metrics as MT  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
+
+
+def document_features(spark, sf_dir, vocab_size: int = 100):
+    """ML9 on documents: TF-IDF of comma tokens (fitted on the labelled documents), one-hot
+    source, numeric length; dense vector over the fitted index, label = language code,
+    balanced weights, stratified folds. Returns (train, test, n_classes)."""
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")      # JN5
+    unlabelled = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")    # JN6
+    vocab = FT.tfidf_fit(labelled, "doc_id", "text", vocab_size)
+    tf = FT.tfidf_transform(docs, "doc_id", "text", vocab).select("doc_id", F.concat(F.lit("t:"), "term").alias("feature"),
+                                                                   F.col("tfidf").alias("value"))
+    cats = FT.onehot_fit(labelled, "source")
+    oh = FT.onehot_transform(docs, "doc_id", "source", cats)
+    num = docs.select("doc_id", F.lit("n_chars").alias("feature"), F.log1p(F.col("n_chars").cast("double")).alias("value"))
+    long = tf.unionByName(oh).unionByName(num)
+    feats = long.select("feature").distinct().orderBy("feature").collect()  # bounded by vocab + categories + 1
+    index = spark.createDataFrame([(r["feature"], i) for i, r in enumerate(feats)], "feature string, idx int")
+    dense = DR.assemble_dense(long, "doc_id", index, len(feats))
+    _, lang_codes = WN.dense_codes(docs.select("lang"), "lang", out="label")
+    base = docs.select("doc_id", "lang").join(lang_codes, "lang").join(dense, "doc_id", "left") \
+        .withColumn("x", F.coalesce("x", F.array_repeat(F.lit(0.0), len(feats))))
+    base = CF.to_vector(base.withColumn("label", F.col("label").cast("double")))
+    weights = FT.balanced_class_weights(labelled, "lang").select("lang", F.col("class_weight").alias("weight"))
+    train = base.join(labelled.select("doc_id"), "doc_id", "left_semi").join(weights, "lang")
+    train = train.join(WN.stratified_fold(labelled.select("doc_id", "lang"), "doc_id", "lang").select("doc_id", "fold"), "doc_id")
+    test = base.join(unlabelled.select("doc_id"), "doc_id", "left_semi").withColumn("weight", F.lit(1.0))
+    # the optimiser passes over its input many times: materialise the features once
+    from ..session import cut_lineage
+    return cut_lineage(train), cut_lineage(test)
+
+
+@register("ML12_cross_validated_svm")
+def ml12(spark, sf_dir):
+    """Linear one-vs-rest SVM, balanced weights, 5 stratified folds, macro-F1 per grid point."""
+    train, _ = document_features(spark, sf_dir)
+    cvm = CF.cross_validate(train, reg_params=(0.01, 0.1))
+    rows = [(float(p[list(p)[0]]), float(m)) for p, m in zip(cvm.getEstimatorParamMaps(), cvm.avgMetrics)]
+    return spark.createDataFrame(rows, "reg_param double, cv_macro_f1 double")
+
+
+@register("ML14_score_later_snapshot")
+def ml14(spark, sf_dir):
+    """Fit, save and reload the pipeline; score the unlabelled documents (the later
+    snapshot) and report MET3 metrics against their language."""
+    train, test = document_features(spark, sf_dir)
+    pipe, _ = CF.build_estimator(reg_params=(0.1,))
+    model = pipe.fit(train)
+    path = ensure_checkpoint_dir(spark).rstrip("/") + "/models/ml14_lang_svm"
+    loaded = CF.save_and_load(model, path)
+    pred = CF.score(loaded, test)
+    return MT.summary(pred, "label", "prediction")
+
+
+@register("ML15_retrain_with_detected")
+def ml15(spark, sf_dir):
+    """Rows of the later snapshot that no class claims (largest raw score < 0) are added to
+    the training set with their labels (SET2 first-wins by doc), the model is retrained and
+    re-evaluated on the remaining rows."""
+    from ..operators.relational import union_first_wins
+    train, test = document_features(spark, sf_dir)
+    pipe, _ = CF.build_estimator(reg_params=(0.1,))
+    model = pipe.fit(train)
+    pred = CF.score(model, test)
+    detected = pred.where(F.col("margin") < 0).select(*test.columns)
+    aug = union_first_wins([(train.drop("fold"), 0), (detected, 1)], ["doc_id"])
+    model2 = pipe.fit(aug)
+    rest = test.join(detected.select("doc_id"), "doc_id", "left_anti")
+    before = MT.summary(CF.score(model, rest), "label", "prediction").withColumn("stage", F.lit("before"))
+    after = MT.summary(CF.score(model2, rest), "label", "prediction").withColumn("stage", F.lit("after"))
+    return before.unionByName(after).withColumn("n_detected", F.lit(detected.count()))
