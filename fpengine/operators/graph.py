@@ -203,8 +203,11 @@ def propagate(node_vecs: DataFrame, edges: DataFrame, *, rounds: int = 2, src: s
         agg = (msgs.groupBy("_to", "_pos").agg(F.avg("_x").alias("_m"))
                .groupBy("_to").agg(F.array_sort(F.collect_list(F.struct("_pos", "_m"))).alias("_s"))
                .select(F.col("_to").alias("_node"), F.transform("_s", lambda s: s["_m"]).alias("_agg")))
-        nxt = cur.join(agg, "_node", "left").select(
+        # residual add; a node without a vector yet (a feature node in round 1) takes the
+        # aggregate alone
+        nxt = cur.join(agg, "_node", "full").select(
             "_node", V.l2_normalize(F.when(F.col("_agg").isNull(), V.as_double("_v"))
+                                    .when(F.col("_v").isNull(), F.col("_agg"))
                                     .otherwise(F.zip_with(V.as_double("_v"), "_agg", lambda a, b: a + b))).alias("_v"))
         cur = cut_lineage(nxt)
     return cur.select(F.col("_node").alias(node_col), F.col("_v").alias(vec_col))

@@ -21,6 +21,7 @@ _MODULES = (
     "fpengine.plans.reg_graph",
     "fpengine.plans.reg_learning",
     "fpengine.plans.reg_metrics",
+    "fpengine.plans.reg_io",
 )
 
 
