@@ -107,3 +107,114 @@ def jn8(spark, sf_dir):
     res = G.shared_feature_neighbors(part, "p_partkey", FEATURES, seeds, q=1, k=5, type_col="p_type")
     return res.select(F.col("query_id").cast("long"), F.col("neighbor_id").cast("long"), "device_type",
                       F.col("shared_count").cast("long"), F.col("rank").cast("long"))
+
+
+# ---------------------------------------------------------------- layers 2/3, merges, index, propagation
+from ..functions import vectors as V  # noqa: E402
+from .reg_aggregate import SINGLE_SQL, single_clusters  # noqa: E402
+
+
+@register("GR2_single_communities", f"""
+WITH single AS ({SINGLE_SQL})
+SELECT perspective, 'embeddings' AS device_type, CAST(cluster AS INTEGER) AS cluster, CAST(count(*) AS BIGINT) AS n_members,
+       md5(perspective || '=' || 'embeddings' || '=' || CAST(cluster AS VARCHAR)) AS community_id
+FROM single WHERE cluster <> -1 GROUP BY perspective, cluster
+""")
+def gr2(spark, sf_dir):
+    """Layer 2: one community node per (perspective, type, single cluster), noise excluded,
+    with IN_COMMUNITY edges from the devices of layer 1."""
+    emb = table(spark, sf_dir, "embeddings")
+    devices = emb.select(F.col("vec_id").cast("string").alias("ip"))
+    nodes, edges = G.community_layer(single_clusters(spark, sf_dir), devices)
+    sizes = edges.groupBy("community_id").agg(F.count(F.lit(1)).cast("long").alias("n_members"))
+    return nodes.join(sizes, "community_id").select("perspective", "device_type", F.col("cluster").cast("int"),
+                                                    "n_members", "community_id")
+
+
+@register("GR3_overall_communities", """
+SELECT 'overall' AS perspective, p_type AS device_type, CAST(p_size AS INTEGER) AS cluster, CAST(count(*) AS BIGINT) AS n_members
+FROM part GROUP BY p_type, p_size
+""")
+def gr3(spark, sf_dir):
+    """Layer 3 over `part`: overall cluster = size class within the type."""
+    p = table(spark, sf_dir, "part")
+    assign = p.select(F.col("p_partkey").cast("string").alias("ip"), F.col("p_type").alias("device_type"),
+                      F.col("p_size").cast("int").alias("cluster"))
+    devices, _, _ = G.layer1(p, "p_partkey", "p_type", FEATURES)
+    nodes, edges = G.community_layer(assign, devices, perspective="overall")
+    sizes = edges.groupBy("community_id").agg(F.count(F.lit(1)).cast("long").alias("n_members"))
+    return nodes.join(sizes, "community_id").select("perspective", "device_type", F.col("cluster").cast("int"), "n_members")
+
+
+@register("GR4_merge_or_create", f"""
+WITH {_DEV_SQL},
+existing AS (SELECT DISTINCT d.p_brand AS value FROM dev d WHERE CAST(d.p_size AS INTEGER) <= 25),
+incoming AS (SELECT DISTINCT p_brand AS value FROM dev)
+SELECT value, value NOT IN (SELECT value FROM existing) AS was_created FROM incoming
+""")
+def gr4(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    existing = p.where(F.col("p_size") <= 25).select(G.feature_value("p_brand").alias("value")).distinct()
+    incoming = p.select(G.feature_value("p_brand").alias("value")).distinct()
+    return G.merge_or_create(existing, incoming, ["value"])
+
+
+@register("GR5_merge_nodes", f"""
+WITH {_DEV_SQL},
+nodes AS (SELECT DISTINCT p_name AS node_id FROM dev),
+amap AS (SELECT node_id, min(node_id) OVER (PARTITION BY split_part(node_id, ' ', 2)) AS survivor FROM nodes),
+edges AS (SELECT CAST(id AS VARCHAR) AS src, p_name AS dst FROM dev)
+SELECT (SELECT CAST(count(DISTINCT survivor) AS BIGINT) FROM amap) AS n_nodes,
+       CAST(count(*) AS BIGINT) AS n_edges
+FROM (SELECT DISTINCT e.src, a.survivor AS dst FROM edges e JOIN amap a ON e.dst = a.node_id)
+""")
+def gr5(spark, sf_dir):
+    """Name nodes that share their last word are merged into the smallest one; edges are
+    repointed and de-duplicated."""
+    p = table(spark, sf_dir, "part")
+    nodes = p.select(F.col("p_name").alias("node_id")).distinct().withColumn("word", F.split("node_id", " ")[1])
+    surv = nodes.groupBy("word").agg(F.min("node_id").alias("survivor"))
+    amap = nodes.join(surv, "word").select("node_id", "survivor")
+    edges = p.select(F.col("p_partkey").cast("string").alias("src"), F.col("p_name").alias("dst"))
+    merged, e2 = G.merge_nodes(nodes, edges, amap)
+    return merged.agg(F.count(F.lit(1)).cast("long").alias("n_nodes")).withColumn("_k", F.lit(0)).join(
+        e2.agg(F.count(F.lit(1)).cast("long").alias("n_edges")).withColumn("_k", F.lit(0)), "_k").drop("_k")
+
+
+@register("GR6_bipartite_index", f"""
+WITH {_DEV_SQL},
+e AS (SELECT DISTINCT ip, md5(feature_name || '=' || value) AS feature_id FROM longf),
+si AS (SELECT ip, dense_rank() OVER (ORDER BY ip) - 1 AS src_idx FROM (SELECT DISTINCT ip FROM e)),
+di AS (SELECT feature_id, dense_rank() OVER (ORDER BY feature_id) - 1 AS dst_idx FROM (SELECT DISTINCT feature_id FROM e))
+SELECT CAST(src_idx AS BIGINT) AS from_idx, CAST(dst_idx AS BIGINT) AS to_idx, 'fwd' AS direction FROM e JOIN si USING (ip) JOIN di USING (feature_id)
+UNION ALL
+SELECT CAST(dst_idx AS BIGINT), CAST(src_idx AS BIGINT), 'rev' FROM e JOIN si USING (ip) JOIN di USING (feature_id)
+""")
+def gr6(spark, sf_dir):
+    _, _, edges = G.layer1(table(spark, sf_dir, "part"), "p_partkey", "p_type", FEATURES)
+    _, _, idx = G.bipartite_index(edges.select("ip", "feature_id"))
+    return idx.select(F.col("from_idx").cast("long"), F.col("to_idx").cast("long"), "direction")
+
+
+@register("VEC11_degree_penalty", f"""
+WITH {_DEV_SQL}
+SELECT md5(feature_name || '=' || value) AS feature_id, CAST(count(DISTINCT ip) AS BIGINT) AS degree,
+       round(CASE WHEN count(DISTINCT ip) > 1 THEN 1.0 / ln(count(DISTINCT ip)) ELSE 1.0 END, 6) AS penalty
+FROM longf GROUP BY feature_name, value
+""")
+def vec11(spark, sf_dir):
+    _, _, edges = G.layer1(table(spark, sf_dir, "part"), "p_partkey", "p_type", FEATURES)
+    deg = G.feature_degree(edges)
+    return deg.select("feature_id", F.col("degree").cast("long"), F.round(V.degree_penalty("degree"), 6).alias("penalty"))
+
+
+@register("VEC12_message_passing")
+def vec12(spark, sf_dir):
+    """Two rounds of degree-weighted neighbour averaging between the embedding vectors and
+    their single-cluster feature nodes (both directions, residual, unit norm)."""
+    emb = table(spark, sf_dir, "embeddings")
+    single = single_clusters(spark, sf_dir)
+    edges = single.select("ip", G.feature_id(F.col("perspective"), F.col("cluster").cast("string")).alias("feature_id"))
+    nodes = emb.select(F.col("vec_id").cast("string").alias("node"), F.col("embedding").alias("vec"))
+    out = G.propagate(nodes, edges, rounds=2)
+    return out.select("node", F.size("vec").alias("dim"), F.round(V.l2_norm("vec"), 6).alias("norm"))

@@ -307,3 +307,85 @@ def ml15(spark, sf_dir):
     before = MT.summary(CF.score(model, rest), "label", "prediction").withColumn("stage", F.lit("before"))
     after = MT.summary(CF.score(model2, rest), "label", "prediction").withColumn("stage", F.lit("after"))
     return before.unionByName(after).withColumn("n_detected", F.lit(detected.count()))
+
+
+# ---------------------------------------------------------------- encoders, ANN, clustering variants
+from ..operators import encode as EN  # noqa: E402
+from ..operators.knn import exact_topk, ivf_topk  # noqa: E402
+
+
+@register("VEC8_text_vectors")
+def vec8(spark, sf_dir):
+    """Hashed tf-idf unit vectors of the whole benchmark texts, each distinct text once."""
+    b = table(spark, sf_dir, "benchmark")
+    v = EN.hashed_text_vectors(b, "item_id", "text", dim=256)
+    return v.select(F.col("item_id").cast("long"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sq_norm"))
+
+
+@register("VEC9_chunk_average")
+def vec9(spark, sf_dir):
+    """Whole documents split into 500-character chunks (overlap 50), chunk vectors averaged."""
+    d = table(spark, sf_dir, "documents")
+    v = EN.chunked_text_vectors(d, "doc_id", "text", dim=128)
+    return v.select(F.col("doc_id").cast("long"), F.size("vec").alias("dim"))
+
+
+@register("VEC5_ivf_topk")
+def vec5(spark, sf_dir):
+    """Coarse-cell approximate top-5 over the normalised embeddings (16 cells, 4 probes),
+    with its recall against the exact top-5 per query."""
+    from ..functions import vectors as Vf
+    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), Vf.l2_normalize("embedding").alias("vec"))
+    q = emb.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    approx = ivf_topk(q, emb, 5, nlist=16, nprobe=4, exclude_same_id=True)
+    exact = exact_topk(q, emb, 5, exclude_same_id=True)
+    hit = approx.select("query_id", "id").join(exact.select("query_id", "id"), ["query_id", "id"], "left_semi") \
+        .groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    return q.select("query_id").join(hit, "query_id", "left").select(
+        F.col("query_id").cast("long"), (F.coalesce("hits", F.lit(0)) / 5.0).alias("recall_at_5"))
+
+
+@register("ML3_standardised_density")
+def ml3(spark, sf_dir):
+    """Standardise the dense codes of brand and size, then density-cluster them."""
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    coded, _ = WN.dense_codes(part, "p_brand", out="brand_code")
+    va = VectorAssembler(inputCols=["brand_code", "p_size"], outputCol="_v").transform(
+        coded.withColumn("brand_code", F.col("brand_code").cast("double")).withColumn("p_size", F.col("p_size").cast("double")))
+    sc = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True).fit(va).transform(va)
+    pts = sc.select(F.col("p_partkey").alias("id"), vector_to_array("_s").alias("vec"))
+    return CL.dbscan(pts, eps=0.3, min_samples=5, min_cluster_size=20).select(F.col("id").alias("p_partkey"), "cluster")
+
+
+@register("ML4_concatenated_blocks")
+def ml4(spark, sf_dir):
+    """Per-perspective PCA blocks (4 dims each) joined on the id (PRJ19) and concatenated,
+    then density-clustered."""
+    from ..config import EMBEDDING_LAYOUT as L
+    emb = table(spark, sf_dir, "embeddings")
+    blocks = None
+    for i, name in enumerate(L.names):
+        b = emb.select("vec_id", F.slice("embedding", i * L.block_dim + 1, L.block_dim).alias("blk"))
+        proj, _ = CL.pca_project(b, "vec_id", "blk", 4)
+        proj = proj.withColumnRenamed("pca", f"{name}_pca")
+        blocks = proj if blocks is None else blocks.join(proj, "vec_id")
+    cat = blocks.select(F.col("vec_id").alias("id"), F.concat(*[F.col(f"{n}_pca") for n in L.names]).alias("vec"))
+    return CL.dbscan(cat, eps=0.9, min_samples=5, min_cluster_size=20).select(F.col("id").alias("vec_id"), "cluster")
+
+
+@register("ML5_graph_embedding_clusters")
+def ml5(spark, sf_dir):
+    """Message-passing vectors of the devices (VEC12), PCA to 8 dims, density clusters."""
+    from ..operators import graph as GR
+    from .reg_aggregate import single_clusters as sc
+    emb = table(spark, sf_dir, "embeddings")
+    edges = sc(spark, sf_dir).select("ip", GR.feature_id(F.col("perspective"), F.col("cluster").cast("string")).alias("feature_id"))
+    nodes = emb.select(F.col("vec_id").cast("string").alias("node"), F.col("embedding").alias("vec"))
+    prop = GR.propagate(nodes, edges, rounds=2)
+    devices = prop.withColumn("id", F.col("node").try_cast("long")).where(F.col("id").isNotNull())
+    proj, _ = CL.pca_project(devices, "id", "vec", 8)
+    return CL.dbscan(proj.select("id", F.col("pca").alias("vec")), eps=0.5, min_samples=5, min_cluster_size=20) \
+        .select(F.col("id").alias("vec_id"), "cluster")
