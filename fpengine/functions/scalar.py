@@ -211,3 +211,70 @@ def basename_no_ext(x) -> Column:
     """FN22: last path segment without its extension."""
     base = F.regexp_extract(_c(x), r"([^/\\]*)$", 1)
     return F.regexp_replace(base, r"\.[^.]*$", "")
+
+
+# FIXED VALUES: labelled fields of the fingerprint text (label, column), in order
+FINGERPRINT_TEXT_FIELDS = [
+    ("Service Distribution", "service-distribution"),
+    ("Software Vendors", "sw-vendors"),
+    ("Software Products", "sw-products"),
+    ("Software Versions", "sw-versions"),
+    ("Software Info", "sw-info"),
+    ("Hardware Vendors", "hw-vendors"),
+    ("Hardware Products", "hw-products"),
+    ("Hardware Info", "hw-info"),
+    ("OS Vendor", "os-vendor"),
+    ("OS Product", "os-product"),
+    ("OS Version", "os-version"),
+    ("TLS Certificate Subjects", "cert-subjects"),
+    ("TLS Certificate Issuers", "cert-issuers"),
+    ("TLS Certificate Info", "cert-info"),
+    ("TLS Versions", "tls-versions"),
+    ("HTTP Tags", "http-tags"),
+    ("HTTP Favicon Hashes", "http-favicon-hashes"),
+    ("DNS Reverse", "dns-reverse"),
+    ("AS Name", "as-name"),
+    ("WHOIS Organization", "whois-organization-name"),
+    ("Country", "loc-country"),
+]
+TRUNCATION_SUFFIX = "...[truncated]"
+NO_FINGERPRINT_TEXT = "(No fingerprint data available)"
+
+
+def perspective_text(cols, null_text: str = "nan") -> Column:
+    """PRJ12 (null -> 'nan') / PRJ13 (null -> '') : columns joined with '|'."""
+    return F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(null_text)) for c in cols])
+
+
+def fingerprint_text(fields=None, cut: int = 500) -> Column:
+    """PRJ14: '- label: value' lines for non-blank fields, values cut to ``cut`` chars plus a
+    suffix; no line -> a default text."""
+    fields = fields or FINGERPRINT_TEXT_FIELDS
+    lines = []
+    for label, col in fields:
+        v = strip_ws(F.coalesce(F.col(f"`{col}`").cast("string"), F.lit("")))
+        v = F.when(F.length(v) > cut, F.concat(F.substring(v, 1, cut), F.lit(TRUNCATION_SUFFIX))).otherwise(v)
+        lines.append(F.when(v != "", F.concat(F.lit(f"- {label}: "), v)))
+    body = F.array_join(F.array(*lines), "\n")
+    return F.when(body != "", body).otherwise(F.lit(NO_FINGERPRINT_TEXT))
+
+
+def compact_fingerprint(cols, id_col: str = "ip") -> Column:
+    """PRJ15: JSON of the fields that are not the id, not null and not 'nan'/'None'/''."""
+    keep = [c for c in cols if c != id_col]
+    m = F.map_from_arrays(F.array(*[F.lit(c) for c in keep]), F.array(*[F.col(f"`{c}`").cast("string") for c in keep]))
+    return F.to_json(F.map_filter(m, lambda k, v: v.isNotNull() & ~v.isin("nan", "None", "")))
+
+
+def row_map(cols) -> Column:
+    """PRJ23: {column: value} with NaN -> null."""
+    vals = []
+    for c in cols:
+        col = F.col(f"`{c}`")
+        vals.append(col.cast("string"))
+    return F.map_from_arrays(F.array(*[F.lit(c) for c in cols]), F.array(*vals))
+
+
+def class_label(type_col, vendor_col) -> Column:
+    """PRJ22: 'type-vendor' with 'UNK' for a missing vendor."""
+    return F.concat_ws("-", F.col(type_col), F.coalesce(F.col(vendor_col), F.lit("UNK")))
