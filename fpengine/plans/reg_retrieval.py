@@ -319,3 +319,110 @@ def rt1_graph(spark, sf_dir):
     graph = nb.select(F.col("query_id").cast("long"), F.col("neighbor_id").cast("long"), F.lit("graph_neighbor").alias("source"),
                       F.lit(0.0).alias("similarity_score"), F.col("shared_count").cast("long"))
     return vec.unionByName(graph)
+
+
+# ---------------------------------------------------------------- RT4 / RT7 / RT8 / RT9 / PRJ21
+from ..operators import relational as RL  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+
+
+@register("RT4_cascade_with_reuse")
+def rt4(spark, sf_dir):
+    """Retrieval cascade that reuses stored partial results. An earlier run stored the
+    local results of every query; the cascade finds, per kind, the queries that lack it
+    (anti-join against the store), computes only those kinds and appends them per kind
+    (SNK3). FLT9 then reports the queries that hold every kind."""
+    store = IO.scratch_path(spark, "rt4")
+    emb, hits = _hits(spark, sf_dir)
+    hits.select("query_id", F.lit("local").alias("kind")).distinct().write.mode("append").partitionBy("kind").parquet(store)
+    stored = spark.read.parquet(store)
+    queries = emb.select(F.col("vec_id").alias("query_id"))
+
+    def missing(kind):
+        return queries.join(stored.where(F.col("kind") == kind).select("query_id"), "query_id", "left_anti")
+
+    new = []
+    if missing("local").limit(1).count() > 0:
+        new.append(hits.join(missing("local"), "query_id", "left_semi").select("query_id", F.lit("local").alias("kind")))
+    todo_c = missing("community")
+    new.append(hits.join(todo_c, "query_id", "left_semi").select("query_id", F.lit("community").alias("kind")))
+    _, paths, _ = _paths(spark, sf_dir)
+    new.append(paths.join(missing("reasoning"), "query_id", "left_semi").select("query_id", F.lit("reasoning").alias("kind")))
+    out = new[0]
+    for d in new[1:]:
+        out = out.unionByName(d)
+    out.distinct().write.mode("append").partitionBy("kind").parquet(store)
+    final = spark.read.parquet(store)
+    complete = RL.complete_keys(final, "query_id", "kind", ["local", "community", "reasoning"]).count()
+    return final.groupBy("kind").agg(F.countDistinct("query_id").alias("n_queries")).withColumn("n_complete", F.lit(complete))
+
+
+@register("RT7_known_unknown_split", """
+WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT label, i, avg(e[i]) AS m FROM x, range(1, 65) r(i) GROUP BY label, i),
+c AS (SELECT label AS nearest, list(m ORDER BY i) AS centroid FROM u GROUP BY label),
+d AS (SELECT x.vec_id, x.label, c.nearest, sqrt(list_sum(list_transform(x.e, lambda a, i: (a - c.centroid[i]) * (a - c.centroid[i])))) AS distance
+      FROM x, c),
+p AS (SELECT vec_id, label, nearest FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, nearest) AS rk FROM d) WHERE rk = 1)
+SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(label AS INTEGER) AS true_label, CAST(nearest AS INTEGER) AS pred_label,
+       label IN (0, 1, 2, 3, 4, 5, 6, 7) AS is_known FROM p
+""")
+def rt7(spark, sf_dir):
+    """Predictions split into known classes (catalogue 0-7) and unknown ones, merged back
+    with a flag (two semi/anti joins against the catalogue)."""
+    from .reg_metrics import _pred
+    pred = _pred(spark, sf_dir)
+    cat = spark.range(0, 8).select(F.col("id").cast("int").alias("true_label"))
+    known = pred.join(F.broadcast(cat), "true_label", "left_semi").withColumn("is_known", F.lit(True))
+    unknown = pred.join(F.broadcast(cat), "true_label", "left_anti").withColumn("is_known", F.lit(False))
+    return known.unionByName(unknown).select(F.col("vec_id").cast("long"), F.col("true_label").cast("int"),
+                                             F.col("pred_label").cast("int"), "is_known")
+
+
+@register("RT8_test_set_build", """
+SELECT CAST(d.doc_id AS BIGINT) AS doc_id, d.source AS vendor, CAST(l.quality AS INTEGER) AS quality
+FROM documents d JOIN labels l USING (doc_id) WHERE upper(trim(d.source)) <> 'UNKNOWN'
+""")
+def rt8(spark, sf_dir):
+    """Match the keys of the evaluation set (semi-join), attach labels, drop unknown vendors."""
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels")
+    m = d.join(lab.select("doc_id"), "doc_id", "left_semi").join(lab, "doc_id")
+    return m.where(F.upper(F.trim("source")) != "UNKNOWN").select(F.col("doc_id").cast("long"), F.col("source").alias("vendor"),
+                                                                  F.col("quality").cast("int"))
+
+
+@register("RT9_vendor_dataset_stage", """
+SELECT c_mktsegment AS vendor, CAST(count(*) AS BIGINT) AS n FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE upper(trim(c_mktsegment)) <> 'UNKNOWN' GROUP BY 1
+""")
+def rt9(spark, sf_dir):
+    """Join, drop unknown vendors, write the dataset as CSV and read it back."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    ds = o.join(c, o.o_custkey == c.c_custkey).where(F.upper(F.trim("c_mktsegment")) != "UNKNOWN") \
+        .select("o_orderkey", F.col("c_mktsegment").alias("vendor"))
+    path = IO.scratch_path(spark, "rt9")
+    IO.write_csv(ds, path)
+    back = IO.read_csv(spark, path, ["o_orderkey", "vendor"])
+    return back.groupBy("vendor").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@register("PRJ21_comparison_text")
+def prj21(spark, sf_dir):
+    """Comparison text of each query against its best path cluster: important perspectives
+    by importance (desc), each with its three most similar single clusters."""
+    _, paths, details = _paths(spark, sf_dir)
+    best = paths.where(F.col("rank") == 1).select("query_id", "overall_cluster")
+    d = details.join(best, ["query_id", "overall_cluster"]).where("is_important")
+    from pyspark.sql import Window
+    w = Window.partitionBy("query_id", "perspective").orderBy(F.col("similarity").desc(), "cluster")
+    top3 = d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 3)
+    per = top3.groupBy("query_id", "perspective").agg(
+        F.first("importance").alias("importance"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "cluster", "similarity"))),
+                                 lambda s: F.concat(F.lit("cluster "), s["cluster"].cast("string"), F.lit(" sim "),
+                                                    F.format_number(s["similarity"], 3))), "; ").alias("txt"))
+    lines = per.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("k"), "perspective", "txt"))).alias("_l"))
+    return lines.select(F.col("query_id").cast("long"), F.array_join(F.transform("_l", lambda s: F.concat(
+        s["perspective"], F.lit(": "), s["txt"])), "\n").alias("comparison"))
