@@ -278,3 +278,28 @@ def row_map(cols) -> Column:
 def class_label(type_col, vendor_col) -> Column:
     """PRJ22: 'type-vendor' with 'UNK' for a missing vendor."""
     return F.concat_ws("-", F.col(type_col), F.coalesce(F.col(vendor_col), F.lit("UNK")))
+
+
+# FIXED VALUES: perspective -> key of the cluster report's common patterns
+PERSPECTIVE_TO_REPORT_KEY = {
+    "as": "autonomous_system",
+    "whois": "whois",
+    "os": "os",
+    "sw": "software",
+    "hw": "hardware",
+    "sd": "service_distribution",
+    "body": "http_tags_favicons",
+    "htags": "http_tags_favicons",
+    "hfavicons": "http_tags_favicons",
+    "certificate": "certificates",
+    "dns": "dns",
+}
+
+
+def perspective_descriptions(patterns, cut: int = 500) -> Column:
+    """FN17: perspective -> report pattern text (cut to ``cut`` chars) for the perspectives
+    whose report key is present in the ``patterns`` map."""
+    pm = _c(patterns)
+    m = F.map_from_arrays(F.array(*[F.lit(p) for p in PERSPECTIVE_TO_REPORT_KEY]),
+                          F.array(*[F.substring(F.element_at(pm, F.lit(k)), 1, cut) for k in PERSPECTIVE_TO_REPORT_KEY.values()]))
+    return F.map_filter(m, lambda k, v: v.isNotNull())

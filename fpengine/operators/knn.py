@@ -1,4 +1,5 @@
-"""Exact similarity search without a cross join (VEC4, JN12, TOP2, VEC5 inner step).
+"""Exact similarity search without a cross join (VEC4 brute-force inner-product top-k, JN12,
+TOP2, VEC5 inner step).
 
 Queries and corpus are cut into blocks by hash of their ids: query block ``qb`` of at most
 ``queries_per_block`` rows, corpus block ``cb`` of at most ``corpus_rows_per_block`` rows.

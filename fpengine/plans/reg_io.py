@@ -265,3 +265,32 @@ def st5(spark, sf_dir):
     stream = spark.readStream.schema(e.schema).parquet(base + "/in")
     ST.stream_drift_counts(stream, thr, "ts", "value", base + "/out", base + "/ckpt")
     return spark.read.parquet(base + "/out")
+
+
+@register("SNK8_drift_outputs", """
+SELECT 'scores' AS output, CAST(count(*) AS BIGINT) AS n_rows FROM events WHERE ts >= TIMESTAMP '2024-01-16 00:00:00'
+UNION ALL SELECT 'explanation', 4
+UNION ALL SELECT 'summary', CAST(count(DISTINCT event_type) AS BIGINT) FROM events WHERE ts >= TIMESTAMP '2024-01-16 00:00:00'
+""")
+def snk8(spark, sf_dir):
+    """The three outputs of the drift run: per-row scores (parquet), per-perspective
+    explanation (JSON lines) and the per-class summary (CSV); each is read back and counted."""
+    from .reg_learning import drift_pipeline
+    from ..session import cut_lineage
+    _, flagged, _, groups, _, _ = drift_pipeline(spark, sf_dir)
+    flagged = cut_lineage(flagged)   # three sinks read the same scored rows
+    base = IO.scratch_path(spark, "snk8")
+    flagged.drop("x").write.mode("overwrite").parquet(base + "/scores")
+    expl = flagged.select(F.inline(F.array(*[F.struct(F.lit(g).alias("perspective"), F.col(f"score_{g}").alias("score"))
+                                             for g in sorted(groups)]))).groupBy("perspective").agg(F.avg("score").alias("mean_score"))
+    expl.write.mode("overwrite").json(base + "/explanation")
+    summ = flagged.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_drift").cast("int")).alias("n_drift"),
+                                             F.avg("drift_score").alias("mean_score"))
+    IO.write_csv(summ, base + "/summary")
+    outs = [("scores", spark.read.parquet(base + "/scores")), ("explanation", spark.read.json(base + "/explanation")),
+            ("summary", IO.read_csv(spark, base + "/summary", ["event_type", "n", "n_drift", "mean_score"]))]
+    res = None
+    for name, df in outs:
+        d = df.agg(F.count(F.lit(1)).cast("long").alias("n_rows")).select(F.lit(name).alias("output"), "n_rows")
+        res = d if res is None else res.unionByName(d)
+    return res

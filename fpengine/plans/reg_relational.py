@@ -492,3 +492,27 @@ def flt2(spark, sf_dir):
     from .reg_aggregate import single_clusters
     s = single_clusters(spark, sf_dir).where(F.col("perspective") == "sw").where(F.col("cluster") != -1)
     return s.select(F.col("ip").cast("long").alias("vec_id"), F.col("cluster").cast("int"))
+
+
+@register("WIN2_kfold_split_lineitem", """
+WITH r AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag,
+         row_number() OVER (PARTITION BY l_returnflag ORDER BY md5('42|' || CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR)), l_orderkey, l_linenumber, l_partkey) - 1 AS position,
+         count(*) OVER (PARTITION BY l_returnflag) AS n
+  FROM lineitem
+), s AS (SELECT *, CASE WHEN n > 50000 THEN 20000 ELSE n // 5 END AS size FROM r),
+f AS (SELECT s.*, g.f0 FROM s, range(0, 5) g(f0))
+SELECT l_returnflag, CAST(f0 + 1 AS BIGINT) AS fold, CAST(count(*) AS BIGINT) AS n_test,
+       CAST(min(position) AS BIGINT) AS min_position, CAST(max(position) AS BIGINT) AS max_position
+FROM f WHERE (position >= f0 * size AND position < f0 * size + size) OR (position < f0 * size + size - n)
+GROUP BY 1, 2
+""")
+def win2_lineitem(spark, sf_dir):
+    """Five folds over every lineitem per return flag (the row key is order, line, part)."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+                    F.col("l_partkey").cast("string")).alias("row_key"), "l_returnflag")
+    m = W.kfold_test_membership(li, "row_key", "l_returnflag")
+    return m.groupBy("l_returnflag", F.col("fold").cast("long").alias("fold")).agg(
+        F.count(F.lit(1)).cast("long").alias("n_test"), F.min("position").cast("long").alias("min_position"),
+        F.max("position").cast("long").alias("max_position"))

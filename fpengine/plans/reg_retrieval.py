@@ -410,8 +410,9 @@ def rt9(spark, sf_dir):
 
 @register("PRJ21_comparison_text")
 def prj21(spark, sf_dir):
-    """Comparison text of each query against its best path cluster: important perspectives
-    by importance (desc), each with its three most similar single clusters."""
+    """PRJ21 with TOP4: comparison text of each query against its best path cluster:
+    important perspectives by importance (desc), each with its three most similar single
+    clusters (top-3 similarities per perspective)."""
     _, paths, details = _paths(spark, sf_dir)
     best = paths.where(F.col("rank") == 1).select("query_id", "overall_cluster")
     d = details.join(best, ["query_id", "overall_cluster"]).where("is_important")

@@ -303,3 +303,54 @@ def fn4_jn13(spark, sf_dir):
     j = v.join(toks, v.o_orderkey == toks.l_orderkey)
     hit = F.exists("toks", lambda t: (F.instr(F.col("vendor"), t) > 0) | (F.instr(t, F.col("vendor")) > 0))
     return j.select(F.col("o_orderkey").cast("long"), hit.alias("matched"), F.size("toks").cast("long").alias("n_tokens"))
+
+
+@register("FN17_perspective_descriptions", """
+WITH r AS (
+  SELECT p_type AS cluster, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS software,
+         CAST(min(p_size) AS VARCHAR) || '-' || CAST(max(p_size) AS VARCHAR) AS service_distribution,
+         string_agg(DISTINCT split_part(p_name, ' ', 1), ',' ORDER BY split_part(p_name, ' ', 1)) AS tags
+  FROM part GROUP BY p_type
+)
+SELECT cluster, 'sw' AS perspective, substr(software, 1, 500) AS description FROM r
+UNION ALL SELECT cluster, 'sd', substr(service_distribution, 1, 500) FROM r
+UNION ALL SELECT cluster, 'body', substr(tags, 1, 500) FROM r
+UNION ALL SELECT cluster, 'htags', substr(tags, 1, 500) FROM r
+UNION ALL SELECT cluster, 'hfavicons', substr(tags, 1, 500) FROM r
+""")
+def fn17(spark, sf_dir):
+    """Cluster reports (one per part type) carry common patterns under report keys; each
+    perspective takes the text of its key. Pattern lists are distinct values (bounded)."""
+    p = table(spark, sf_dir, "part")
+    rep = p.groupBy(F.col("p_type").alias("cluster")).agg(
+        F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("software"),
+        F.concat(F.min("p_size").cast("string"), F.lit("-"), F.max("p_size").cast("string")).alias("service_distribution"),
+        F.array_join(F.array_sort(F.collect_set(F.split("p_name", " ")[0])), ",").alias("tags"))
+    patterns = F.create_map(F.lit("software"), F.col("software"), F.lit("service_distribution"), F.col("service_distribution"),
+                            F.lit("http_tags_favicons"), F.col("tags"))
+    d = rep.select("cluster", F.explode(S.perspective_descriptions(patterns)).alias("perspective", "description"))
+    return d
+
+
+@register("WIN8_shares_and_others", """
+WITH c AS (SELECT p_brand AS label, count(*) AS cnt FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+t AS (SELECT *, cnt / sum(cnt) OVER () AS share, row_number() OVER (ORDER BY cnt DESC, label) AS r FROM c),
+top AS (SELECT label, cnt, share FROM t WHERE r <= 10)
+SELECT label, CAST(cnt AS BIGINT) AS cnt, round(share, 6) AS share FROM top
+UNION ALL
+SELECT 'others', CAST(greatest(0, (SELECT sum(cnt) FROM c) - (SELECT sum(cnt) FROM top)) AS BIGINT),
+       round(greatest(0, (SELECT sum(cnt) FROM c) - (SELECT sum(cnt) FROM top)) / (SELECT sum(cnt) FROM c), 6)
+""")
+def win8(spark, sf_dir):
+    """Share of each brand among all lines, the ten largest and an 'others' remainder. The
+    global window runs over the aggregated brand table (one row per brand)."""
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    c = j.groupBy(F.col("p_brand").alias("label")).agg(F.count(F.lit(1)).alias("cnt"))
+    total = F.sum("cnt").over(Window.partitionBy())
+    t = c.withColumn("share", F.col("cnt") / total).withColumn("r", F.row_number().over(Window.orderBy(F.col("cnt").desc(), "label")))
+    top = t.where(F.col("r") <= 10)
+    tot = c.agg(F.sum("cnt").alias("t"))
+    others = top.agg(F.sum("cnt").alias("s")).withColumn("_k", F.lit(0)).join(tot.withColumn("_k", F.lit(0)), "_k").select(
+        F.lit("others").alias("label"), F.greatest(F.lit(0), F.col("t") - F.col("s")).cast("long").alias("cnt"),
+        F.round(F.greatest(F.lit(0), F.col("t") - F.col("s")) / F.col("t"), 6).alias("share"))
+    return top.select("label", F.col("cnt").cast("long"), F.round("share", 6).alias("share")).unionByName(others)

@@ -114,7 +114,8 @@ def community_retrieval(hits: DataFrame, queries: DataFrame, assign: DataFrame,
 def reasoning_paths(hits: DataFrame, queries: DataFrame, overall: DataFrame, single: DataFrame, reps: DataFrame,
                     *, query_vec: str = "embedding", layout: VectorLayout = EMBEDDING_LAYOUT,
                     threshold: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """RT3 (AGG8-AGG10 per query). For each query and each overall cluster holding some of
+    """RT3 (AGG8-AGG10 per query; JN11 joins the overall cluster of the related devices with
+    their single-perspective clusters). For each query and each overall cluster holding some of
     its similar devices: entropy importance of every perspective over those related
     devices' single clusters (noise excluded; M = distinct single clusters of the type incl.
     noise), L1-normalised; on the important perspectives the feature score
@@ -152,7 +153,7 @@ def reasoning_paths(hits: DataFrame, queries: DataFrame, overall: DataFrame, sin
 
 def unseen_indicators(hits: DataFrame, paths: DataFrame, details: DataFrame, label_col: str = "label",
                       threshold: float = 0.5) -> DataFrame:
-    """RT6 statistical part: best / second path score and gap (WIN6), top similarity and
+    """RT6 statistical part (WIN5, WIN6, AGG15, AGG16, FN16): best / second path score and gap (WIN6), top similarity and
     dominant label among the first 5 hits (AGG15), best similarity per key (important)
     perspective across clusters (WIN5) with positive mean / min (AGG16), and the heuristic
     unseen score 1 - (.4 path + .4 key + .2 local) (FN16); is_unseen = score >= threshold."""
