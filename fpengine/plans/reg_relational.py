@@ -516,3 +516,22 @@ def win2_lineitem(spark, sf_dir):
     return m.groupBy("l_returnflag", F.col("fold").cast("long").alias("fold")).agg(
         F.count(F.lit(1)).cast("long").alias("n_test"), F.min("position").cast("long").alias("min_position"),
         F.max("position").cast("long").alias("max_position"))
+
+
+@register("FLT6_relationship_filter", """
+SELECT 'Has_' || translate(f, '-.', '__') AS rel_type, CAST(count(*) AS BIGINT) AS n_edges FROM (
+  SELECT 'p_name' AS f FROM part UNION ALL SELECT 'p_brand' FROM part UNION ALL SELECT 'p_size' FROM part) GROUP BY 1
+""")
+def flt6(spark, sf_dir):
+    """Edges of all kinds (Has_* feature edges and IN_COMMUNITY edges) are filtered to the
+    Has_* relations whose two endpoints exist and are not null."""
+    from ..operators import graph as G
+    from .reg_graph import FEATURES
+    part = table(spark, sf_dir, "part")
+    devices, feats, edges = G.layer1(part, "p_partkey", "p_type", FEATURES)
+    comm = part.select(F.col("p_partkey").cast("string").alias("ip"), F.md5(F.col("p_type")).alias("feature_id"),
+                       F.lit("IN_COMMUNITY").alias("rel_type"))
+    allrel = edges.unionByName(comm)
+    has = allrel.where(F.col("rel_type").startswith("Has_"))
+    kept = R.edges_with_endpoints(has, devices, feats, "ip", "feature_id", "ip", "feature_id")
+    return kept.groupBy("rel_type").agg(F.count(F.lit(1)).cast("long").alias("n_edges"))
