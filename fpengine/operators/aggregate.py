@@ -62,13 +62,14 @@ def median_mad(df: DataFrame, value_col: str, by: Sequence[str] = ()) -> DataFra
     med = exact_quantile(df, value_col, by, 0.5, "median")
     if by:
         dev = df.join(med, list(by)).select(*by, F.abs(F.col(value_col) - F.col("median")).alias("_d"))
-    else:
-        dev = df.select(F.col(value_col).alias("_v")).withColumn("_k", F.lit(0)).join(
-            med.withColumn("_k", F.lit(0)), "_k").select(F.abs(F.col("_v") - F.col("median")).alias("_d"))
-    mad = exact_quantile(dev, "_d", by, 0.5, "mad")
-    if by:
+        mad = exact_quantile(dev, "_d", by, 0.5, "mad")
         return med.join(mad, list(by))
-    return med.withColumn("_k", F.lit(0)).join(mad.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    # global: the median is one number; it enters the next step as a literal (no join)
+    m = med.first()["median"]
+    dev = df.select(F.abs(F.col(value_col).cast("double") - F.lit(m)).alias("_d"))
+    mad = exact_quantile(dev, "_d", (), 0.5, "mad").first()["mad"]
+    spark = df.sparkSession
+    return spark.createDataFrame([(m, mad)], "median double, mad double")
 
 
 def entropy_importance(single: DataFrame, overall: DataFrame, *, type_col: str = "device_type",

@@ -85,7 +85,9 @@ def detect(ref_scores: DataFrame, test_scores: DataFrame, score_col: str = "drif
     """ML17: is_drift = score > median + thr * max(MAD, floor) of the reference scores."""
     stats = median_mad(ref_scores, score_col).withColumn(
         "threshold", F.col("median") + F.lit(thr) * F.greatest("mad", F.lit(floor)))
-    flagged = test_scores.withColumn("_k", F.lit(0)).join(F.broadcast(stats.withColumn("_k", F.lit(0))), "_k").drop("_k") \
+    row = stats.first()  # one row of three numbers
+    flagged = test_scores.withColumn("median", F.lit(row["median"])).withColumn("mad", F.lit(row["mad"])) \
+        .withColumn("threshold", F.lit(row["threshold"])) \
         .withColumn("is_drift", F.col(score_col) > F.col("threshold"))
     return flagged, stats
 

@@ -90,8 +90,8 @@ def standard_scale_apply(df: DataFrame, cols: Sequence[str], stats_row) -> DataF
 
 
 def balanced_class_weights(df: DataFrame, label_col: str) -> DataFrame:
-    """ML13: weight n / (k * n_c) per class (one-row totals joined on a constant key)."""
+    """ML13: weight n / (k * n_c) per class. n and k come from a window over the
+    per-class table (one row per class)."""
     per = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
-    tot = per.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k")).withColumn("_one", F.lit(1))
-    return (per.withColumn("_one", F.lit(1)).join(F.broadcast(tot), "_one")
-            .select(label_col, "n_c", (F.col("n") / (F.col("k") * F.col("n_c"))).alias("class_weight")))
+    all_ = Window.partitionBy()
+    return per.select(label_col, "n_c", (F.sum("n_c").over(all_) / (F.count(F.lit(1)).over(all_) * F.col("n_c"))).alias("class_weight"))

@@ -3,7 +3,7 @@ aggregated first (classes x classes rows), every metric is derived from it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normalize_label, normalize_vendor
@@ -27,12 +27,11 @@ def per_class(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
     """MET2: per class (union of true and predicted labels) TP, FP, FN, TN, precision,
     recall, F1, support; zero division -> 0."""
     conf = confusion(df, true_col, pred_col)
-    n = conf.agg(F.sum("cnt").alias("_n"))
     by_true = conf.groupBy(F.col("true_label").alias("label")).agg(
         F.sum("cnt").alias("support"), F.sum(F.when(F.col("true_label") == F.col("pred_label"), F.col("cnt")).otherwise(0)).alias("tp"))
     by_pred = conf.groupBy(F.col("pred_label").alias("label")).agg(F.sum("cnt").alias("predicted"))
     j = by_true.join(by_pred, "label", "full").na.fill(0, ["support", "tp", "predicted"])
-    j = j.withColumn("_k", F.lit(0)).join(F.broadcast(n.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    j = j.withColumn("_n", F.sum("support").over(Window.partitionBy()))  # window over one row per class
     p = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     out = j.select("label", "tp", (F.col("predicted") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn"),
@@ -72,8 +71,8 @@ def identification(df: DataFrame, pred_col: str, n_top: int = 5) -> tuple[DataFr
     counts = ident.groupBy("p").agg(F.count(F.lit(1)).alias("cnt"))
     tot = ident.agg(F.count(F.lit(1)).alias("_t"))
     top = counts.orderBy(F.col("cnt").desc(), F.col("p")).limit(n_top)
-    top = top.withColumn("_k", F.lit(0)).join(F.broadcast(tot.withColumn("_k", F.lit(0))), "_k") \
-        .select(F.col("p").alias("vendor"), "cnt", (F.col("cnt") / F.col("_t")).alias("share"))
+    t = tot.first()["_t"]  # one number
+    top = top.select(F.col("p").alias("vendor"), "cnt", (F.col("cnt") / F.lit(t)).alias("share"))
     return rate, top
 
 

@@ -50,8 +50,8 @@ def _drift(spark, sf_dir):
     test = e.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp"))
     stats = A.median_mad(ref, "value")
     thr = stats.withColumn("threshold", F.col("median") + F.lit(MAD_THRESHOLD) * F.greatest("mad", F.lit(MAD_FLOOR)))
-    flagged = test.withColumn("_k", F.lit(0)).join(F.broadcast(thr.withColumn("_k", F.lit(0))), "_k") \
-        .withColumn("is_drift", F.col("value") > F.col("threshold"))
+    t = thr.first()["threshold"]  # one number
+    flagged = test.withColumn("threshold", F.lit(t)).withColumn("is_drift", F.col("value") > F.col("threshold"))
     return flagged, thr
 
 

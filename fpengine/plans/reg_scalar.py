@@ -349,8 +349,9 @@ def win8(spark, sf_dir):
     total = F.sum("cnt").over(Window.partitionBy())
     t = c.withColumn("share", F.col("cnt") / total).withColumn("r", F.row_number().over(Window.orderBy(F.col("cnt").desc(), "label")))
     top = t.where(F.col("r") <= 10)
-    tot = c.agg(F.sum("cnt").alias("t"))
-    others = top.agg(F.sum("cnt").alias("s")).withColumn("_k", F.lit(0)).join(tot.withColumn("_k", F.lit(0)), "_k").select(
-        F.lit("others").alias("label"), F.greatest(F.lit(0), F.col("t") - F.col("s")).cast("long").alias("cnt"),
-        F.round(F.greatest(F.lit(0), F.col("t") - F.col("s")) / F.col("t"), 6).alias("share"))
+    tot = F.sum("cnt").over(Window.partitionBy())  # window over one row per brand
+    others = t.withColumn("_t", tot).withColumn("_s", F.sum(F.when(F.col("r") <= 10, F.col("cnt")).otherwise(0)).over(Window.partitionBy())) \
+        .where(F.col("r") == 1).select(
+        F.lit("others").alias("label"), F.greatest(F.lit(0), F.col("_t") - F.col("_s")).cast("long").alias("cnt"),
+        F.round(F.greatest(F.lit(0), F.col("_t") - F.col("_s")) / F.col("_t"), 6).alias("share"))
     return top.select("label", F.col("cnt").cast("long"), F.round("share", 6).alias("share")).unionByName(others)
