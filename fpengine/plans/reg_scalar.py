@@ -342,16 +342,16 @@ SELECT 'others', CAST(greatest(0, (SELECT sum(cnt) FROM c) - (SELECT sum(cnt) FR
        round(greatest(0, (SELECT sum(cnt) FROM c) - (SELECT sum(cnt) FROM top)) / (SELECT sum(cnt) FROM c), 6)
 """)
 def win8(spark, sf_dir):
-    """Share of each brand among all lines, the ten largest and an 'others' remainder. The
-    global window runs over the aggregated brand table (one row per brand)."""
+    """Share of each brand among all lines, the ten largest and an 'others' remainder.
+    The ten largest come from a global top-k (each task keeps ten rows) and the total is one
+    aggregated number, so no window spans the value-count table."""
     j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     c = j.groupBy(F.col("p_brand").alias("label")).agg(F.count(F.lit(1)).alias("cnt"))
-    total = F.sum("cnt").over(Window.partitionBy())
-    t = c.withColumn("share", F.col("cnt") / total).withColumn("r", F.row_number().over(Window.orderBy(F.col("cnt").desc(), "label")))
-    top = t.where(F.col("r") <= 10)
-    tot = F.sum("cnt").over(Window.partitionBy())  # window over one row per brand
-    others = t.withColumn("_t", tot).withColumn("_s", F.sum(F.when(F.col("r") <= 10, F.col("cnt")).otherwise(0)).over(Window.partitionBy())) \
-        .where(F.col("r") == 1).select(
-        F.lit("others").alias("label"), F.greatest(F.lit(0), F.col("_t") - F.col("_s")).cast("long").alias("cnt"),
-        F.round(F.greatest(F.lit(0), F.col("_t") - F.col("_s")) / F.col("_t"), 6).alias("share"))
-    return top.select("label", F.col("cnt").cast("long"), F.round("share", 6).alias("share")).unionByName(others)
+    total = c.agg(F.sum("cnt")).first()[0] or 0
+    top = c.orderBy(F.col("cnt").desc(), "label").limit(10)
+    top_sum = top.agg(F.sum("cnt")).first()[0] or 0
+    rest = max(0, total - top_sum)
+    others = spark.createDataFrame([("others", int(rest), round(rest / total, 6) if total else 0.0)],
+                                   "label string, cnt long, share double")
+    return top.select("label", F.col("cnt").cast("long"), F.round(F.col("cnt") / F.lit(float(total)), 6).alias("share")) \
+        .unionByName(others)
