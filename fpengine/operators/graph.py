@@ -105,20 +105,25 @@ def shared_feature_neighbors(devices: DataFrame, id_col: str, feature_cols: Sequ
     inverse = F.create_map(*[x for s_ in range(t, n_feat + 1) for x in (F.lit(math.comb(s_, t)), F.lit(s_))])
     pairs = matches.select("_sid", F.col("_id").alias("neighbor_id"),
                            F.element_at(inverse, F.col("_m")).cast("long").alias("shared_count"))
-    # Exact pruning: if x is in a query's final top-k with its best count from seed S, every
-    # device ranked above x in S's own list is either a seed of the query or ranks above x
-    # in the final list too; so x lies within the top (k + n_seeds(query)) of S's list.
-    # excluded neighbours per query: its seeds, plus ``exclude`` (query_col, neighbor_id)
+    # Exact pruning. If x is in a query's final top-k with its best count from seed S, every
+    # device ranked above x in S's own list either is excluded for the query or ranks above
+    # x in the final list too; S never lists itself, so x lies within the top
+    # (k + n_excluded(query) - 1) of S's list. And if none of the first k entries of S's
+    # list is excluded for the query, x lies within S's top k.
+    # Phase A fans every seed's top-k out to its queries; queries whose fan-out meets an
+    # excluded device are flagged and only they fan out to the deeper bound (phase B).
     excl = seed_rows.select(query_col, F.col("_sid").alias("neighbor_id"))
     if exclude is not None:
         excl = excl.unionByName(exclude.select(query_col, "neighbor_id")).distinct()
     n_excl = excl.groupBy(query_col).agg(F.count(F.lit(1)).alias("_ns"))
-    n_seeds = n_excl
-    max_seeds = n_seeds.agg(F.max("_ns")).first()[0] or 0
+    max_excl = n_excl.agg(F.max("_ns")).first()[0] or 0
     per_seed = Window.partitionBy("_sid").orderBy(F.col("shared_count").desc(), F.col("neighbor_id").asc())
-    seed_top = pairs.withColumn("_r", F.row_number().over(per_seed)).where(F.col("_r") <= k + max_seeds)
-    fan = (seed_rows.join(n_seeds, query_col, "left").na.fill(0, ["_ns"]).join(seed_top, "_sid")
-           .where(F.col("_r") <= k + F.col("_ns")).select(query_col, "neighbor_id", "shared_count"))
+    seed_top = pairs.withColumn("_r", F.row_number().over(per_seed)).where(F.col("_r") <= k + max(max_excl - 1, 0))
+    fan_a = seed_rows.join(seed_top.where(F.col("_r") <= k), "_sid").select(query_col, "_sid", "neighbor_id", "shared_count")
+    flagged = fan_a.join(excl, [query_col, "neighbor_id"], "left_semi").select(query_col).distinct()
+    fan_b = (seed_rows.join(flagged, query_col, "left_semi").join(n_excl, query_col).join(seed_top, "_sid")
+             .where(F.col("_r") <= k + F.col("_ns") - 1).select(query_col, "_sid", "neighbor_id", "shared_count"))
+    fan = fan_a.join(flagged, query_col, "left_anti").unionByName(fan_b).select(query_col, "neighbor_id", "shared_count")
     best = fan.groupBy(query_col, "neighbor_id").agg(F.max("shared_count").alias("shared_count"))
     not_seed = best.join(excl, [query_col, "neighbor_id"], "left_anti")
     w = Window.partitionBy(query_col).orderBy(F.col("shared_count").desc(), F.col("neighbor_id").asc())

@@ -166,3 +166,26 @@ def test_combinations_identity():
                 m = len(list(itertools.combinations(range(s), t)))
                 assert m not in seen
                 seen[m] = s
+
+
+def test_shared_neighbors_many_overlapping_seeds(spark):
+    rng = np.random.default_rng(8)
+    n, f = 30, 3
+    vals = rng.integers(0, 2, size=(n, f))
+    dev = spark.createDataFrame([(i, *[str(v) for v in vals[i]]) for i in range(n)],
+                                "id long, " + ", ".join(f"c{j} string" for j in range(f)))
+    seeds_rows = [(q, int(s)) for q in range(12) for s in rng.choice(n, size=8, replace=False)]
+    extra = [(q, q) for q in range(12)]
+    seeds = spark.createDataFrame(seeds_rows, "query_id long, seed_id long")
+    excl = spark.createDataFrame(extra, "query_id long, neighbor_id long")
+    got = G.shared_feature_neighbors(dev, "id", [f"c{j}" for j in range(f)], seeds, q=1, k=4, exclude=excl).toPandas()
+    for q in range(12):
+        sd = {s for qq, s in seeds_rows if qq == q}
+        best = {}
+        for s in sd:
+            for b in range(n):
+                if b != s and int((vals[s] == vals[b]).sum()) > 1:
+                    best[b] = max(best.get(b, 0), int((vals[s] == vals[b]).sum()))
+        want = sorted(((b, c) for b, c in best.items() if b not in sd and b != q), key=lambda x: (-x[1], x[0]))[:4]
+        have = got[got.query_id == q].sort_values("rank")
+        assert list(zip(have.neighbor_id, have.shared_count)) == want
