@@ -88,7 +88,7 @@ mad AS (SELECT r.event_type, median(abs(r.value - m.med)) AS mad FROM ref r JOIN
 z AS (SELECT t.event_type, abs(t.value - m.med) / greatest(d.mad, {MAD_FLOOR}) AS z
       FROM test t JOIN med m USING (event_type) JOIN mad d USING (event_type))
 SELECT event_type, round(avg(z), 6) AS mean_z, round(avg(CAST(z > {MAD_THRESHOLD} AS DOUBLE)), 6) AS share_over,
-       0.5 AS alpha, round(0.5 * avg(z), 6) AS weighted
+       CAST(0.5 AS DOUBLE) AS alpha, round(0.5 * avg(z), 6) AS weighted
 FROM z GROUP BY event_type
 """)
 def agg12(spark, sf_dir):

@@ -59,7 +59,7 @@ def gr1_edges(spark, sf_dir):
 
 @register("AGG13_feature_degree", f"""
 WITH {_DEV_SQL}
-SELECT feature_name, count(*) AS n_features, sum(d) AS n_edges, max(d) AS max_degree
+SELECT feature_name, CAST(count(*) AS BIGINT) AS n_features, CAST(sum(d) AS BIGINT) AS n_edges, CAST(max(d) AS BIGINT) AS max_degree
 FROM (SELECT feature_name, value, count(DISTINCT ip) AS d FROM longf GROUP BY 1, 2) GROUP BY 1
 """)
 def agg13(spark, sf_dir):

@@ -101,7 +101,7 @@ SPLIT_TS = "2024-01-16 00:00:00"
 
 @register("ML8_onehot", """
 WITH cats AS (SELECT DISTINCT coalesce(CAST(p_type AS VARCHAR), 'UNK') AS category FROM part WHERE p_size <= 25)
-SELECT CAST(p_partkey AS BIGINT) AS p_partkey, 'p_type_' || category AS feature, 1.0 AS value
+SELECT CAST(p_partkey AS BIGINT) AS p_partkey, 'p_type_' || category AS feature, CAST(1.0 AS DOUBLE) AS value
 FROM part JOIN cats ON coalesce(CAST(p_type AS VARCHAR), 'UNK') = category
 """)
 def ml8(spark, sf_dir):
