@@ -30,16 +30,17 @@ def connected_components(vertices: DataFrame, edges: DataFrame, *, id_col: str =
     labels = cut_lineage(vertices.select(F.col(id_col).alias("_id")).distinct()
                          .withColumn("_l", F.col("_id")))
     for _ in range(max_iter):
-        nb = und.join(labels.withColumnRenamed("_id", "_a"), "_a") \
+        nb = und.join(labels.select(F.col("_id").alias("_a"), "_l"), "_a") \
             .groupBy("_b").agg(F.min("_l").alias("_nl"))
         step = labels.join(nb.withColumnRenamed("_b", "_id"), "_id", "left") \
-            .select("_id", F.least("_l", F.coalesce("_nl", "_l")).alias("_l"))
-        jump = step.join(step.select(F.col("_id").alias("_p"), F.col("_l").alias("_pl")),
-                         step["_l"] == F.col("_p"), "left") \
-            .select("_id", F.least("_l", F.coalesce("_pl", "_l")).alias("_l"))
-        new = cut_lineage(jump)
-        changed = new.join(labels.withColumnRenamed("_l", "_old"), "_id").where(F.col("_l") != F.col("_old")).count()
-        labels = new
+            .select("_id", F.col("_l").alias("_old"), F.least("_l", F.coalesce("_nl", "_l")).alias("_l"))
+        for _jump in range(2):  # pointer jumping: label <- label of label
+            parent = step.select(F.col("_id").alias("_p"), F.col("_l").alias("_pl"))
+            step = step.join(parent, step["_l"] == parent["_p"], "left") \
+                .select("_id", "_old", F.least("_l", F.coalesce("_pl", "_l")).alias("_l"))
+        new = cut_lineage(step.withColumn("_changed", F.col("_l") != F.col("_old")))
+        changed = new.where("_changed").limit(1).count()
+        labels = new.select("_id", "_l")
         if changed == 0:
             break
     return labels.select(F.col("_id").alias(id_col), F.col("_l").alias("component"))
