@@ -116,6 +116,8 @@ def shared_feature_neighbors(devices: DataFrame, id_col: str, feature_cols: Sequ
     if exclude is not None:
         excl = excl.unionByName(exclude.select(query_col, "neighbor_id")).distinct()
     n_excl = excl.groupBy(query_col).agg(F.count(F.lit(1)).alias("_ns"))
+    # the depth bound keeps the per-seed window a limited one: Spark then applies a partial
+    # WindowGroupLimit before the shuffle, so a hub seed's list never lands whole in one task
     max_excl = n_excl.agg(F.max("_ns")).first()[0] or 0
     per_seed = Window.partitionBy("_sid").orderBy(F.col("shared_count").desc(), F.col("neighbor_id").asc())
     seed_top = pairs.withColumn("_r", F.row_number().over(per_seed)).where(F.col("_r") <= k + max(max_excl - 1, 0))
