@@ -46,8 +46,8 @@ test AS (SELECT event_id, event_type, value, value > (SELECT threshold FROM thr)
 
 def _drift(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    ref = e.where(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp"))
-    test = e.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp"))
+    ref = e.where(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz"))
+    test = e.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp_ntz"))
     stats = A.median_mad(ref, "value")
     thr = stats.withColumn("threshold", F.col("median") + F.lit(MAD_THRESHOLD) * F.greatest("mad", F.lit(MAD_FLOOR)))
     t = thr.first()["threshold"]  # one number
@@ -93,8 +93,8 @@ FROM z GROUP BY event_type
 """)
 def agg12(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    ref = e.where(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp"))
-    test = e.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp"))
+    ref = e.where(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz"))
+    test = e.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp_ntz"))
     ex = A.drift_explanation(ref, test, "event_type", "value", {})
     return ex.select("event_type", F.round("mean_z", 6).alias("mean_z"), F.round("share_over", 6).alias("share_over"),
                      F.col("alpha").cast("double"), F.round("weighted", 6).alias("weighted"))

@@ -261,7 +261,7 @@ def st5(spark, sf_dir):
     base = IO.scratch_path(spark, "st5")
     e = table(spark, sf_dir, "events")
     _, thr = _drift(spark, sf_dir)
-    e.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp")).write.mode("overwrite").parquet(base + "/in")
+    e.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp_ntz")).write.mode("overwrite").parquet(base + "/in")
     stream = spark.readStream.schema(e.schema).parquet(base + "/in")
     ST.stream_drift_counts(stream, thr, "ts", "value", base + "/out", base + "/ckpt")
     return spark.read.parquet(base + "/out")

@@ -156,8 +156,8 @@ def ml21(spark, sf_dir):
     """Standard scaling fitted on the reference snapshot (population std), applied to the
     later snapshot."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
-    ref = e.where(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp"))
-    test = e.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp"))
+    ref = e.where(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz"))
+    test = e.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp_ntz"))
     stats = FT.standard_scale_fit(ref, ["value", "k"]).first()
     z = FT.standard_scale_apply(test, ["value", "k"], stats)
     return z.select(F.col("event_id").cast("long"), F.round("value", 6).alias("z_value"), F.round("k", 6).alias("z_k"))
@@ -166,7 +166,7 @@ def ml21(spark, sf_dir):
 def _event_features(spark, sf_dir):
     """ML9: long-form features of each event with their perspective, and the fitted index."""
     e = table(spark, sf_dir, "events")
-    ref_mask = F.col("ts") < F.lit(SPLIT_TS).cast("timestamp")
+    ref_mask = F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz")
     num = e.select("event_id", ref_mask.alias("is_ref"), "event_type", F.inline(F.array(
         F.struct(F.lit("value").alias("feature"), F.lit("value").alias("perspective"), F.col("value").cast("double").alias("value")),
         F.struct(F.lit("k").alias("feature"), F.lit("props").alias("perspective"),
@@ -188,7 +188,7 @@ def _event_features(spark, sf_dir):
 def drift_pipeline(spark, sf_dir, k: int = 2):
     e, long, index, groups, dim = _event_features(spark, sf_dir)
     dense = DR.assemble_dense(long, "event_id", index, dim)
-    meta = e.select("event_id", "event_type", (F.col("ts") < F.lit(SPLIT_TS).cast("timestamp")).alias("is_ref"))
+    meta = e.select("event_id", "event_type", (F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz")).alias("is_ref"))
     dense = dense.join(meta, "event_id")
     ref = dense.where("is_ref")
     mu, sd = DR.fit_standardizer(ref, dim)

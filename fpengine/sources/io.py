@@ -84,7 +84,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "overwrite", fmt: str = "parquet") -> None:
     """SNK1/SNK3/SNK5: partitioned write. With mode='overwrite' and the session's
     partitionOverwriteMode=dynamic only the partitions present in ``df`` are replaced."""
-    df.write.mode(mode).partitionBy(*by).format(fmt).save(path)
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(fmt).save(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
