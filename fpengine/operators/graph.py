@@ -59,7 +59,8 @@ def _subset_keys(arr: str, subsets) -> Column:
 def shared_feature_neighbors(devices: DataFrame, id_col: str, feature_cols: Sequence[str], seeds: DataFrame,
                              *, q: int = 1, k: int = 5, type_col: str | None = None,
                              query_col: str = "query_id", seed_col: str = "seed_id",
-                             salt_buckets: int = 1, exclude: DataFrame | None = None) -> DataFrame:
+                             salt_buckets: int = 1, exclude: DataFrame | None = None,
+                             depth_cap: int = 64) -> DataFrame:
     """JN8: for each query, devices sharing more than ``q`` feature nodes with one of its
     seeds; per neighbour the best count over the seeds; seeds themselves excluded; the
     ``k`` best by (shared desc, id asc).
@@ -116,15 +117,24 @@ def shared_feature_neighbors(devices: DataFrame, id_col: str, feature_cols: Sequ
     if exclude is not None:
         excl = excl.unionByName(exclude.select(query_col, "neighbor_id")).distinct()
     n_excl = excl.groupBy(query_col).agg(F.count(F.lit(1)).alias("_ns"))
-    # the depth bound keeps the per-seed window a limited one: Spark then applies a partial
-    # WindowGroupLimit before the shuffle, so a hub seed's list never lands whole in one task
-    max_excl = n_excl.agg(F.max("_ns")).first()[0] or 0
+    # The depth bound keeps the per-seed window a limited one: Spark then applies a partial
+    # WindowGroupLimit before the shuffle, so a hub seed's list never lands whole in one
+    # task. It is capped at k + depth_cap - 1; flagged queries with more excluded devices
+    # than depth_cap take all candidate pairs of their seeds instead (phase C), which is
+    # exact and needs no per-seed ranking.
+    max_excl = min(n_excl.agg(F.max("_ns")).first()[0] or 0, depth_cap)
     per_seed = Window.partitionBy("_sid").orderBy(F.col("shared_count").desc(), F.col("neighbor_id").asc())
     seed_top = pairs.withColumn("_r", F.row_number().over(per_seed)).where(F.col("_r") <= k + max(max_excl - 1, 0))
     fan_a = seed_rows.join(seed_top.where(F.col("_r") <= k), "_sid").select(query_col, "_sid", "neighbor_id", "shared_count")
-    flagged = fan_a.join(excl, [query_col, "neighbor_id"], "left_semi").select(query_col).distinct()
-    fan_b = (seed_rows.join(flagged, query_col, "left_semi").join(n_excl, query_col).join(seed_top, "_sid")
+    flagged = fan_a.join(excl, [query_col, "neighbor_id"], "left_semi").select(query_col).distinct().join(n_excl, query_col)
+    small = flagged.where(F.col("_ns") <= depth_cap).select(query_col)
+    large = flagged.where(F.col("_ns") > depth_cap).select(query_col)
+    fan_b = (seed_rows.join(small, query_col, "left_semi").join(n_excl, query_col).join(seed_top, "_sid")
              .where(F.col("_r") <= k + F.col("_ns") - 1).select(query_col, "_sid", "neighbor_id", "shared_count"))
+    fan_c = seed_rows.join(large, query_col, "left_semi").join(pairs, "_sid") \
+        .select(query_col, "_sid", "neighbor_id", "shared_count")
+    fan_b = fan_b.unionByName(fan_c)
+    flagged = flagged.select(query_col)
     fan = fan_a.join(flagged, query_col, "left_anti").unionByName(fan_b).select(query_col, "neighbor_id", "shared_count")
     best = fan.groupBy(query_col, "neighbor_id").agg(F.max("shared_count").alias("shared_count"))
     not_seed = best.join(excl, [query_col, "neighbor_id"], "left_anti")

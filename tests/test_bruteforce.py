@@ -168,7 +168,8 @@ def test_combinations_identity():
                 seen[m] = s
 
 
-def test_shared_neighbors_many_overlapping_seeds(spark):
+@pytest.mark.parametrize("cap", [64, 2])
+def test_shared_neighbors_many_overlapping_seeds(spark, cap):
     rng = np.random.default_rng(8)
     n, f = 30, 3
     vals = rng.integers(0, 2, size=(n, f))
@@ -178,7 +179,8 @@ def test_shared_neighbors_many_overlapping_seeds(spark):
     extra = [(q, q) for q in range(12)]
     seeds = spark.createDataFrame(seeds_rows, "query_id long, seed_id long")
     excl = spark.createDataFrame(extra, "query_id long, neighbor_id long")
-    got = G.shared_feature_neighbors(dev, "id", [f"c{j}" for j in range(f)], seeds, q=1, k=4, exclude=excl).toPandas()
+    got = G.shared_feature_neighbors(dev, "id", [f"c{j}" for j in range(f)], seeds, q=1, k=4, exclude=excl,
+                                     depth_cap=cap).toPandas()
     for q in range(12):
         sd = {s for qq, s in seeds_rows if qq == q}
         best = {}
