@@ -212,22 +212,26 @@ SELECT p_type AS device, 'sw' AS perspective, CAST(n // 2 AS BIGINT) AS rows_so_
 """)
 def st3(spark, sf_dir):
     """A load log built from the part types (every type loaded in batches of 100 and
-    finished, except the last, which stopped half way) is parsed to the resume point."""
+    finished, except the last, which stopped half way) is parsed to the resume point. The
+    log lines are generated in Spark from the per-type counts."""
+    from pyspark.sql import Window
     t = table(spark, sf_dir, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
-    rows = t.orderBy("p_type").collect()  # one row per type: bounded
-    lines = []
-    for i, r in enumerate(rows):
-        last = i == len(rows) - 1
-        stop = r["n"] // 2 if last else r["n"]
-        lines.append(f"Loading CSV: ipraw_{r['p_type']}_embedding_sw.csv (device={r['p_type']})")
-        done = 0
-        while done < stop:
-            step = min(100, stop - done)
-            done += step
-            lines.append(f"Inserted batch: {step} rows (total so far: {done})")
-        if not last:
-            lines.append(f"Finished ipraw_{r['p_type']}_embedding_sw.csv: {done} rows inserted into sw")
-    log = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "line_no long, line string")
+    order = Window.orderBy("p_type")  # one row per type
+    t = t.withColumn("_i", F.row_number().over(order)).withColumn("_last", F.col("_i") == F.max("_i").over(Window.partitionBy()))
+    t = t.withColumn("_stop", F.when(F.col("_last"), F.floor(F.col("n") / 2)).otherwise(F.col("n")))
+    t = t.withColumn("_nb", F.ceil(F.col("_stop") / 100)) \
+        .withColumn("_len", F.col("_nb") + F.when(F.col("_last"), 1).otherwise(2))
+    t = t.withColumn("_base", F.coalesce(F.sum("_len").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # one row per log line, generated per type inside Spark
+    lines = t.select("p_type", "_stop", "_nb", "_last", "_base", F.explode(F.sequence(F.lit(0), F.col("_len") - 1)).alias("_j"))
+    done = F.least(F.col("_j") * 100, F.col("_stop"))
+    step = done - F.least((F.col("_j") - 1) * 100, F.col("_stop"))
+    text = (F.when(F.col("_j") == 0, F.concat(F.lit("Loading CSV: ipraw_"), "p_type", F.lit("_embedding_sw.csv (device="), "p_type", F.lit(")")))
+            .when(F.col("_j") <= F.col("_nb"), F.concat(F.lit("Inserted batch: "), step.cast("string"), F.lit(" rows (total so far: "),
+                                                        done.cast("string"), F.lit(")")))
+            .otherwise(F.concat(F.lit("Finished ipraw_"), "p_type", F.lit("_embedding_sw.csv: "), F.col("_stop").cast("string"),
+                                F.lit(" rows inserted into sw"))))
+    log = lines.select((F.col("_base") + F.col("_j")).cast("long").alias("line_no"), text.alias("line"))
     res = ST.resume_point(log)
     return res.select("device", "perspective", F.col("rows_so_far").cast("long"))
 
