@@ -31,7 +31,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    prepare_session(spark)
     return spark
 
 
@@ -63,3 +63,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     iterative operators. Never a local checkpoint: executors may be lost."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``fpengine`` importable in the Python workers (pandas kernels are pickled by
+    reference to their module): zip the package once per application and add it with
+    ``addPyFile``, which distributes it to every executor."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="fpengine-pyfiles-")
+    path = os.path.join(out_dir, "fpengine.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
+
+
+def prepare_session(spark: SparkSession) -> str:
+    """Checkpoint folder (from the session) and the package shipped to the workers."""
+    ship_package(spark)
+    return ensure_checkpoint_dir(spark)
