@@ -141,7 +141,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _POW: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2^64, kept between batches."""
     have = _POW.get("m")
     if have is None or len(have) < n + 1:
@@ -155,7 +155,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
     """s with s[j] - s[i] = sum of values[t] * M^t over i <= t < j (modulo 2^64)."""
-    m, _ = _powers(len(values))
+    m, _ = powers(len(values))
     s = np.empty(len(values) + 1, dtype=np.uint64)
     s[0] = 0
     np.cumsum(values * m[:len(values)], out=s[1:])
@@ -164,7 +164,7 @@ def prefix_hash(values: np.ndarray) -> np.ndarray:
 
 def range_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of values[start:end], the same wherever the run stands and whatever is around it."""
-    _, inv = _powers(len(s))
+    _, inv = powers(len(s))
     return mix64((s[end] - s[start]) * inv[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
