@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from fpengine.session import ensure_checkpoint_dir, prepare_session
 
@@ -214,3 +216,45 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def lower_bytes(data: np.ndarray) -> np.ndarray:
     """ASCII A-Z to a-z; all other bytes stay."""
     return _LOWER[data]
+
+
+# --- neighbours in a global order ----------------------------------------------------------
+
+def ordered_blocks(df: DataFrame, key: str, unique: str):
+    """Deal ``df`` into blocks of neighbouring keys so that every row meets the row before and the
+    row after it in its own block, whatever the blocks are. Returns ``df`` with
+
+    * ``_block``: number of the block,
+    * ``_role``: 0 for the last row of the block before (a copy), 1 for the block's own rows, 2 for the
+      first row of the block after (a copy; after the last block comes the first),
+
+    dealt by block and sorted by block, role, key and ``unique``. Only the keys are range-partitioned to
+    find the bounds; as many bounds as blocks reach the driver, and there are four blocks per shuffle
+    partition. A key that repeats stays in one block, next to its equals."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(F.col(key).alias("k"))
+    got = keys.repartitionByRange(4 * parts, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("lo")).collect()
+    bounds = sorted({r["lo"] for r in got})
+    shared = spark.sparkContext.broadcast(np.array(bounds, dtype=object if bounds and isinstance(bounds[0], str) else np.int64))
+
+    @pandas_udf("long")
+    def block_of(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, k.to_numpy(), side="right") - 1)
+
+    d = df.withColumn("_block", block_of(F.col(key))) if bounds else df.withColumn("_block", F.lit(0).cast("long"))
+    ends = d.groupBy("_block").agg(F.max(key).alias("hi"), F.min(key).alias("lo")).orderBy("_block").collect()
+    ids = [r["_block"] for r in ends]
+    extra = []
+    for i, r in enumerate(ends):
+        extra.append((r["hi"], r["_block"], ids[(i + 1) % len(ids)], 0))
+        extra.append((r["lo"], r["_block"], ids[i - 1], 2))
+    t = dict(df.dtypes)[key]
+    if extra:  # two rows per block: small by construction
+        copies = F.broadcast(spark.createDataFrame(extra, f"_ob_key {t}, _from long, _to long, _role2 int"))
+        moved = d.join(copies, (F.col(key) == F.col("_ob_key")) & (F.col("_block") == F.col("_from")))
+        moved = moved.withColumn("_block", F.col("_to")).withColumn("_role", F.col("_role2")).drop("_ob_key", "_from", "_to", "_role2")
+        d = d.withColumn("_role", F.lit(1)).unionByName(moved.select(*d.columns, "_role"))
+    else:
+        d = d.withColumn("_role", F.lit(1))
+    return d.repartition(parts, "_block").sortWithinPartitions("_block", "_role", key, unique)
