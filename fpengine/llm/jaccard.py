@@ -125,8 +125,10 @@ def _prefixes(level_of, words, num, den):
                 cut = np.zeros(rows + 1, dtype=np.int32)
                 np.cumsum([len(p) for p in pre], out=cut[1:])
                 flat = np.concatenate(pre).view(np.int64) if pre else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, rows), pa.array([len(u) for u in sets], type=pa.int64()),
-                                                  pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], names=["doc_id", "n", "pre"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(at, rows), pa.array([len(u) for u in sets], type=pa.int64()),
+                     pa.array([signature(u).tobytes() for u in sets], type=pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], names=["doc_id", "n", "sig", "pre"])
     return run
 
 
@@ -161,35 +163,45 @@ def _sets(words):
             ids = batch.column(0)
             for at, rows, data, off in text_blocks(batch):
                 sets = shingle_sets(data, off, words)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, rows), pa.array([len(u) for u in sets], type=pa.int64()),
-                     pa.array([signature(u).tobytes() for u in sets], type=pa.binary()),
-                     pa.array([u.tobytes() for u in sets], type=pa.binary())], names=["doc_id", "n", "sig", "arr"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, rows), pa.array([len(u) for u in sets], type=pa.int64()),
+                                                  pa.array([u.tobytes() for u in sets], type=pa.binary())], names=["doc_id", "n", "arr"])
     return run
 
 
-def _verify(num, den):
-    """Pairs with both bitmaps and arrays -> pairs that link."""
+def _bounded(num, den):
+    """Pairs with set sizes and bitmaps -> pairs that may link."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            cols = {name: batch.column(k).to_pylist() for k, name in enumerate(batch.schema.names)}
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             keep = []
-            for k in range(batch.num_rows):
-                na, nb = cols["na"][k], cols["nb"][k]
-                need = num * (na + nb)
-                sa, sb = (np.frombuffer(cols[c][k], dtype=np.uint8) for c in ("sa", "sb"))
+            for k in np.flatnonzero(np.minimum(na, nb) * den >= np.maximum(na, nb) * num).tolist():
+                sa, sb = (np.frombuffer(batch.column(c)[k].as_buffer(), dtype=np.uint8) for c in (4, 5))
                 w = 8 * min(len(sa), len(sb))
                 diff = int(np.bitwise_count(fold(sa, w) ^ fold(sb, w)).sum())
-                if (num + den) * overlap_bound(na, nb, diff) < need:
-                    continue
-                a, b = (np.frombuffer(cols[c][k], dtype=np.uint64) for c in ("aa", "ab"))
+                if (num + den) * overlap_bound(int(na[k]), int(nb[k]), diff) >= num * int(na[k] + nb[k]):
+                    keep.append(k)
+            if keep:
+                keep = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+    return run
+
+
+def _verify(num, den):
+    """Pairs with sorted arrays -> pairs that link, by exact intersection."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            keep = []
+            for k in range(batch.num_rows):
+                a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), dtype=np.uint64) for c in (2, 3))
                 at = np.searchsorted(b, a)
                 at[at == len(b)] = 0
-                if (num + den) * int((b[at] == a).sum()) >= need:
+                if (num + den) * int((b[at] == a).sum()) >= num * (len(a) + len(b)):
                     keep.append(k)
             if keep:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["a", "b"])
+                keep = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
     return run
 
 
@@ -276,47 +288,50 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     classes = stage(classes, "jac-classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "n").distinct()
 
-    pre = src.where("doc_id IS NOT NULL").mapInArrow(_prefixes(level_of, words, num, den), "doc_id long, n long, pre array<long>")
-    pre = stage(pre.where("n > 0").join(reps, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n"])
-                if _has_repeats(rows) else pre.where("n > 0").join(reps, ["doc_id", "n"], "left_semi"), "jac-prefix")
+    repeats = _has_repeats(rows)
+    one = (lambda df: df.dropDuplicates(["doc_id", "n"])) if repeats else (lambda df: df)
+    pre = src.where("doc_id IS NOT NULL").mapInArrow(_prefixes(level_of, words, num, den), "doc_id long, n long, sig binary, pre array<long>")
+    pre = stage(one(pre.where("n > 0").join(reps, ["doc_id", "n"], "left_semi")), "jac-prefix")
     free_shuffles(spark)
-    keyed = pre.select("doc_id", "n", F.explode("pre").alias("h"))
-    groups = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "n")).alias("lo"),
-                                    F.max(F.struct("doc_id", "n")).alias("hi"),
-                                    F.sum(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1))).alias("fp")) \
-        .where("m > 1 AND lo.doc_id <> hi.doc_id")
-    groups = stage(groups.select("h", "m", "lo", "hi", "fp"), "jac-groups")
-    # groups of equal members say the same: one of them is enough, with the number of them
-    groups = stage(groups.groupBy("m", "fp", F.col("lo").alias("lo"), F.col("hi").alias("hi"))
-                   .agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("w")), "jac-groups")
-    two = groups.where("m = 2").select(F.col("hi.doc_id").alias("doc"), F.col("hi.n").alias("n"), "lo", "w")
-    # a hot key of this join is split by Spark's skew join
-    more = stage(keyed.join(groups.where("m > 2").select("h", "m", "lo", "w"), "h")
-                 .select("h", "m", F.col("doc_id").alias("doc"), "n", "lo", "w"), "jac-members")
-    star = two.unionByName(more.where("doc <> lo.doc_id").select("doc", "n", "lo", "w"))
-    near = (F.least("n", "lo.n") * den >= F.greatest("n", "lo.n") * num)
-    star = star.where(near).groupBy("doc", F.col("lo.doc_id").alias("centre")).agg(F.sum("w").alias("w"))
-    star = stage(star, "jac-star")
-    first = star.groupBy("doc").agg(F.max_by("centre", F.struct("w", -F.col("centre"))).alias("centre")) \
-        .select(F.col("centre").alias("a"), F.col("doc").alias("b"))
-    first = stage(first, "jac-first")
+    keyed = pre.select("doc_id", F.explode("pre").alias("h"))
+    groups = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
+    groups = stage(groups, "jac-groups")
     free_shuffles(spark)
-
-    # bitmaps and arrays of the documents that meet another one
-    need = stage(two.select("doc").union(two.select("lo.doc_id")).union(more.select("doc")).distinct(), "jac-need")
-    wanted = src.join(need.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
-    sets = wanted.mapInArrow(_sets(words), "doc_id long, n long, sig binary, arr binary")
-    sets = stage(sets.join(reps, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id"]) if _has_repeats(rows) else sets, "jac-sets")
+    # members of the groups of three and more; a hot key of this join is split by Spark's skew join
+    more = keyed.join(groups.where("m > 2").select("h", "lo"), "h")
+    more = stage(more.select("h", F.col("doc_id").alias("doc"), "lo"), "jac-members")
     free_shuffles(spark)
+    two = groups.where("m = 2").select(F.col("hi").alias("doc"), "lo")
+    star = two.unionByName(more.where("doc <> lo").select("doc", "lo")).groupBy(F.col("lo").alias("a"), F.col("doc").alias("b")) \
+        .agg(F.count(F.lit(1)).alias("w"))
+    star = stage(star, "jac-star")
+    sig = pre.select("doc_id", "n", "sig")
+
+    def may_link(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sizes and bitmaps allow a link."""
+        sa = sig.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+        sb = sig.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+        j = pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", "sa", "sb")
+        return j.mapInArrow(_bounded(num, den), "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("arr").alias("aa"))
-        b = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("arr").alias("ab"))
-        j = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb", "aa", "ab")
+        """Pairs that link. Only their documents' arrays are made."""
+        need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        sets = src.join(need, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, n long, arr binary")
+        sets = stage(one(sets.join(reps, ["doc_id", "n"], "left_semi")) if repeats else sets, "jac-sets")
+        free_shuffles(spark)
+        a = sets.select(F.col("doc_id").alias("a"), F.col("arr").alias("aa"))
+        b = sets.select(F.col("doc_id").alias("b"), F.col("arr").alias("ab"))
+        j = pairs.join(a, "a").join(b, "b").select("a", "b", "aa", "ab")
         out = stage(j.mapInArrow(_verify(num, den), "a long, b long"), "jac-links")
+        discard(sets)
         free_shuffles(spark)
         return out
 
+    # round 1: each document against the centre it meets most often, of those that may link
+    open_ = stage(may_link(star), "jac-open")
+    best = star.join(open_, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a"))
+    first = stage(best.select("a", "b"), "jac-first")
     links = verified(first)
     comp = connected_components(links)
 
@@ -325,30 +340,30 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return df.join(c, col, "left").withColumn(out, F.coalesce("_c", col)).drop("_c")
 
     # round 2: what is still in different components
-    pairs2 = star.join(first.select(F.col("a").alias("centre"), F.col("b").alias("doc")), ["doc", "centre"], "left_anti") \
-        .select(F.col("centre").alias("a"), F.col("doc").alias("b"))
-    pairs2 = with_comp(with_comp(pairs2, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    member = stage(with_comp(more.select("h", "m", "doc", "n"), "doc", "comp"), "jac-open")
-    mixed = member.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m2")) \
-        .where("c1 <> c2").select("h", F.ceil(F.col("m2") / TILE).cast("int").alias("nb"))
-    tiles = member.join(mixed, "h").join(sets.select(F.col("doc_id").alias("doc"), "sig"), "doc") \
+    pairs2 = with_comp(with_comp(open_.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+    member = stage(with_comp(more.select("h", "doc"), "doc", "comp"), "jac-member")
+    mixed = member.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m"),
+                                    F.sum(F.xxhash64("doc").bitwiseAND(F.lit((1 << 40) - 1))).alias("fp")).where("c1 <> c2")
+    # groups of the same members say the same: one of them is enough
+    mixed = mixed.groupBy("m", "fp").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("m") / TILE).cast("int").alias("nb"))
+    tiles = member.join(mixed, "h").join(sig.withColumnRenamed("doc_id", "doc"), "doc") \
         .withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int")) \
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     tiles = tiles.select(F.col("h").alias("g"), F.least("blk", "o").alias("ti"), F.greatest("blk", "o").alias("tj"),
                          "doc", "n", "comp", "blk", "sig")
     met = tiles.repartition("g", "ti", "tj").sortWithinPartitions("g", "ti", "tj").mapInArrow(_tiles(num, den), "a long, b long")
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stage(met.union(pairs2.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-                 .join(tried, ["a", "b"], "left_anti"), "jac-rest")
+    rest = stage(met.union(pairs2).distinct().join(first, ["a", "b"], "left_anti"), "jac-rest")
     free_shuffles(spark)
-    again = verified(rest)
-    if not again.isEmpty():
+    used = [scan, classes, pre, groups, more, star, open_, first, links, member, rest]
+    if not rest.isEmpty():
+        again = verified(rest)
         comp = connected_components(links.union(again))
+        used.append(again)
 
     # every row: its class's component
     cls = classes.select("n", "f1", "f2", "rep")
     cls = with_comp(cls, "rep", "comp")
-    if _has_repeats(rows):  # an id with several sets joins their components
+    if repeats:  # an id with several sets joins their components
         ids = rows.where("n > 0 AND doc_id IS NOT NULL").join(cls, ["n", "f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("comp").alias("b"))
         merged = connected_components(ids.union(cls.select(F.col("rep").alias("a"), F.col("comp").alias("b"))))
         out = rows.join(merged.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -357,7 +372,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         out = rows.join(cls, ["n", "f1", "f2"], "left")
         comp_col = F.coalesce("comp", "doc_id")
     res = stage(out.select("doc_id", F.col("n").alias("n_shingles"), comp_col.alias("component_id")), "jac-result")
-    discard(scan, classes, pre, groups, more, star, first, need, sets, links, member, rest, again)
+    discard(*used)
     return res
 
 
