@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fpengine.llm import embeddings, jaccard, mixing, pages, pieces, pii, toxicity, winnowing
+from fpengine.llm import embeddings, jaccard, mixing, pages, pieces, pii, suffixes, toxicity, winnowing
 from fpengine.llm.common import crc_mod, whole_text
 from fpengine.sources.tables import table
 
@@ -46,6 +46,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"))
 
 
+@_query("op6_suffix_repeats")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @_query("op7_itq_near_duplicates")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
