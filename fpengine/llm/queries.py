@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fpengine.llm import embeddings, jaccard, mixing, pages, pieces, pii, suffixes, toxicity, winnowing
+from fpengine.llm import embeddings, jaccard, mixing, mixing_lm, pages, pieces, pii, suffixes, toxicity, winnowing
 from fpengine.llm.common import crc_mod, whole_text
 from fpengine.sources.tables import table
 
@@ -30,6 +30,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_tokens", "spans")
 
 
+@_query("op2_context_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 @_query("op3_sentencepiece_viterbi")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.length(whole_text()).cast("long").alias("n_chars"), "text")
