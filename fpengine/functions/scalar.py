@@ -116,13 +116,17 @@ def json_from_fenced(x) -> Column:
     return F.when(body != "", body).otherwise(_c(x))
 
 
-def robust_json(x) -> Column:
-    """FN10 candidates in order: fenced block, last flat {...} object, whole text; the first
+def robust_json(x, key: str = "device_type") -> Column:
+    """FN10 candidates in order: fenced block, the first flat {...} object that has the key and
+    parses, from the last { to the last }, last flat object, whole text; the first
     candidate that parses as a JSON object wins (null when none does)."""
     t = _c(x)
     fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    keyed = F.regexp_extract_all(t, F.lit(r'(?s)\{[^{}]*"' + key + r'"[^{}]*\}'), F.lit(0))
+    with_key = F.try_element_at(F.filter(keyed, lambda c: F.try_parse_json(c).isNotNull()), F.lit(1))
+    tail = F.regexp_extract(t, r"(?s).*(\{.*\})", 1)
     last_obj = F.regexp_extract(t, r"(?s).*(\{[^{}]*\})", 1)
-    cands = [fenced, last_obj, t]
+    cands = [fenced, F.coalesce(with_key, F.lit("")), tail, last_obj, t]
     ok = [F.when((c != "") & F.try_parse_json(c).isNotNull() & F.startswith(F.ltrim(c), F.lit("{")), c) for c in cands]
     return F.coalesce(*ok)
 
@@ -270,8 +274,8 @@ def row_map(cols) -> Column:
     """PRJ23: {column: value} with NaN -> null."""
     vals = []
     for c in cols:
-        col = F.col(f"`{c}`")
-        vals.append(col.cast("string"))
+        text = F.col(f"`{c}`").cast("string")
+        vals.append(F.when(text != "NaN", text))
     return F.map_from_arrays(F.array(*[F.lit(c) for c in cols]), F.array(*vals))
 
 

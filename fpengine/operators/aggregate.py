@@ -36,14 +36,14 @@ def exact_quantile(df: DataFrame, value_col: str, by: Sequence[str] = (), q: flo
     task: values are numbered through a range exchange (distributed_row_number), the two
     neighbouring ranks are kept and interpolated."""
     keyed = df.select(*by, F.col(value_col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    grp = list(by) if by else ["_all"]
-    if not by:
-        keyed = keyed.withColumn("_all", F.lit(0))
+    grp = list(by)
     # tie-break equal values by a content hash so numbering is deterministic
     keyed = keyed.withColumn("_h", F.xxhash64(*grp, "_x"))
     numbered = distributed_row_number(keyed, grp, ["_x", "_h"], out="_rn")
-    n = keyed.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n"))
-    j = numbered.join(n, grp)
+    if by:
+        j = numbered.join(keyed.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n")), grp)
+    else:  # one number: a literal, not a join without a key
+        j = numbered.withColumn("_n", F.lit(keyed.count()))
     pos = (F.col("_n") - 1) * F.lit(q)
     lo = F.floor(pos) + 1
     hi = F.ceil(pos) + 1
@@ -53,8 +53,7 @@ def exact_quantile(df: DataFrame, value_col: str, by: Sequence[str] = (), q: flo
         F.max(F.when(F.col("_rn") == hi, F.col("_x"))).alias("_hi"),
         F.first("_n").alias("_n"))
     frac = ((F.col("_n") - 1) * F.lit(q)) - F.floor((F.col("_n") - 1) * F.lit(q))
-    res = res.select(*grp, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias(out))
-    return res.drop("_all") if not by else res
+    return res.select(*grp, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias(out))
 
 
 def median_mad(df: DataFrame, value_col: str, by: Sequence[str] = ()) -> DataFrame:

@@ -20,7 +20,7 @@ from .windows import distributed_row_number
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, *, id_col: str = "id",
-                         src: str = "src", dst: str = "dst", max_iter: int = 100) -> DataFrame:
+                         src: str = "src", dst: str = "dst") -> DataFrame:
     """Label = smallest vertex id of the component. Min-label propagation with pointer
     jumping (label <- label of label), each round cut by a reliable checkpoint; stops when
     no label changes. Output: id, component."""
@@ -29,7 +29,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, *, id_col: str =
     und = cut_lineage(und)
     labels = cut_lineage(vertices.select(F.col(id_col).alias("_id")).distinct()
                          .withColumn("_l", F.col("_id")))
-    for _ in range(max_iter):
+    while True:
         nb = und.join(labels.select(F.col("_id").alias("_a"), "_l"), "_a") \
             .groupBy("_b").agg(F.min("_l").alias("_nl"))
         step = labels.join(nb.withColumnRenamed("_b", "_id"), "_id", "left") \

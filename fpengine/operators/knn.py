@@ -74,6 +74,14 @@ def _block_search(k: int, qid: str, qvec: str, cid: str, cvec: str, exclude_same
     return run
 
 
+def _same_types(left: DataFrame, right: DataFrame, *keys: str) -> None:
+    """cogroup() hashes both sides' keys as they are: keys of different types would send equal
+    values to different partitions."""
+    for k in keys:
+        if left.schema[k].dataType != right.schema[k].dataType:
+            raise TypeError(f"co-group key {k}: {left.schema[k].dataType} and {right.schema[k].dataType}")
+
+
 def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id",
                query_vec: str = "qvec", corpus_id: str = "id", corpus_vec: str = "vec",
                payload: tuple[str, ...] = (), exclude_same_id: bool = False,
@@ -90,10 +98,10 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str =
     floor_blocks = min_corpus_blocks if min_corpus_blocks is not None else spark.sparkContext.defaultParallelism
     cb = max(math.ceil(nc / corpus_rows_per_block), min(floor_blocks, max(1, nc // 256)))
     q = (queries.select(F.col(query_id), F.col(query_vec))
-         .withColumn("_qb", F.pmod(F.xxhash64(query_id), F.lit(qb)))
+         .withColumn("_qb", F.pmod(F.xxhash64(query_id), F.lit(qb)).cast("int"))
          .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
     c = (corpus.select(F.col(corpus_id), F.col(corpus_vec), *[F.col(p) for p in payload])
-         .withColumn("_cb", F.pmod(F.xxhash64(corpus_id), F.lit(cb)))
+         .withColumn("_cb", F.pmod(F.xxhash64(corpus_id), F.lit(cb)).cast("int"))
          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
     fields = [queries.schema[query_id], corpus.schema[corpus_id]]
     schema = T.StructType([T.StructField(query_id, fields[0].dataType),
@@ -101,6 +109,7 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str =
                            T.StructField("score", T.DoubleType())]
                           + [T.StructField(p, corpus.schema[p].dataType) for p in payload])
     fn = _block_search(k, query_id, query_vec, corpus_id, corpus_vec, exclude_same_id, chunk_rows, list(payload))
+    _same_types(q, c, "_qb", "_cb")
     partial = q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb")).applyInPandas(fn, schema)
     w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(corpus_id).asc())
     return partial.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
@@ -118,7 +127,7 @@ def exact_range_pairs(points: DataFrame, radius: float, *, id_col: str = "id", v
     floor_blocks = min_blocks if min_blocks is not None else spark.sparkContext.defaultParallelism
     nb = max(math.ceil(n / points_per_block), min(floor_blocks, max(1, n // 256)))
     base = points.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_v")) \
-        .withColumn("_blk", F.pmod(F.xxhash64("_id"), F.lit(nb)))
+        .withColumn("_blk", F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int"))
     left = base.select(F.col("_id").alias("_ida"), F.col("_v").alias("_va"), F.col("_blk").alias("_a")) \
         .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
     right = base.select(F.col("_id").alias("_idb"), F.col("_v").alias("_vb"), F.col("_blk").alias("_b")) \
@@ -152,6 +161,7 @@ def exact_range_pairs(points: DataFrame, radius: float, *, id_col: str = "id", v
                              "dist": np.concatenate(out_x)})
 
     schema = "src long, dst long, dist double"
+    _same_types(left, right, "_a", "_b")
     return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(run, schema)
 
 
