@@ -10,15 +10,15 @@ bytes. Spark's external sort, which spills to disk, orders the tuples by gram. W
 suffixes is then induced from the sorted sample:
 
 * runs with equal gram and equal context agree in all their windows, whose bytes are covered at once;
-* runs that share a gram with another document but not the whole context agree in some windows at most.
-  They alone are expanded: the smallest document of each of their windows is found by a partial
+* runs that share a gram with another document but not the whole context agree in some windows at most, and only if
+  they agree on half of the rest of a window left or right of the gram. They alone are expanded: the smallest document of each of their windows is found by a partial
   aggregation, and their windows are marked by joining back.
 
 The classical external induced sorting carries common-prefix values through disk-backed priority queues
 of one machine; here the context hash plays their part (full agreement) and window hashes the
 rest, because the length that matters is fixed. Tuples of equal gram and context collapse inside a task to the smallest
-document before the shuffle, and grams that one task sees in very many contexts go straight
-to the expansion, with one witness sent along, so no gram gathers an unbounded group.
+document before the shuffle, and grams that one task sees in more contexts than its share of
+``GROUP`` go straight to the expansion, with one witness sent along, so no gram gathers an unbounded group.
 
 Strings are compared by 64-bit hashes of their bytes.
 
@@ -38,8 +38,8 @@ from fpengine.llm.common import discard, free_shuffles, mix64, prefix_hash, rang
 
 LENGTH = 50
 GRAM = 16
-#: contexts of one gram in one task beyond which they are expanded without a shuffle by gram
-HOT = 256
+#: runs of one gram that may meet in one task; a map task that sees more than its share expands them directly
+GROUP = 1_000_000
 #: tuples a task holds before it gives them out
 HELD = 1_500_000
 #: offset codes fit 6 bits, the number of windows of a run 6 bits
@@ -48,7 +48,8 @@ _FBITS = 40
 
 def runs_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """Runs of windows with one representative: row, first window (place in the row), number of
-    windows, gram hash, context hash."""
+    windows (6 bits) with short hashes of the bytes left and right of the gram (12 bits each, 0 at a
+    text's ends), gram hash, context hash."""
     n = np.diff(off)
     have = np.flatnonzero(n >= length)
     if not len(have):
@@ -82,7 +83,13 @@ def runs_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     place = r[first]
     ctx = range_hash(s, a, a + count + length - 1)
     ctx = mix64(ctx ^ (place - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ count.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return row, a - off[row], count, h[place], ctx
+    # a window that two runs share holds this many bytes on one side of the gram at least
+    half = -(-(length - gram) // 2)
+    left, right = place - half, place + gram + half
+    hl = np.where(left >= off[row], range_hash(s, np.maximum(left, 0), place) % np.uint64(4095) + np.uint64(1), np.uint64(0))
+    hr = np.where(right <= off[row + 1], range_hash(s, place + gram, np.minimum(right, total)) % np.uint64(4095) + np.uint64(1), np.uint64(0))
+    side = (hl.astype(np.int64) << 6) | (hr.astype(np.int64) << 18)
+    return row, a - off[row], count | side, h[place], ctx
 
 
 def _merge(doc, th, start, end):
@@ -117,7 +124,7 @@ def _rows(kind, g, f, doc, th, a, b):
          pa.array(a), pa.array(b)], names=["kind", "g", "f", "doc", "th", "a", "b"])
 
 
-def _collapse(parts, length):
+def _collapse(parts, length, most):
     """Equal gram and context inside a task: all but the smallest document are settled."""
     g, f, doc, th, a, c = (np.concatenate([p[k] for p in parts]) for k in range(6))
     o = np.lexsort((doc, f, g))
@@ -128,7 +135,7 @@ def _collapse(parts, length):
     low = np.repeat(doc[first], np.diff(np.append(first, len(g))))
     done = doc > low
     if done.any():
-        d, t, s, e = _merge(doc[done], th[done], a[done], a[done] + c[done] + length - 1)
+        d, t, s, e = _merge(doc[done], th[done], a[done], a[done] + (c[done] & 63) + length - 1)
         yield _rows(SPAN, mix64(d.astype(np.uint64)).view(np.int64), None, d, t, s, e)
     k = ~done
     g, f, doc, th, a, c = (x[k] for x in (g, f, doc, th, a, c))
@@ -136,17 +143,17 @@ def _collapse(parts, length):
     newg[1:] = g[1:] != g[:-1]
     fg = np.flatnonzero(newg)
     size = np.diff(np.append(fg, len(g)))
-    hot = np.repeat(size > HOT, size)
+    hot = np.repeat(size > most, size)
     packed = (f & np.uint64((1 << _FBITS) - 1)).astype(np.int64) << 1
     if hot.any():
-        yield _rows(EXPAND, mix64(doc[hot].astype(np.uint64)).view(np.int64), None, doc[hot], th[hot], a[hot], c[hot])
-        w = fg[size > HOT]  # a witness for the other tasks; its mark sends the whole group to the expansion
+        yield _rows(EXPAND, mix64(doc[hot].astype(np.uint64)).view(np.int64), None, doc[hot], th[hot], a[hot], c[hot] & 63)
+        w = fg[size > most]  # a witness for the other tasks; its mark sends the whole group to the expansion
         yield _rows(OPEN, g[w].view(np.int64), packed[w] | 1, doc[w], th[w], a[w], c[w])
     cold = ~hot
     yield _rows(OPEN, g[cold].view(np.int64), packed[cold], doc[cold], th[cold], a[cold], c[cold])
 
 
-def _scan(length, gram):
+def _scan(length, gram, most):
     def run(batches):
         parts, held = [], 0
         for batch in batches:
@@ -158,10 +165,10 @@ def _scan(length, gram):
                 parts.append((g, f & np.uint64((1 << _FBITS) - 1), ids[at + row], ths[at + row], a, c))
                 held += len(row)
                 if held >= HELD:
-                    yield from _collapse(parts, length)
+                    yield from _collapse(parts, length, most)
                     parts, held = [], 0
         if parts:
-            yield from _collapse(parts, length)
+            yield from _collapse(parts, length, most)
     return run
 
 
@@ -200,12 +207,25 @@ def _settle(length):
         low = np.repeat(doc[ff], nf)
         done = doc > low
         if done.any():
-            yield _rows(SPAN, None, None, *_merge(doc[done], th[done], a[done], a[done] + c[done] + length - 1))
-        # several contexts of one gram: the smallest document of each context is expanded
+            yield _rows(SPAN, None, None, *_merge(doc[done], th[done], a[done], a[done] + (c[done] & 63) + length - 1))
+        # several contexts of one gram: the smallest document of each context is expanded, if another document agrees
+        # with it on the bytes left or right of the gram
         contexts = np.bincount(grp[ff], minlength=len(fg_size))
-        wide = (~done) & ((contexts[grp] > 1) | anyhot[grp])
-        if wide.any():
-            yield _rows(EXPAND, None, None, doc[wide], th[wide], a[wide], c[wide])
+        wide = np.flatnonzero((~done) & ((contexts[grp] > 1) | anyhot[grp]))
+        if len(wide):
+            near = anyhot[grp[wide]]
+            for shift in (6, 18):
+                side = (c[wide] >> shift) & 4095
+                o = np.lexsort((side, grp[wide]))
+                gs, ss, ds = grp[wide][o], side[o], doc[wide][o]
+                new = np.ones(len(o), dtype=bool)
+                new[1:] = (gs[1:] != gs[:-1]) | (ss[1:] != ss[:-1])
+                f0 = np.flatnonzero(new)
+                several = (np.minimum.reduceat(ds, f0) != np.maximum.reduceat(ds, f0)) & (ss[f0] > 0)
+                near[o] |= np.repeat(several, np.diff(np.append(f0, len(o))))
+            wide = wide[near]
+        if len(wide):
+            yield _rows(EXPAND, None, None, doc[wide], th[wide], a[wide], c[wide] & 63)
 
     def run(batches):
         import pyarrow as pa
@@ -284,7 +304,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeats = not src.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
     # rows that repeat an id are told apart by their text
     src = src.withColumn("th", F.xxhash64("text") if repeats else F.lit(0).cast("long")).select("doc", "th", "text")
-    runs = src.where("doc IS NOT NULL").mapInArrow(_scan(length, gram), COLS)
+    runs = src.where("doc IS NOT NULL").mapInArrow(_scan(length, gram, max(64, GROUP // max(1, src.rdd.getNumPartitions()))), COLS)
     dealt = runs.repartition("g").sortWithinPartitions("g")
     found = stage(dealt.mapInArrow(_settle(length), COLS).select("kind", "doc", "th", "a", "b"), "sfx-found")
     free_shuffles(spark)

@@ -10,7 +10,7 @@ It is fitted by maximum likelihood on windows of labelled documents, of which at
 ``MAX_WINDOWS`` are taken in the order of a hash. Forward-backward gives each token's marginal in every
 whole text: long texts are cut into blocks whose 2x2 products are formed side by side and chained, which is
 exact. A logistic function of sums and maxima of the marginals, fitted on at most
-``MAX_CALIBRATION`` labelled training documents, is the score. Tokens with a marginal of 0.5 or more are
+``MAX_CALIBRATION`` (about) labelled training documents, those with the smallest hashes, is the score. Tokens with a marginal of 0.5 or more are
 given as character offsets.
 
 Defined results: null and empty texts have no tokens and get the score of a text without
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fpengine.llm.common import crc_mod, discard, spark_of, stage
+from fpengine.llm.common import crc_mod, discard, free_shuffles, spark_of, stage
 
 MAX_WINDOWS = 16_000
 MAX_CALIBRATION = 20_000
@@ -317,6 +317,7 @@ def _windows(words: frozenset):
 def fit(train: DataFrame) -> Crf | None:
     """``train``: doc_id, text, toxic. None if there is nothing to learn from."""
     train = stage(train.select("doc_id", "text", "toxic"), "tox-train")
+    free_shuffles(train.sparkSession)
     words = frozenset(offending_words(train))
     if not words:
         discard(train)
@@ -325,8 +326,8 @@ def fit(train: DataFrame) -> Crf | None:
     got = win.orderBy("o", "words", "labels").limit(MAX_WINDOWS).collect()
     crf = fit_crf([r["words"].split(" ") for r in got], [[int(c) for c in r["labels"]] for r in got])
     # calibration: document features of a bounded part of the training rows, in the order of a hash
-    part = train.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), "doc_id").select("doc_id").limit(MAX_CALIBRATION)
-    rows = train.join(part.distinct(), "doc_id", "left_semi").select("doc_id", "text", "toxic")
+    share = min(1.0, MAX_CALIBRATION / max(train.count(), 1))
+    rows = train.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(1_000_003)) < share * 1_000_003)
 
     def feats(batches):
         import pyarrow as pa
@@ -383,7 +384,8 @@ def score(docs: DataFrame, crf: Crf | None, doc_id: str = "doc_id", text: str =
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled documents outside the held-out fold (crc32 of the id modulo 5 is 0)."""
     y = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.where(crc_mod("doc_id", 5) > 0).select("doc_id", "text").join(y, "doc_id")
+    # by shuffle at every size: the labels grow with the documents
+    return docs.where(crc_mod("doc_id", 5) > 0).select("doc_id", "text").join(y.hint("merge"), "doc_id")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
