@@ -371,7 +371,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     else:
         out = rows.join(cls, ["n", "f1", "f2"], "left")
         comp_col = F.coalesce("comp", "doc_id")
-    res = stage(out.select("doc_id", F.col("n").alias("n_shingles"), comp_col.alias("component_id")), "jac-result")
+    res = stage(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), comp_col).alias("component_id")), "jac-result")
     discard(*used)
     return res
 

@@ -146,13 +146,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     Documents without words carry nothing to balance and stay once."""
     counts = mix_counts(docs, doc_id, text, source, weights, max_repeat)
     # the number of copies is a property of (id, source, size, text hash); repeated rows share it
-    per = counts.groupBy("doc_id", "source", "_tie").agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_n")) \
-        .select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_tie").alias("_h"), "_sum", "_n")
-    key = docs.withColumn("_h0", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    j = key.join(per, F.col(doc_id).eqNullSafe(F.col("_d")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_h0") == F.col("_h")))
-    # repeated rows are equal here: giving each the group's mean number of copies, rounded up for
-    # as many as needed, needs an order among equals; the mean rounds to the same total or above
-    times = F.round(F.col("_sum") / F.col("_n")).cast("int")
-    kept = j.withColumn("_times", times).where("_times > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))) \
-        .select(*[kept[c] for c in docs.columns])
+    per = counts.groupBy("doc_id", "source", "_tie").agg(F.sum("copies").alias("_mix_sum"), F.count(F.lit(1)).alias("_mix_n")) \
+        .select(F.col("doc_id").alias("_mix_d"), F.col("source").alias("_mix_s"), F.col("_tie").alias("_mix_t"), "_mix_sum", "_mix_n")
+    key = docs.withColumn("_mix_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    j = key.join(per, F.col(doc_id).eqNullSafe(F.col("_mix_d")) & F.col(source).eqNullSafe(F.col("_mix_s")) & (F.col("_mix_h") == F.col("_mix_t")))
+    # repeated rows are equal here; giving each an own number would need an order among equals, so each
+    # gets their mean number, rounded
+    kept = j.withColumn("_mix_k", F.round(F.col("_mix_sum") / F.col("_mix_n")).cast("int")).where("_mix_k > 0")
+    return kept.withColumn("_mix_c", F.explode(F.sequence(F.lit(1), F.col("_mix_k")))).select(*[F.col(f"`{c}`") for c in docs.columns])

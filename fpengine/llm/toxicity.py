@@ -396,5 +396,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return docs
     key = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
     bad = score(key, crf).where("score >= 0.5").select("doc_id.doc_id", "doc_id.h").distinct()
-    d, b = docs.withColumn("_tox_h", F.xxhash64("text")), bad.withColumnsRenamed({"doc_id": "_b", "h": "_bh"})
-    return d.join(b, (F.col("_tox_h") == F.col("_bh")) & F.col("doc_id").eqNullSafe(F.col("_b")), "left_anti").select(*docs.columns)
+    d, b = docs.withColumn("_tox_h", F.xxhash64("text")), bad.withColumnsRenamed({"doc_id": "_tox_b", "h": "_tox_bh"})
+    return d.join(b, (F.col("_tox_h") == F.col("_tox_bh")) & F.col("doc_id").eqNullSafe(F.col("_tox_b")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,0 +1,227 @@
+"""The operators on small tables: nulls, empty and long texts, ties, repeats, empty tables."""
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+from math import log10
+
+import numpy as np
+import pytest
+
+from fpengine.llm import embeddings, jaccard, mixing, mixing_lm, pages, pieces, pii, suffixes, toxicity, winnowing
+from tests.conftest import SF001
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, _h string"
+
+
+def make(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), "x") for i, t, s in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base = " ".join(f"w{i % 37}x{i % 11}" for i in range(120))
+    rows = [(7, base, "b"), (3, base, "a"), (5, base.replace("w3x3", "q"), None), (9, None, "a"), (11, "", "a"),
+            (13, "Two words", "b"), (15, "two  WORDS", "b"), (17, "y" * 30_000, "c"), (None, base, "c"),
+            (21, "mail a.b9@mail.example.org card 4111 1111 1111 1111 on 2021-02-28 or 30.02.2021", None), (23, "other " * 60, "a")]
+    return make(spark, rows).cache()
+
+
+def test_jaccard_small(spark, docs):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(docs).collect()}
+    assert got[3][1] == got[7][1] == got[5][1] == 3 and got[13] == (1, 13) and got[15] == (1, 13)
+    assert got[9] == (0, 9) and got[11] == (0, 11) and got[None][1] is None and got[23] == (1, 23)
+    assert jaccard.similar_components(docs.limit(0)).count() == 0
+
+
+def test_jaccard_brute_force(spark):
+    d = spark.read.parquet(f"{SF001}/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(d).collect()}
+    sets, fold = {}, str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for r in d.select("doc_id", "text").collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(fold))
+        sets[r.doc_id] = {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    par = {i: i for i in sets}
+
+    def root(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    where, common = defaultdict(list), Counter()
+    for i, s in sets.items():
+        for z in s:
+            where[z].append(i)
+    for ids in where.values():
+        common.update((a, b) for k, a in enumerate(ids) for b in ids[k + 1:])
+    for (a, b), c in common.items():
+        if 100 * c >= 80 * (len(sets[a]) + len(sets[b]) - c):
+            x, y = root(a), root(b)
+            par[max(x, y)] = min(x, y)
+    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def test_tiles_find_every_pair():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 63, size=50).astype(np.uint64))]
+    for _ in range(30):
+        s = sets[rng.integers(0, len(sets))]
+        sets.append(np.unique(np.concatenate([s[rng.random(len(s)) > 0.08], rng.integers(0, 1 << 63, size=3).astype(np.uint64)])))
+    n = np.array([len(s) for s in sets])
+    sig = [jaccard.signature(s).tobytes() for s in sets]
+    ids = np.arange(len(sets))
+    a, b = jaccard.tile_pairs(ids, n, ids, ids * 0, sig, False)
+    found = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+    for i in ids:
+        for j in ids[i + 1:]:
+            c = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * c >= 80 * (n[i] + n[j] - c):
+                assert (i, j) in found
+
+
+def test_pii(spark, docs):
+    rows = {r.doc_id: r for r in pii.pseudonymise(docs, count="n_values").collect()}
+    t = rows[21].text
+    assert rows[21].n_values == 3 and "4111 1111 1111 1111" not in t and "2021-02-28" not in t and t.endswith("30.02.2021")
+    m = re.search(r"card (\d{4} \d{4} \d{4} \d{4}) on (\d{4}-\d\d-\d\d)", t)
+    d = [int(c) for c in m[1].replace(" ", "")][::-1]
+    assert (sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+    assert rows[9].text is None and rows[11].text == "" and rows[3].text == docs.where("doc_id = 3").first().text
+    two = make(spark, [(i, f"{i} 42.144.35.254 +1 (456) 555-2186 DE89 3704 0044 0532 0130 00", "a") for i in (1, 2)])
+    a, b = [r.text.split(" ", 1)[1] for r in pii.pseudonymise(two).orderBy("doc_id").collect()]
+    assert a == b and "42.144.35.254" not in a
+    many = make(spark, [(i, f"2021-{1 + i % 12:02d}-{1 + i // 12:02d}", "a") for i in range(300)])
+    assert pii.pseudonymise(many).select("text").distinct().count() == 300  # a permutation
+    assert pii.pseudonymise(docs.limit(0)).columns == docs.columns
+
+
+def test_mixing(spark, docs):
+    got = mixing.mix_counts(docs).collect()
+    assert len(got) == docs.count() and all(r.taken <= 3 * r.size and r.taken == r.copies * r.size for r in got)
+    by = {r.source: r for r in got}
+    sizes = Counter()
+    for r in got:
+        sizes[r.source] += r.size
+    total, weights = sum(sizes.values()), dict(zip(sorted(s for s in sizes if s) + [None], (5, 2, 1, 5)))
+    target, open_ = {}, dict(weights)
+    while True:  # stop at three times the size, share the excess again
+        left = total - sum(target.values())
+        share = {s: left * w / sum(open_.values()) for s, w in open_.items()}
+        over = [s for s in share if share[s] > 3 * sizes[s]]
+        if not over:
+            target.update(share)
+            break
+        for s in over:
+            target[s] = 3 * sizes[s]
+            del open_[s]
+    assert all(abs(by[s].target - target[s]) < 1e-6 and by[s].source_size == sizes[s] for s in sizes)
+    again = sorted((r.doc_id or -1, r.taken, r.size) for r in mixing.mix_counts(docs).collect())
+    assert again == sorted((r.doc_id or -1, r.taken, r.size) for r in got)
+    assert mixing.mix(docs).columns == docs.columns and mixing.mix_counts(docs.limit(0)).count() == 0
+
+
+def test_mixing_comes_near(spark):
+    got = mixing.mix_counts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[r.source] - r.target) <= 0.02 * r.target for r in got)
+
+
+def test_suffixes(spark, docs):
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    low = {}
+    for d, b in rows:
+        for i in range(len(b) - 49):
+            if d is not None:
+                w = b[i:i + 50]
+                low[w] = min(low.get(w, d), d)
+    got = {r.doc_id: r for r in suffixes.remove_repeats(docs).collect()}
+    assert len(got) == len(rows)
+    for d, b in rows:
+        mark = bytearray(len(b))
+        for i in range(len(b) - 49):
+            if d is not None and low[b[i:i + 50]] < d:
+                mark[i:i + 50] = b"\1" * 50
+        kept = bytes(x for x, m in zip(b, mark) if not m)
+        spans = sum(1 for i in range(len(mark)) if mark[i] and (i == 0 or not mark[i - 1]))
+        g = got[d]
+        assert (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) == (len(b), sum(mark), spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 32))
+    near = x[:60] + 0.2 * rng.normal(size=(60, 32))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.vstack([x, near]))] + [(900, x[0].tolist(), 1), (901, None, 1), (902, [0.0] * 32, 1),
+                                                                              (903, [float("nan")] * 32, 1), (904, [1.0], 1)]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    u = np.array([v for i, v, _ in rows if i < 901])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    have = np.array([got[i].n_links for i, _, _ in rows if i < 901])
+    assert (have <= want).all() and have.sum() >= 0.9 * want.sum()
+    assert got[900].component_id == 0 and not got[900].kept and all(got[i].n_links == 0 and got[i].kept for i in (901, 902, 903, 904))
+
+
+def test_winnowing_and_pieces(spark, docs):
+    got = {r.doc_id: r for r in winnowing.fingerprint_edits(docs).collect()}
+    order = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect())
+    for k, (has, d, t) in enumerate(order):
+        n = order[(k + 1) % len(order)][2]
+        e = winnowing.edited(t, n)
+        r = got[d if has else None]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+        assert r.near_next == winnowing.likeness(winnowing.winnow(t)[0], winnowing.winnow(n)[0])
+    assert winnowing.fingerprint_edits(docs.limit(0)).count() == 0
+    enc = pieces.encode(docs, check="same")
+    assert enc.where("same").count() == docs.count() and enc.where("doc_id = 9").first().n_tokens == 0
+    back = {r.doc_id: r.text for r in pieces.decode(enc).collect()}
+    assert back == {r.doc_id: r.text or "" for r in docs.collect()}
+
+
+def test_pages(spark):
+    rows = [(1, "http://h.example/a/1", "<div>Name</div><p>one</p>"), (2, "http://h.example/a/2", "<div>Name</div><p>two</p>"),
+            (3, None, None), (4, "x", "<p>alone &lt;3</p>"), (2, "http://h.example/a/2", "<div>Name</div><p>two</p>")]
+    got = sorted((r.page_id, r.text, r.n_chars) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got[0] == (1, "one", 3) and got[3] == (3, "", 0) and got[4] == (4, "alone <3", 8) and len(got) == 5
+
+
+def test_toxicity(spark):
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        words = [f"w{(i * 7 + k * 13) % 90}" for k in range(30)]
+        if bad:
+            words[i % 30] = ("idiot", "moron", "scum")[i % 3]
+        rows.append((i, " ".join(words), "a"))
+        labels.append((i, 1, int(bad)))
+    rows += [(1000, None, "a"), (1001, "", "a"), (1002, "w1 w2 " * 4000, "a"), (None, "w1 idiot", "a")]
+    d, y = make(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    crf = toxicity.fit(toxicity.training_rows(d, y))
+    got = {r.doc_id: r for r in toxicity.score(d, crf).collect()}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i].score >= 0.5) == (i % 4 == 0) for i in held]) > 0.95
+    assert got[1000].score == got[1001].score < 0.5 and got[1002].score < 0.5 and got[None].score >= 0.5
+    s = got[8].spans[0]
+    assert rows[8][1][s.start:s.end] in ("idiot", "moron", "scum")
+    kept = toxicity.drop_toxic(d, y)
+    assert kept.columns == d.columns and kept.where("text like '%idiot%'").count() == 0
+    assert toxicity.drop_toxic(d, y.limit(0)).count() == d.count()
+
+
+def test_lm_base_is_exact(spark):
+    d = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text") \
+        .unionByName(spark.createDataFrame([(100_000, None), (100_001, "")], "doc_id long, text string"))
+    got = {r.doc_id: r for r in mixing_lm.score_texts(d).collect()}
+    rows = [(r.doc_id, mixing_lm.words_of(r.text) + ["END"]) for r in d.collect()]
+    c = Counter()
+    for i, w in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update(w)
+    n, v = sum(c.values()), len(c)
+    for i, w in rows:
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
+        assert abs(r.base_score - sum(log10(c[x] + 1) - log10(n + v + 1) for x in w)) < 1e-6 * max(1, abs(r.base_score))
+        assert r.score < 0 and np.isfinite(r.score)
