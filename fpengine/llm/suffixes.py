@@ -3,9 +3,9 @@
 A byte goes if it is covered by a 50-byte string that also starts in a document with a smaller id.
 
 The suffixes of shards far larger than memory are not sorted one by one. As in induced sorting, a sample of
-local minima stands for the rest: every 50-byte window is represented by its smallest 16-byte gram (by hash,
+local minima stands for the rest: every 50-byte window is represented by its smallest 12-byte gram (by hash,
 leftmost of equals), so equal windows have equal representatives at equal offsets. Neighbouring windows with
-the same representative form a run; a run is one tuple (gram, context hash, document, place), about one per 18
+the same representative form a run; a run is one tuple (gram, context hash, document, place), about one per 20
 bytes. Spark's external sort, which spills to disk, orders the tuples by gram. What holds for all other
 suffixes is then induced from the sorted sample:
 
@@ -37,18 +37,18 @@ from pyspark.sql import functions as F
 from fpengine.llm.common import discard, free_shuffles, mix64, prefix_hash, range_hash, spark_of, stage, text_blocks
 
 LENGTH = 50
-GRAM = 16
+GRAM = 12
 #: runs of one gram that may meet in one task; a map task that sees more than its share expands them directly
 GROUP = 1_000_000
 #: tuples a task holds before it gives them out
-HELD = 1_500_000
+HELD = 500_000
 #: offset codes fit 6 bits, the number of windows of a run 6 bits
 _FBITS = 40
 
 
 def runs_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """Runs of windows with one representative: row, first window (place in the row), number of
-    windows (6 bits) with short hashes of the bytes left and right of the gram (12 bits each, 0 at a
+    windows (6 bits) with short hashes of the bytes left and right of the gram (9 bits each, 0 at a
     text's ends), gram hash, context hash."""
     n = np.diff(off)
     have = np.flatnonzero(n >= length)
@@ -86,10 +86,11 @@ def runs_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     # a window that two runs share holds this many bytes on one side of the gram at least
     half = -(-(length - gram) // 2)
     left, right = place - half, place + gram + half
-    hl = np.where(left >= off[row], range_hash(s, np.maximum(left, 0), place) % np.uint64(4095) + np.uint64(1), np.uint64(0))
-    hr = np.where(right <= off[row + 1], range_hash(s, place + gram, np.minimum(right, total)) % np.uint64(4095) + np.uint64(1), np.uint64(0))
-    side = (hl.astype(np.int64) << 6) | (hr.astype(np.int64) << 18)
-    return row, a - off[row], count | side, h[place], ctx
+    hl = np.where(left >= off[row], range_hash(s, np.maximum(left, 0), place) % np.uint64(255) + np.uint64(1), np.uint64(0))
+    hr = np.where(right <= off[row + 1], range_hash(s, place + gram, np.minimum(right, total)) % np.uint64(255) + np.uint64(1), np.uint64(0))
+    side = (hl.astype(np.int64) << 6) | (hr.astype(np.int64) << 15)
+    # 48 bits of the gram's hash are enough: contexts are compared too
+    return row, a - off[row], count | side, h[place] >> np.uint64(16), ctx
 
 
 def _merge(doc, th, start, end):
@@ -158,7 +159,7 @@ def _scan(length, gram, most):
         parts, held = [], 0
         for batch in batches:
             ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for at, rows, data, off in text_blocks(batch):
+            for at, rows, data, off in text_blocks(batch, most=1_000_000):
                 row, a, c, g, f = runs_of(data, off, length, gram)
                 if not len(row):
                     continue
@@ -214,8 +215,8 @@ def _settle(length):
         wide = np.flatnonzero((~done) & ((contexts[grp] > 1) | anyhot[grp]))
         if len(wide):
             near = anyhot[grp[wide]]
-            for shift in (6, 18):
-                side = (c[wide] >> shift) & 4095
+            for shift in (6, 15):
+                side = (c[wide] >> shift) & 511
                 o = np.lexsort((side, grp[wide]))
                 gs, ss, ds = grp[wide][o], side[o], doc[wide][o]
                 new = np.ones(len(o), dtype=bool)
