@@ -133,8 +133,9 @@ def _prefixes(level_of, words, num, den):
 
 
 def signature_width(n: int) -> int:
-    """Bits of the bitmap of a set of n: a power of two, 2n to 4n, so it follows the size band."""
-    return 1 << max(6, int(2 * n - 1).bit_length())
+    """Bits of the bitmap of a set of n: a power of two, 8n to 16n, so it follows the size band. Few of
+    the differing elements then fall together, and the bound is near the true overlap."""
+    return 1 << max(6, int(8 * n - 1).bit_length())
 
 
 def signature(u: np.ndarray) -> np.ndarray:
