@@ -220,6 +220,23 @@ def lower_bytes(data: np.ndarray) -> np.ndarray:
 
 # --- neighbours in a global order ----------------------------------------------------------
 
+def with_blocks(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``_block``, the number of the row's range of keys. Only the keys are range-partitioned to find the
+    bounds; as many bounds as blocks reach the driver, and there are four blocks per shuffle partition."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(F.col(key).alias("k"))
+    got = keys.repartitionByRange(4 * parts, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("lo")).collect()
+    bounds = sorted({r["lo"] for r in got})
+    shared = spark.sparkContext.broadcast(np.array(bounds, dtype=object if bounds and isinstance(bounds[0], str) else np.int64))
+
+    @pandas_udf("long")
+    def block_of(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, k.to_numpy(), side="right") - 1)
+
+    return df.withColumn("_block", block_of(F.col(key))) if bounds else df.withColumn("_block", F.lit(0).cast("long"))
+
+
 def ordered_blocks(df: DataFrame, key: str, unique: str):
     """Deal ``df`` into blocks of neighbouring keys so that every row meets the row before and the
     row after it in its own block, whatever the blocks are. Returns ``df`` with
@@ -233,16 +250,7 @@ def ordered_blocks(df: DataFrame, key: str, unique: str):
     partition. A key that repeats stays in one block, next to its equals."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(F.col(key).alias("k"))
-    got = keys.repartitionByRange(4 * parts, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("lo")).collect()
-    bounds = sorted({r["lo"] for r in got})
-    shared = spark.sparkContext.broadcast(np.array(bounds, dtype=object if bounds and isinstance(bounds[0], str) else np.int64))
-
-    @pandas_udf("long")
-    def block_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared.value, k.to_numpy(), side="right") - 1)
-
-    d = df.withColumn("_block", block_of(F.col(key))) if bounds else df.withColumn("_block", F.lit(0).cast("long"))
+    d = with_blocks(df, key)
     ends = d.groupBy("_block").agg(F.max(key).alias("hi"), F.min(key).alias("lo")).orderBy("_block").collect()
     ids = [r["_block"] for r in ends]
     extra = []

@@ -6,11 +6,19 @@ subsequence; lines that the two share come from the site's template and are dele
 
 The page's own structure is respected on top of that: markup that never holds the article (scripts,
 styles, menus, forms, asides, footers, comments of readers, adverts and notices by class, id or role) is
-left out, and where a page declares its article (article, main, role=main, articleBody, a content container),
-the article is what is inside. There, shared lines stay, for two pages of a host may carry the same article
-or quote the same passage, and nothing of an article is to be dropped. Differencing decides the rest:
-pages that declare no article keep the lines their neighbour doesn't have. If nothing is left then (the
-neighbour is a copy of the page), the lines of running text stay.
+left out. Where a page declares its article (article, main, role=main, articleBody, a content container)
+and this holds most of the page's own text, the article is what is inside; else (cards of other articles
+around a body in a plain container) everything that is left counts.
+
+Differencing decides inside the article too, but two pages of a host may carry the same article or quote
+the same passage. So a shared line goes there only if it is host-wide: on at least three different pages
+of its host and on more than half of them. Pages of equal text are copies and count once; the neighbour is
+the next page that is no copy. If a neighbour shares more than half of the page's text outside host-wide
+lines, it is a near copy: then the neighbour on the other side serves, and if there is none, only host-wide
+lines go. A host of one or two different pages has no host-wide lines; there the neighbour alone decides.
+
+A host has at most two times as many host-wide lines as its pages have lines on average, so they are dealt
+to the blocks of the host's pages, whatever the host's size. Lines are compared by 64-bit hashes.
 
 Defined results: null or empty html gives ""; a page that is alone in its host is judged by structure; broken
 markup never fails (unclosed elements end with their parents); repeated rows give repeated results.
@@ -21,11 +29,13 @@ from __future__ import annotations
 import html as html_lib
 import re
 from bisect import bisect_left
+from hashlib import blake2b
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fpengine.llm.common import ordered_blocks, spark_of
+from fpengine.llm.common import spark_of, stage, with_blocks
 
 DROP, OTHER, MAIN = 0, 1, 2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -121,7 +131,7 @@ def page_lines(source: str) -> list[tuple[str, int]]:
     return lines
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
+def shared_lines(a: list, b: list) -> set[int]:
     """Places in ``a`` of a longest common subsequence of lines with ``b``. Equal ends are taken off
     first; the middle is a longest rising run of matches (only places where lines match are visited)."""
     lo, n = 0, min(len(a), len(b))
@@ -131,7 +141,7 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     while hi < n - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
     out = set(range(lo)) | set(range(len(a) - hi, len(a)))
-    where: dict[str, list[int]] = {}
+    where: dict = {}
     for j in range(len(b) - hi - 1, lo - 1, -1):
         where.setdefault(b[j], []).append(j)
     ends: list[int] = []
@@ -153,15 +163,38 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(lines: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None) -> str:
-    texts = [t for t, _ in lines]
-    gone = shared_lines(texts, [t for t, _ in neighbour]) if neighbour else set()
-    if any(r == MAIN for _, r in lines):
-        keep = [t for t, r in lines if r == MAIN]
-    else:
-        keep = [t for i, (t, r) in enumerate(lines) if r == OTHER and i not in gone]
-        if not keep:
-            keep = [t for t, r in lines if r == OTHER and (len(t.split()) >= 8 or len(lines) == 1)]
-    return " ".join(keep)
+    """Main text of a page against one neighbour, without knowledge of the host."""
+    ids: dict[str, int] = {}
+    page, other = (([t for t, r in x if r != DROP], [ids.setdefault(t, len(ids)) for t, r in x if r != DROP], [r for _, r in x if r != DROP])
+                   for x in (lines, neighbour or []))
+    return judged(page, [other] if neighbour else [], frozenset(), False)
+
+
+def judged(page: tuple, neighbours: list[tuple], host_wide, known: bool) -> str:
+    """Main text of ``page`` (texts, hashes, regions) against its neighbours, the nearest first. ``known``:
+    the host has enough pages to tell its host-wide lines."""
+    texts, ids, regions = page
+    n = range(len(texts))
+    wide = {i for i in n if ids[i] in host_wide}
+    own = sum(len(texts[i]) for i in n if i not in wide)
+    shared: set[int] = set()  # with any neighbour: here host-wide lines go
+    gone: set[int] = set()
+    for other in neighbours:
+        met = shared_lines(ids, other[1])
+        shared |= met
+        if known:
+            copy = 2 * sum(len(texts[i]) for i in met - wide) > own
+        else:
+            copy = len(met) == len(texts)
+        if not copy:
+            gone = met
+            break
+    sure = shared & wide
+    left = sum(len(texts[i]) for i in n if i not in gone and i not in sure)
+    main = [i for i in n if regions[i] == MAIN and i not in sure]
+    if main and 2 * sum(len(texts[i]) for i in main) >= left:
+        return " ".join(texts[i] for i in main)
+    return " ".join(texts[i] for i in n if i not in gone and i not in sure)
 
 
 def common_start(a: str, b: str) -> int:
@@ -172,6 +205,87 @@ def common_start(a: str, b: str) -> int:
     return n
 
 
+def line_hash(host: str, line: str) -> int:
+    return int.from_bytes(blake2b(f"{host}\0{line}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _parse(batches):
+    """Lines of every page outside DROP, with their hashes and regions; the key ends in the hash of them all."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            rows = []
+            for p, u, h, host, path, pid in zip(*(part.column(c).to_pylist() for c in range(6)), strict=True):
+                lines = [x for x in page_lines(h) if x[1] != DROP]
+                texts, ids = [t for t, _ in lines], [line_hash(host, t) for t, _ in lines]
+                regions = bytes(r for _, r in lines)
+                sig = blake2b(np.array(ids, dtype=np.int64).tobytes() + regions + host.encode(), digest_size=8).digest()
+                same = int.from_bytes(sig, "little", signed=True)
+                rows.append((p, u, f"{host}\t{path}\t{pid}\t{sig.hex()}", line_hash(host, ""), same, texts, ids, regions))
+            if rows:
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                                 names=["page_id", "url", "_key", "_host", "_same", "lines", "ids", "regions"])
+
+
+def _host_wide(parsed: DataFrame) -> DataFrame:
+    """(_host, line) of the host-wide lines; a host's own hash stands for the empty line that each of its pages
+    has, so it is among them if the host has three different pages."""
+    pages = parsed.where(~F.col("_key").startswith("\t")).select("_host", "_same", "ids").withColumn(
+        "line", F.explode(F.array_distinct(F.concat("ids", F.array("_host")))))
+    n = pages.groupBy("_host", "line", "_same").agg(F.lit(1).alias("x")).groupBy("_host", "line").agg(F.count(F.lit(1)).alias("n"))
+    n = n.where("n >= 3")
+    every = n.groupBy("_host").agg(F.max("n").alias("of"))
+    return n.join(every, "_host").where("2 * n > of").select("_host", "line")
+
+
+def blocks_of_unlike(df: DataFrame, key: str, same: str, sides) -> DataFrame:
+    """Deal ``df`` into blocks of neighbouring keys so that every row meets, in its own block, the nearest rows before
+    and after it that differ from it in ``same`` (which the key determines). Returns ``df`` with
+
+    * ``_block``: number of the block,
+    * ``_role``: 0 for the nearest row before the block that differs from its first (a copy), 1 for the block's own rows,
+      2 for the nearest row after it that differs from its last (a copy),
+
+    dealt by block and sorted by block, role and key. ``sides`` makes more rows of the same columns from the dealt
+    ones, to be dealt to the blocks with them."""
+    spark = df.sparkSession
+    d = with_blocks(df, key)
+    small = d.select("_block", F.col(key).alias("k"), F.col(same).alias("s"))
+    ends = small.groupBy("_block").agg(F.max("k").alias("hi"), F.min("k").alias("lo"), F.max_by("s", "k").alias("hs"), F.min_by("s", "k").alias("ls")) \
+        .orderBy("_block").collect()
+    extra = []
+    if ends:  # one row per block: small by construction
+        e = F.broadcast(spark.createDataFrame([(r["_block"], r["ls"], r["hs"]) for r in ends], f"_block long, ls {dict(df.dtypes)[same]}, hs {dict(df.dtypes)[same]}"))
+        inner = {r["_block"]: r for r in small.join(e, "_block").groupBy("_block").agg(
+            F.max(F.expr("CASE WHEN s <> hs THEN k END")).alias("hi"), F.min(F.expr("CASE WHEN s <> ls THEN k END")).alias("lo")).collect()}
+        # the last row that differs, block by block: (key, its block, same) of the last row and of the last one unlike it
+        for role, order, at, end, first in ((0, ends, "hi", "hs", "ls"), (2, ends[::-1], "lo", "ls", "hs")):
+            last = other = None
+            for r in order:
+                b = r["_block"]
+                if last is not None:
+                    near = last if last[2] != r[first] else other
+                    if near is not None:
+                        extra.append((near[0], near[1], b, role))
+                if inner[b][at] is not None:
+                    other = (inner[b][at], b)
+                elif last is not None and last[2] != r[end]:
+                    other = last[:2]
+                last = (r[at], b, r[end])
+    t = dict(df.dtypes)[key]
+    out = d.withColumn("_role", F.lit(1))
+    if extra:  # two rows per block at most
+        copies = F.broadcast(spark.createDataFrame(extra, f"_ob_key {t}, _from long, _to long, _role2 int"))
+        moved = d.join(copies, (F.col(key) == F.col("_ob_key")) & (F.col("_block") == F.col("_from")))
+        moved = moved.withColumn("_block", F.col("_to")).withColumn("_role", F.col("_role2")).drop("_ob_key", "_from", "_to", "_role2")
+        out = out.unionByName(moved.select(*d.columns, "_role"))
+    return out.unionByName(sides(d)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_block") \
+        .sortWithinPartitions("_block", "_role", key)
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every page."""
     import pyarrow as pa
@@ -182,47 +296,68 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     path = F.regexp_replace(F.regexp_replace(u, r"^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*", ""), "#.*$", "")
     src = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
                        F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"),
-                       F.concat(host, F.lit("\t"), path, F.lit("\t"), F.lpad(F.coalesce(F.col(page_id).cast("string"), F.lit("")), 20, "0")).alias("_key"))
-    src = src.withColumn("_h", F.xxhash64("html"))
-    dealt = ordered_blocks(src, "_key", "_h").select("page_id", "url", "html", "_key", "_block", "_role")
+                       F.translate(host, "\t", " ").alias("host"), F.translate(path, "\t", " ").alias("path"),
+                       F.lpad(F.coalesce(F.col(page_id).cast("string"), F.lit("")), 20, "0").alias("pid"))
+    parsed = stage(src.mapInArrow(_parse, "page_id long, url string, _key string, _host long, _same long, lines array<string>, "
+                                          "ids array<long>, regions binary"), "pages-lines")
+    wide = stage(_host_wide(parsed), "pages-wide")
+
+    def of_blocks(d: DataFrame) -> DataFrame:
+        here = d.select("_host", "_block").distinct().join(wide, "_host")
+        none = [F.lit(None).cast(t).alias(c) for c, t in parsed.dtypes if c not in ("_key", "ids")]
+        return here.select("_block", "line").select(*none, F.lit("").alias("_key"), F.array("line").alias("ids"), "_block", F.lit(-1).alias("_role"))
+
+    dealt = blocks_of_unlike(parsed, "_key", "_same", of_blocks).select("page_id", "url", "_key", "lines", "ids", "regions", "_block", "_role")
 
     def run(batches):
         rows: list[tuple] = []
-        prev = here = None  # (page_id, url, lines, host, path, block, role)
-
-        def emit(before, page, after):
-            near, best = None, -1
-            for other in (before, after):
-                if other is not None and other[3] == page[3] and other[5] == page[5] and other[3]:
-                    n = common_start(other[4], page[4])
-                    if n > best:
-                        near, best = other[2], n
-            t = main_text(page[2], near)
-            rows.append((page[0], page[1], t, len(t)))
+        block, host_wide = None, set()
+        before = None  # (host, path, page) of the last page that is no copy of the run
+        held: list[tuple] = []  # own rows of the run of copies: page_id, url, path
+        here = None  # (key's sig, host, path, page) of the run
+
+        def emit(after):
+            if not held:
+                return
+            texts: dict = {}
+            host, page = here[1], here[3]
+            known = host != "" and line_hash(host, "") in host_wide
+            near = [x for x in (before, after) if x is not None and x[1] == host and host]
+            for p, u0, at in held:
+                order = tuple(sorted(range(len(near)), key=lambda k: -common_start(near[k][2], at)))
+                if order not in texts:
+                    texts[order] = judged(page, [near[k][3] for k in order], host_wide, known)
+                rows.append((p, u0, texts[order], len(texts[order])))
+            held.clear()
 
         def out():
-            cols = list(zip(*rows, strict=True))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-            b = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "url", "text", "n_chars"])
+            b = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                           names=["page_id", "url", "text", "n_chars"])
             rows.clear()
             return b
 
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                for p, u0, h, key, block, role in zip(*(part.column(c).to_pylist() for c in range(6)), strict=True):
-                    k = key.split("\t", 2)
-                    # the copies at a block's ends serve as neighbours only; those that wrap around fail the host test or the order
-                    nxt = (p, u0, page_lines(h), k[0], k[1], block, role, key)
-                    if here is not None and here[6] == 1:
-                        after = nxt if nxt[5] == here[5] and nxt[7] >= here[7] else None
-                        before = prev if prev is not None and prev[5] == here[5] and prev[7] <= here[7] else None
-                        emit(before, here, after)
-                    prev, here = here, nxt
+                for p, u0, key, lines, ids, regions, b, role in zip(*(part.column(c).to_pylist() for c in range(8)), strict=True):
+                    if b != block:
+                        emit(None)
+                        block, host_wide, before, here = b, set(), None, None
+                    if role == -1:
+                        host_wide.add(ids[0])
+                        continue
+                    k = key.split("\t")
+                    if here is None or (here[0], here[1]) != (k[3], k[0]):
+                        page = (k[3], k[0], k[1], (lines, ids, regions))
+                        emit(page)
+                        before, here = here, page
+                    if role == 1:
+                        held.append((p, u0, k[1]))
+                    here = (here[0], here[1], k[1], here[3])
                 if len(rows) >= 256:
                     yield out()
-        if here is not None and here[6] == 1:
-            emit(prev if prev is not None and prev[5] == here[5] and prev[7] <= here[7] else None, here, None)
+        emit(None)
         if rows:
             yield out()
 

@@ -225,3 +225,21 @@ def test_lm_base_is_exact(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
         assert abs(r.base_score - sum(log10(c[x] + 1) - log10(n + v + 1) for x in w)) < 1e-6 * max(1, abs(r.base_score))
         assert r.score < 0 and np.isfinite(r.score)
+
+
+def test_pages_differencing_decides(spark):
+    site = "Read all our news on every day of the week"
+    body = [f"body {i} " + " ".join(f"w{i}x{k}" for k in range(12)) for i in range(8)]
+    quote = "a passage that two articles quote word by word"
+    rows = [(i, f"http://h.example/a/{i}", f"<article><p>{body[i]}</p><p>{site}</p>{f'<p>{quote}</p>' if i in (1, 2) else ''}</article>") for i in range(5)]
+    # copies of one page in a row, a near copy, and cards around a body in a plain container; two hosts more
+    rows += [(10 + i, f"http://p.example/b/{i}", f"<div>{site}</div><p>{body[0]}</p><p>{body[1]}</p>") for i in range(40)]
+    rows += [(60, "http://p.example/b/90", f"<div>{site}</div><p>{body[0]}</p><p>edited</p><p>{body[1]}</p>")]
+    rows += [(61 + i, f"http://p.example/c/{i}", f"<div>{site}</div><p>{body[3 + i]}</p>") for i in range(3)]
+    rows += [(70 + i, f"http://c.example/{i}", f"<div>{body[i]} {body[i + 1]}</div><article>card {i}</article>") for i in range(3)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == body[i] + (f" {quote}" if i in (1, 2) else "") for i in range(5))
+    assert {got[10 + i] for i in range(40)} == {f"{body[0]} {body[1]}"} and got[60] == f"{body[0]} edited {body[1]}"
+    assert all(got[61 + i] == body[3 + i] for i in range(3))
+    assert all(got[70 + i] == f"{body[i]} {body[i + 1]} card {i}" for i in range(3))
