@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from fpengine.llm.common import (connected_components, discard, free_shuffles, lower_bytes, mix64, prefix_hash, range_hash,
                                  spark_of, stage, text_blocks, word_spans)
+from fpengine.operators.windows import distributed_row_number
 
 WORDS = 5
 #: similarity as a fraction
@@ -383,8 +384,27 @@ def _has_repeats(rows: DataFrame) -> bool:
 
 
 def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest id of each group, columns unchanged; documents with a null
-    id are kept."""
-    comp = similar_components(docs, doc_id, text)
-    gone = comp.where("component_id <> doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    """One row of each group, columns unchanged: the document with the smallest id, and of rows that repeat this id
+    the one with the smallest hash of its text, then of all its columns. Documents with a null id take part: equal
+    texts count as one document whose id is larger than all others."""
+    h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    h2 = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(1))
+    named = docs.withColumn("_one_id", F.col(doc_id).cast("long"))
+    if not named.where("_one_id IS NULL").isEmpty():
+        top = named.agg(F.max("_one_id")).first()[0] or 0
+        new = named.where("_one_id IS NULL").select(h.alias("_one_h"), h2.alias("_one_h2")).distinct().withColumn("_one_by", F.lit(1))
+        new = stage(distributed_row_number(new, ["_one_by"], ["_one_h", "_one_h2"], out="_one_n").drop("_one_by"), "jac-null-ids")
+        named = named.join(new, F.col("_one_id").isNull() & (h == F.col("_one_h")) & (h2 == F.col("_one_h2")), "left") \
+            .withColumn("_one_id", F.coalesce("_one_id", F.col("_one_n") + F.lit(top).cast("long"))).drop("_one_h", "_one_h2", "_one_n")
+        named = stage(named, "jac-named")
+    comp = similar_components(named, "_one_id", text)
+    gone = comp.where("component_id <> doc_id").select(F.col("doc_id").alias("_one_id")).distinct()
+    kept = named.join(gone, "_one_id", "left_anti")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    again = stage(comp.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("_one_id")), "jac-again")
+    if again.isEmpty():
+        return kept.select(*cols)
+    many = kept.join(again, "_one_id", "left_semi")
+    # partial aggregation: an id that repeats very often is one row per task before the shuffle
+    first = many.groupBy("_one_id").agg(F.min_by(F.struct(*cols), F.struct(h, F.xxhash64(*cols))).alias("_one_row"))
+    return kept.join(again, "_one_id", "left_anti").select(*cols).unionByName(first.select("_one_row.*"))

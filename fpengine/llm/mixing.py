@@ -121,7 +121,7 @@ def mix_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     """(doc_id, size, source_size, target, copies, taken, _tie) for every row of ``docs``."""
     spark_of(docs)
     base = stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
-                             F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tie")), "mix-sizes")
+                             F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tie"), F.rand(9).alias("_salt")), "mix-sizes")
     hist = stage(base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     targets = stage(source_targets(base.select("source", "size"), weights, max_repeat), "mix-targets")
     lam = balance(hist, targets, max_repeat)
@@ -130,7 +130,7 @@ def mix_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     plan = stage(h.groupBy("source").applyInPandas(
         _diffuse(max_repeat), "source string, size long, n long, copies long"), "mix-plan")
     ranked = distributed_row_number(base, ["source", "size"],
-                                    [F.xxhash64(F.col("doc_id").cast("string"), F.lit(9)), F.col("doc_id"), F.col("_tie")], out="_rn")
+                                    [F.xxhash64(F.col("doc_id").cast("string"), F.lit(9)), F.col("doc_id"), F.col("_tie"), F.col("_salt")], out="_rn")
     p = plan.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "n", "copies")
     j = ranked.join(p, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
     each = (F.floor(F.col("copies") / F.col("n")) + F.when(F.col("_rn") <= F.col("copies") % F.col("n"), 1).otherwise(0)).cast("long")
@@ -145,12 +145,24 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """The mixed documents: every row repeated as often as the mix takes it, columns unchanged.
     Documents without words carry nothing to balance and stay once."""
     counts = mix_counts(docs, doc_id, text, source, weights, max_repeat)
-    # the number of copies is a property of (id, source, size, text hash); repeated rows share it
-    per = counts.groupBy("doc_id", "source", "_tie").agg(F.sum("copies").alias("_mix_sum"), F.count(F.lit(1)).alias("_mix_n")) \
-        .select(F.col("doc_id").alias("_mix_d"), F.col("source").alias("_mix_s"), F.col("_tie").alias("_mix_t"), "_mix_sum", "_mix_n")
+    # rows of equal (id, source, text hash) share their copies: the whole part each, the rest goes to the first of them
+    per = stage(counts.groupBy("doc_id", "source", "_tie").agg(F.sum("copies").alias("_mix_sum"), F.count(F.lit(1)).alias("_mix_n"))
+                .select(F.col("doc_id").alias("_mix_d"), F.col("source").alias("_mix_s"), F.col("_tie").alias("_mix_t"), "_mix_sum", "_mix_n"),
+                "mix-per")
     key = docs.withColumn("_mix_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    j = key.join(per, F.col(doc_id).eqNullSafe(F.col("_mix_d")) & F.col(source).eqNullSafe(F.col("_mix_s")) & (F.col("_mix_h") == F.col("_mix_t")))
-    # repeated rows are equal here; giving each an own number would need an order among equals, so each
-    # gets their mean number, rounded
-    kept = j.withColumn("_mix_k", F.round(F.col("_mix_sum") / F.col("_mix_n")).cast("int")).where("_mix_k > 0")
+
+    def joined(p: DataFrame) -> DataFrame:
+        return key.join(p, F.col(doc_id).eqNullSafe(F.col("_mix_d")) & F.col(source).eqNullSafe(F.col("_mix_s")) & (F.col("_mix_h") == F.col("_mix_t")))
+
+    rest = F.col("_mix_sum") % F.col("_mix_n")
+    whole = F.floor(F.col("_mix_sum") / F.col("_mix_n"))
+    out = joined(per.where(rest == 0)).withColumn("_mix_k", whole.cast("int"))
+    uneven = per.where(rest != 0)
+    if not uneven.isEmpty():
+        # any order among equals; a random one, written down once, so that a group of very many rows is spread over tasks
+        odd = stage(joined(uneven).withColumn("_mix_r", F.rand(9)), "mix-uneven")
+        odd = distributed_row_number(odd, ["_mix_d", "_mix_s", "_mix_t"], ["_mix_r"], out="_mix_rn")
+        odd = odd.withColumn("_mix_k", (whole + F.when(F.col("_mix_rn") <= rest, 1).otherwise(0)).cast("int"))
+        out = out.select(*[F.col(f"`{c}`") for c in docs.columns], "_mix_k").unionByName(odd.select(*[F.col(f"`{c}`") for c in docs.columns], "_mix_k"))
+    kept = out.where("_mix_k > 0")
     return kept.withColumn("_mix_c", F.explode(F.sequence(F.lit(1), F.col("_mix_k")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -243,3 +243,26 @@ def test_pages_differencing_decides(spark):
     assert {got[10 + i] for i in range(40)} == {f"{body[0]} {body[1]}"} and got[60] == f"{body[0]} edited {body[1]}"
     assert all(got[61 + i] == body[3 + i] for i in range(3))
     assert all(got[70 + i] == f"{body[i]} {body[i + 1]} card {i}" for i in range(3))
+
+
+def test_mixing_shares_copies_among_repeated_rows(spark):
+    rows = [(None if k else 5, "same text of five words", "abc"[k]) for k in (0, 1) for _ in range(30)]
+    rows += [(100 + i, " ".join(["w"] * (3 + i % 9)), "abc"[i % 3]) for i in range(90)]
+    docs = make(spark, rows)
+    want, got = Counter(), Counter()
+    for r in mixing.mix_counts(docs).collect():
+        want[r.source, r.doc_id if r.doc_id == 5 else r.doc_id is None] += r.copies
+    mixed = mixing.mix(docs)
+    for r in mixed.collect():
+        got[r.source, r.doc_id if r.doc_id == 5 else r.doc_id is None] += 1
+    assert any(want[k] % 30 for k in (("a", 5), ("b", True))) and +want == got and mixed.columns == docs.columns
+
+
+def test_one_row_of_each_group(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = make(spark, [(4, long, "a"), (4, long, "a"), (4, long, "b"), (9, long + " x", "a"), (None, long, "c"), (None, "alone of its own kind here", "c"),
+                        (None, "alone of its own kind here", "d"), (12, "another text that nobody else has", "a"), (13, None, "a"), (13, None, "a")])
+    one = jaccard.keep_one_per_group(docs)
+    got = sorted((r.doc_id or 0, r.text or "") for r in one.collect())
+    assert got == [(0, "alone of its own kind here"), (4, long), (12, "another text that nobody else has"), (13, "")]
+    assert one.columns == docs.columns
