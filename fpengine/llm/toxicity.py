@@ -35,8 +35,8 @@ MAX_CALIBRATION = 20_000
 WINDOW = 24
 WINDOWS_PER_DOCUMENT = 4
 BLOCK = 64
-#: least likelihood ratio of an offending word, and where there are under 200 toxic documents
-MIN_G2, SMALL_G2 = 25.0, 16.0
+#: least likelihood ratio of an offending word
+MIN_G2 = 16.0
 MEMO = 700_000
 LEET = str.maketrans("013457@$!", "oieastasi")
 STRIP = "\"'`.,;:!?()[]{}<>*#%&$-_=+/\\|~^«»„“”‚‘’…¡¿"
@@ -221,12 +221,11 @@ class Scorer:
             e[a:b] = list(map(self.memo.__getitem__, w))
         p = marginals(e, off, self.crf.trans)
         x = np.zeros((len(texts), 4))
-        x[:, 0] = 1.0
+        x[:, 0], x[:, 1] = 1.0, -6.0
         full = np.flatnonzero(np.diff(off))
         if len(full):
             cut = off[:-1][full]
             top = np.clip(np.maximum.reduceat(p, cut), 1e-6, 1 - 1e-6)
-            x[:, 1] = -6.0
             x[full, 1] = np.clip(np.log(top / (1 - top)), -6, 6)
             x[full, 2] = np.log1p(np.add.reduceat(p, cut))
             x[full, 3] = np.log1p(np.diff(off)[full]) / 10
@@ -282,10 +281,8 @@ def offending_words(train: DataFrame) -> list[str]:
     g2 = 2 * (F.col("t") * F.log(F.col("t") / (k * share))
               + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (k * (1 - share)))).otherwise(0.0))
     purity = (F.col("t") / nt) / ((F.col("c") + 0.5) / nc)
-    few = counts.where((F.col("t") >= max(3, 0.002 * nt)) & (purity >= 10)).withColumn("g2", g2).where(
-        F.col("g2") >= (MIN_G2 if nt >= 200 else SMALL_G2))
-    # more words than this can't be told apart from noise by the field's windows
-    return [r["word"] for r in few.orderBy(F.desc("g2"), "word").limit(20_000).collect()]
+    few = counts.where((F.col("t") >= 3) & (purity >= 10)).withColumn("g2", g2).where(F.col("g2") >= MIN_G2)
+    return [r["word"] for r in few.orderBy(F.desc("g2"), "word").collect()]
 
 
 def _windows(words: frozenset):

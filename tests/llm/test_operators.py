@@ -266,3 +266,11 @@ def test_one_row_of_each_group(spark):
     got = sorted((r.doc_id or 0, r.text or "") for r in one.collect())
     assert got == [(0, "alone of its own kind here"), (4, long), (12, "another text that nobody else has"), (13, "")]
     assert one.columns == docs.columns
+
+
+def test_toxicity_of_empty_texts_and_rare_words(spark):
+    crf = toxicity.fit_crf([["idiot", "tree"], ["tree", "house"]] * 20, [[1, 0], [0, 0]] * 20)
+    alone, among = (toxicity.Scorer(crf).texts(t)[0][0] for t in (["", ""], ["", "idiot tree"]))
+    assert alone.tolist() == among.tolist() and alone[1] == -6
+    rows = [(f"tree house {'abcde'[i % 5] * 9 if i < 35 else ''}", 1) for i in range(4000)] + [("tree house", 0)] * 16_000
+    assert sorted(toxicity.offending_words(spark.createDataFrame(rows, "text string, toxic int"))) == [c * 9 for c in "abcde"]
