@@ -6,8 +6,11 @@ The Viterbi recurrence runs over a stream of characters. It looks back over a wi
 longest piece only. Positions inside that window are the only ones a later piece can start from, so
 when the back pointers of all of them meet in one boundary, the pieces before it are final and are
 given out, and the state before it is dropped. A boundary that no piece of the vocabulary spans
-(found from the pairs of neighbouring characters inside pieces) is such a meeting point at once;
-texts are cut there, and short runs between two such cuts are looked up in a bounded memo.
+(found from the pairs of neighbouring characters inside pieces) is such a meeting point at once.
+
+Which path encodes what: words between spaces of at most 48 characters are looked up in a bounded memo that is
+filled by a lattice over many words side by side; longer words, and words after runs of spaces, go through the
+streaming recurrence, cut where no piece spans. The ids are the same as those of streaming the whole text.
 
 The vocabulary file stores merge ranks as scores, not probabilities. A sum of ranks would favour
 many short pieces, so a piece of rank r scores log(1 / (r + 2.7)), Zipf's law, normalised. Of two equally good
@@ -15,8 +18,9 @@ paths, the one whose last piece is longer wins. The result is the best-scoring s
 always the one that merging by rank finds. Decoding gives the text back exactly.
 
 Defined results: null and empty texts have no ids and decode to ""; a literal "▁" is kept apart from a
-space (byte pieces); texts of any length, without any space too, need memory for their ids and the
-window alone; repeated rows give repeated results.
+space (byte pieces); texts of any length, without any space too, are encoded; texts are split into words in
+memory, 1024 at a time, so a worker needs room for their words and ids (only the recurrence itself is held to its
+window); repeated rows give repeated results.
 """
 
 from __future__ import annotations
