@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fpengine.llm import embeddings, jaccard, mixing, mixing_lm, pages, pieces, pii, suffixes, toxicity, winnowing
+from fpengine.llm import audit, embeddings, jaccard, mixing, mixing_lm, pages, pieces, pii, pivots, suffixes, toxicity, whitening, winnowing
 from fpengine.llm.common import crc_mod, whole_text
 from fpengine.sources.tables import table
 
@@ -76,6 +76,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+@_query("op11_polarisation_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op12_filter_audit")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op13_pivot_top_k")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op12_filter_audit"] = audit.AUDIT_SQL
+ORACLE["op13_pivot_top_k"] = pivots.TOP_SQL
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
