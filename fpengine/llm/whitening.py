@@ -132,7 +132,8 @@ def eigen(moments: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray]:
         gap = lam[None, :] - lam[:, None]
         apart = np.abs(gap) > near
         x = x + x @ np.where(apart, (s + lam[None, :] * r) / np.where(apart, gap, 1), r / 2)
-    x = x / np.sqrt((x * x).sum(axis=0, keepdims=True))
+    for _ in range(2):  # vectors of close eigenvalues: orthogonal again, within the space they span
+        x = x + x @ ((np.eye(d, dtype=np.longdouble) - x.T @ x) / 2)
     order = np.argsort(-lam, kind="stable")
     lam, x = lam[order], x[:, order]
     lead = np.abs(x).argmax(axis=0)
