@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fpengine.llm.common import WORD, discard, spark_of, stage, whole_text
+from fpengine.llm.common import discard, spark_of, stage, whole_text, words
 
 FILTERS = "ABCDE"
 OUT = ("part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, "
@@ -51,9 +51,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def failures(docs: DataFrame) -> DataFrame:
     """(doc_id, part, mask, digest): bits 0 to 3 of mask are the failures of A to D, which a text decides alone."""
     t = whole_text("text")
-    # split leaves an empty string at an end that is white space
-    words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    d = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), t.alias("t"), words.alias("w"))
+    d = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), t.alias("t"), words(t).alias("w"))
     n, chars = F.size("w"), F.length("t")
     tests = [n < 200, 100 * F.size(F.array_distinct("w")).cast("long") < 50 * n.cast("long"),
              100 * F.regexp_count("t", F.lit("[A-Z]")).cast("long") > 2 * chars.cast("long"), F.col("t").rlike("[#$%&*|]")]
