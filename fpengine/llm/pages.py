@@ -29,6 +29,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from bisect import bisect_left
+from collections import Counter
 from hashlib import blake2b
 
 import numpy as np
@@ -43,9 +44,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "strong sub sup time tt u var wbr".split())
 NEVER = frozenset("nav aside footer form button select option menu dialog iframe object canvas svg math map audio video head title "
                   "fieldset datalist".split())
-RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>",
-                 re.S | re.I)
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|xmp)\b[^>]*+(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+                 r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S | re.I)
+# quoted values may hold ">"; nothing is tried twice, and a tag that a quote leaves open has an empty last group
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)")
+OPEN_TAG = re.compile(r"</?[a-zA-Z]")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(>)")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 BOILER = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|"
@@ -57,6 +61,18 @@ CONTENT = re.compile(r"(?:^|\s)(?:main|content|main-?content|article-?(?:body|co
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
+def tags(s: str):
+    """Matches of the page's tags, in one pass over the text. Where a quote is left open to the end of the page, that tag and all after it end at
+    their first ">", whatever quotes they hold."""
+    pattern, at, end = TAG, 0, s.rfind(">") + 1
+    while m := pattern.search(s, at, end):
+        if m.group(4):
+            yield m
+            at = m.end()
+        else:
+            pattern, at = PLAIN_TAG, m.start()
+
+
 def page_lines(source: str) -> list[tuple[str, int]]:
     """Text lines in page order with the region each stands in (DROP, OTHER or MAIN)."""
     if not source:
@@ -75,13 +91,13 @@ def page_lines(source: str) -> list[tuple[str, int]]:
             if t:
                 lines.append((t, region))
 
-    at = 0
-    for m in TAG.finditer(s):
+    at, opened = 0, Counter()
+    for m in tags(s):
         a, b = m.span()
         if a > at:
             buf.append(s[at:a])
         at = b
-        close, name, attrs = m.groups()
+        close, name, attrs, _ = m.groups()
         name = name.lower()
         if name in VOID:
             if name == "br" or name == "hr":
@@ -89,7 +105,7 @@ def page_lines(source: str) -> list[tuple[str, int]]:
             continue
         inline = name in INLINE
         if close:
-            k = len(stack) - 1
+            k = len(stack) - 1 if opened[name] else -1
             while k >= 0 and stack[k][0] != name:
                 k -= 1
             if not inline:
@@ -98,6 +114,7 @@ def page_lines(source: str) -> list[tuple[str, int]]:
                 if inline:
                     flush()
                 region = stack[k][1]
+                opened.subtract(t for t, _ in stack[k:])
                 del stack[k:]
             continue
         mark = " ".join(filter(None, (x for t in NAMED.findall(attrs) for x in t))) if attrs else ""
@@ -114,6 +131,7 @@ def page_lines(source: str) -> list[tuple[str, int]]:
         if name in ("p", "li", "dt", "dd", "tr", "td", "th"):  # these end where the next one starts
             if stack and stack[-1][0] == name:
                 region = stack.pop()[1]
+                opened[name] -= 1
                 if kind is None and region != DROP and (attrs and mark and BOILER.search(mark)):
                     kind = DROP
             if kind is None and name != "li":
@@ -121,12 +139,15 @@ def page_lines(source: str) -> list[tuple[str, int]]:
                     continue
         elif stack and stack[-1][0] == "p":
             region = stack.pop()[1]
+            opened["p"] -= 1
         if attrs.endswith("/"):
             continue
         stack.append((name, region))
+        opened[name] += 1
         if kind is not None:
             region = kind
-    buf.append(s[at:])
+    rest = OPEN_TAG.search(s, at)  # the page may end inside a tag
+    buf.append(s[at:rest.start()] if rest else s[at:])
     flush()
     return lines
 
