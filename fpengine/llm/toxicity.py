@@ -385,13 +385,25 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.where(crc_mod("doc_id", 5) > 0).select("doc_id", "text").join(y.hint("merge"), "doc_id")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those the field scores at 0.5 or more; columns unchanged. The score is
-    joined by id and text hash, so rows that repeat an id with another text are judged apart."""
-    crf = fit(training_rows(docs, labels))
+def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without those that the field scores at 0.5 or more; columns unchanged. The score is a function of the text alone, so rows are
+    judged where they are read: no join and no shuffle of texts."""
+    spark = spark_of(docs)
+    crf = fit(training_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels))
     if crf is None:
         return docs
-    key = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
-    bad = score(key, crf).where("score >= 0.5").select("doc_id.doc_id", "doc_id.h").distinct()
-    d, b = docs.withColumn("_tox_h", F.xxhash64("text")), bad.withColumnsRenamed({"doc_id": "_tox_b", "h": "_tox_bh"})
-    return d.join(b, (F.col("_tox_h") == F.col("_tox_bh")) & F.col("doc_id").eqNullSafe(F.col("_tox_b")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    shared = spark.sparkContext.broadcast((crf.weights, crf.trans, crf.calibration))
+
+    def run(batches):
+        import pyarrow as pa
+        model = Crf(*shared.value)
+        s = Scorer(model)
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            for i in range(0, batch.num_rows, 512):
+                b = batch.slice(i, 512)
+                x, _, _ = s.texts([t or "" for t in b.column(at).to_pylist()])
+                bad = 1 / (1 + np.exp(-np.clip(x @ model.calibration, -30, 30))) >= 0.5
+                yield b.filter(pa.array(~bad))
+
+    return docs.mapInArrow(run, docs.schema)
