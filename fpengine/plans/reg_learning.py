@@ -35,20 +35,21 @@ def ml7(spark, sf_dir):
 
 # ---------------------------------------------------------------- clustering
 from ..operators import cluster as CL  # noqa: E402
+from ..operators import density as DN  # noqa: E402
 
-ML1_EPS = 1.2
-ML1_MIN_SAMPLES = 5
+MIN_CLUSTER = 20  # smallest cluster of the density hierarchy
 
 
 def ml1_assign(spark, sf_dir):
-    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return CL.dbscan(emb, eps=ML1_EPS, min_samples=ML1_MIN_SAMPLES, min_cluster_size=20)
+    emb = table(spark, sf_dir, "embeddings")
+    proj, _ = CL.pca_project(emb, "vec_id", "embedding", 8)
+    return DN.density_clusters(proj, id_col="vec_id", vec_col="pca", min_cluster_size=MIN_CLUSTER)
 
 
 @register("ML1_density_clusters")
 def ml1(spark, sf_dir):
-    """Distributed DBSCAN* over the embedding vectors (checked against brute force in tests)."""
-    return ml1_assign(spark, sf_dir).select(F.col("id").cast("long").alias("vec_id"), "cluster", "is_core")
+    """Density hierarchy over the vectors' leading components (checked against brute force in tests)."""
+    return ml1_assign(spark, sf_dir).select(F.col("id").cast("long").alias("vec_id"), "cluster", F.round("level", 6).alias("level"))
 
 
 @register("AGG4_cluster_stats")
@@ -357,7 +358,7 @@ def ml3(spark, sf_dir):
         coded.withColumn("brand_code", F.col("brand_code").cast("double")).withColumn("p_size", F.col("p_size").cast("double")))
     sc = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True).fit(va).transform(va)
     pts = sc.select(F.col("p_partkey").alias("id"), vector_to_array("_s").alias("vec"))
-    return CL.dbscan(pts, eps=0.3, min_samples=5, min_cluster_size=20).select(F.col("id").alias("p_partkey"), "cluster")
+    return DN.density_clusters(pts, min_cluster_size=MIN_CLUSTER).select(F.col("id").alias("p_partkey"), "cluster")
 
 
 @register("ML4_concatenated_blocks")
@@ -373,7 +374,7 @@ def ml4(spark, sf_dir):
         proj = proj.withColumnRenamed("pca", f"{name}_pca")
         blocks = proj if blocks is None else blocks.join(proj, "vec_id")
     cat = blocks.select(F.col("vec_id").alias("id"), F.concat(*[F.col(f"{n}_pca") for n in L.names]).alias("vec"))
-    return CL.dbscan(cat, eps=0.9, min_samples=5, min_cluster_size=20).select(F.col("id").alias("vec_id"), "cluster")
+    return DN.density_clusters(cat, min_cluster_size=MIN_CLUSTER).select(F.col("id").alias("vec_id"), "cluster")
 
 
 @register("ML5_graph_embedding_clusters")
@@ -387,5 +388,5 @@ def ml5(spark, sf_dir):
     prop = GR.propagate(nodes, edges, rounds=2)
     devices = prop.withColumn("id", F.col("node").try_cast("long")).where(F.col("id").isNotNull())
     proj, _ = CL.pca_project(devices, "id", "vec", 8)
-    return CL.dbscan(proj.select("id", F.col("pca").alias("vec")), eps=0.5, min_samples=5, min_cluster_size=20) \
+    return DN.density_clusters(proj.select("id", F.col("pca").alias("vec")), min_cluster_size=MIN_CLUSTER) \
         .select(F.col("id").alias("vec_id"), "cluster")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +66,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage_table(df: DataFrame, tag: str = "stage") -> DataFrame:
+    """Like ``cut_lineage``, as a Parquet table in the shared checkpoint folder. For loops: a checkpoint keeps the size estimate of
+    its plan, which joins multiply round by round until planning stalls; a table's estimate is its file size."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/fpengine-{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def drop_tables(*frames: DataFrame) -> None:
+    """Delete staged tables that no later plan reads."""
+    for df in frames:
+        path = getattr(df, "_staged_path", None)
+        if path:
+            spark = df.sparkSession
+            hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 _SHIPPED: set[str] = set()
 
 
