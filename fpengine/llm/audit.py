@@ -26,28 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fpengine.llm.common import discard, spark_of, stage, whole_text, words
+from fpengine.operators.relational import lookup
 
 FILTERS = "ABCDE"
 OUT = ("part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, "
        "toxic_lost long, shapley long")
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join of ``left`` (staged, so cheap to read twice) with ``right``, whose ``key`` is unique. Keys that hold more than one of
-    ``4 x shuffle partitions`` equal shares of the rows are at most that many: their rows of ``right`` are broadcast. All other
-    keys, and so at most one share per key, go through a shuffle. Rows with a null key match nothing."""
-    spark = left.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = left.count() // parts
-    heavy = F.broadcast(left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > share + 1000).select(key))
-    hot = F.broadcast(right.join(heavy, key, "left_semi").withColumn("_hot", F.lit(True)))
-    first = left.join(hot, key, "left")
-    names = [c for c in right.columns if c != key]
-    done = F.col("_hot").isNotNull() | F.col(key).isNull()
-    rest = first.where(~done).drop("_hot", *names).join(right, key, "left")
-    return first.where(done).drop("_hot").unionByName(rest)
-
-
 def failures(docs: DataFrame) -> DataFrame:
     """(doc_id, part, mask, digest): bits 0 to 3 of mask are the failures of A to D, which a text decides alone."""
     t = whole_text("text")
