@@ -3,8 +3,6 @@ VEC11, VEC12). Joins replace a graph database; no graph library is needed."""
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import cut_lineage
+from .sharing import shared_feature_neighbors  # noqa: F401  (JN8, part of the graph's interface)
 
 
 def feature_value(c: str) -> Column:
@@ -51,99 +50,6 @@ def feature_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("feature_id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def _subset_keys(arr: str, subsets) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("s"), F.array(*[F.col(arr)[j] for j in sub]).alias("v"))
-                     for i, sub in enumerate(subsets)])
-
-
-def shared_feature_neighbors(devices: DataFrame, id_col: str, feature_cols: Sequence[str], seeds: DataFrame,
-                             *, q: int = 1, k: int = 5, type_col: str | None = None,
-                             query_col: str = "query_id", seed_col: str = "seed_id",
-                             salt_buckets: int = 1, exclude: DataFrame | None = None,
-                             depth_cap: int = 64) -> DataFrame:
-    """JN8: for each query, devices sharing more than ``q`` feature nodes with one of its
-    seeds; per neighbour the best count over the seeds; seeds themselves excluded; the
-    ``k`` best by (shared desc, id asc).
-
-    Exact without a feature self-join: a device has one node per feature column, so two
-    devices sharing ``s >= t = q+1`` nodes agree on exactly ``C(s, t)`` of the
-    ``t``-subsets of columns and on none when ``s < t``. Each device emits one key per
-    ``t``-subset; seeds are joined to devices on those keys, the matches are counted per
-    (query, seed, device) with map-side partial aggregation, and ``s`` is read back from
-    the count. A hub value (say a blank held by a third of all devices) only produces a
-    candidate when ``t`` columns agree at once.
-
-    Skew: AQE's skew join splits any join partition that a hot key makes oversized (it
-    replicates the matching side only for that partition). ``salt_buckets > 1`` salts all
-    keys explicitly as well (device side spread over buckets, seed side replicated).
-    """
-    n_feat = len(feature_cols)
-    t = q + 1
-    spark = devices.sparkSession
-    out_schema = (f"{query_col} {seeds.schema[query_col].dataType.simpleString()}, neighbor_id "
-                  f"{devices.schema[id_col].dataType.simpleString()}, device_type string, shared_count long, rank int")
-    if t > n_feat:
-        return spark.createDataFrame([], out_schema)
-    subsets = list(itertools.combinations(range(n_feat), t))
-    vals = F.array(*[feature_value(c) for c in feature_cols])
-    dev = devices.select(F.col(id_col).alias("_id"), vals.alias("_f"),
-                         (F.col(type_col).cast("string") if type_col else F.lit(None).cast("string")).alias("device_type"))
-    dev_keys = dev.select("_id", "device_type", F.explode(_subset_keys("_f", subsets)).alias("_k"))
-    seed_rows = seeds.select(F.col(query_col), F.col(seed_col).alias("_sid")).distinct()
-    # Shared counts are a property of the (seed, device) pair, not of the query: compute them
-    # once over the distinct seeds.
-    seed_ids = seed_rows.select("_sid").distinct()
-    seed_keys = seed_ids.join(dev_keys.select(F.col("_id").alias("_sid"), "_k"), "_sid")
-    if salt_buckets > 1:
-        dev_keys = dev_keys.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salt_buckets)))
-        seed_keys = seed_keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-        on = ["_k", "_salt"]
-    else:
-        on = ["_k"]
-    matches = (seed_keys.join(dev_keys.drop("device_type"), on).where(F.col("_id") != F.col("_sid"))
-               .groupBy("_sid", "_id").agg(F.count(F.lit(1)).alias("_m")))
-    # C(s, t) -> s for s = t..n_feat
-    inverse = F.create_map(*[x for s_ in range(t, n_feat + 1) for x in (F.lit(math.comb(s_, t)), F.lit(s_))])
-    pairs = matches.select("_sid", F.col("_id").alias("neighbor_id"),
-                           F.element_at(inverse, F.col("_m")).cast("long").alias("shared_count"))
-    # Exact pruning. If x is in a query's final top-k with its best count from seed S, every
-    # device ranked above x in S's own list either is excluded for the query or ranks above
-    # x in the final list too; S never lists itself, so x lies within the top
-    # (k + n_excluded(query) - 1) of S's list. And if none of the first k entries of S's
-    # list is excluded for the query, x lies within S's top k.
-    # Phase A fans every seed's top-k out to its queries; queries whose fan-out meets an
-    # excluded device are flagged and only they fan out to the deeper bound (phase B).
-    excl = seed_rows.select(query_col, F.col("_sid").alias("neighbor_id"))
-    if exclude is not None:
-        excl = excl.unionByName(exclude.select(query_col, "neighbor_id")).distinct()
-    n_excl = excl.groupBy(query_col).agg(F.count(F.lit(1)).alias("_ns"))
-    # The depth bound keeps the per-seed window a limited one: Spark then applies a partial
-    # WindowGroupLimit before the shuffle, so a hub seed's list never lands whole in one
-    # task. It is capped at k + depth_cap - 1; flagged queries with more excluded devices
-    # than depth_cap take all candidate pairs of their seeds instead (phase C), which is
-    # exact and needs no per-seed ranking.
-    max_excl = min(n_excl.agg(F.max("_ns")).first()[0] or 0, depth_cap)
-    per_seed = Window.partitionBy("_sid").orderBy(F.col("shared_count").desc(), F.col("neighbor_id").asc())
-    seed_top = pairs.withColumn("_r", F.row_number().over(per_seed)).where(F.col("_r") <= k + max(max_excl - 1, 0))
-    fan_a = seed_rows.join(seed_top.where(F.col("_r") <= k), "_sid").select(query_col, "_sid", "neighbor_id", "shared_count")
-    flagged = fan_a.join(excl, [query_col, "neighbor_id"], "left_semi").select(query_col).distinct().join(n_excl, query_col)
-    small = flagged.where(F.col("_ns") <= depth_cap).select(query_col)
-    large = flagged.where(F.col("_ns") > depth_cap).select(query_col)
-    fan_b = (seed_rows.join(small, query_col, "left_semi").join(n_excl, query_col).join(seed_top, "_sid")
-             .where(F.col("_r") <= k + F.col("_ns") - 1).select(query_col, "_sid", "neighbor_id", "shared_count"))
-    fan_c = seed_rows.join(large, query_col, "left_semi").join(pairs, "_sid") \
-        .select(query_col, "_sid", "neighbor_id", "shared_count")
-    fan_b = fan_b.unionByName(fan_c)
-    flagged = flagged.select(query_col)
-    fan = fan_a.join(flagged, query_col, "left_anti").unionByName(fan_b).select(query_col, "neighbor_id", "shared_count")
-    best = fan.groupBy(query_col, "neighbor_id").agg(F.max("shared_count").alias("shared_count"))
-    not_seed = best.join(excl, [query_col, "neighbor_id"], "left_anti")
-    w = Window.partitionBy(query_col).orderBy(F.col("shared_count").desc(), F.col("neighbor_id").asc())
-    top = not_seed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    types = dev.select(F.col("_id").alias("neighbor_id"), "device_type")
-    return top.join(types, "neighbor_id", "left").select(query_col, "neighbor_id", "device_type", "shared_count", "rank")
-
-
 def community_layer(assign: DataFrame, devices: DataFrame, *, perspective: str | None = None
                     ) -> tuple[DataFrame, DataFrame]:
     """GR2/GR3: community nodes per (perspective, device_type, cluster) without noise

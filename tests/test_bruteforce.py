@@ -1,6 +1,5 @@
 """Distributed operators against small brute-force references (numpy / pandas)."""
 
-import itertools
 
 import numpy as np
 import pandas as pd
@@ -131,7 +130,7 @@ def test_shared_neighbors_bruteforce(spark):
                                 "id long, " + ", ".join(f"c{j} string" for j in range(f)))
     seeds_rows = [(q, s) for q in range(10) for s in rng.choice(n, size=3, replace=False).tolist()]
     seeds = spark.createDataFrame(seeds_rows, "query_id long, seed_id long")
-    got = G.shared_feature_neighbors(dev, "id", [f"c{j}" for j in range(f)], seeds, q=1, k=5, salt_buckets=3).toPandas()
+    got = G.shared_feature_neighbors(dev, "id", [f"c{j}" for j in range(f)], seeds, q=1, k=5, degree=4).toPandas()
     for q in range(10):
         sd = {s for qq, s in seeds_rows if qq == q}
         best = {}
@@ -157,19 +156,8 @@ def test_ivf_full_probe_is_exact(spark):
     assert a == e
 
 
-def test_combinations_identity():
-    # the shared count s is recovered from the number m = C(s, t) of matching t-subsets
-    for n_feat in (3, 5, 25):
-        for t in (1, 2, 3):
-            seen = {}
-            for s in range(t, n_feat + 1):
-                m = len(list(itertools.combinations(range(s), t)))
-                assert m not in seen
-                seen[m] = s
-
-
-@pytest.mark.parametrize("cap", [64, 2])
-def test_shared_neighbors_many_overlapping_seeds(spark, cap):
+@pytest.mark.parametrize("degree", [256, 5, 0])
+def test_shared_neighbors_many_overlapping_seeds(spark, degree):
     rng = np.random.default_rng(8)
     n, f = 30, 3
     vals = rng.integers(0, 2, size=(n, f))
@@ -180,7 +168,7 @@ def test_shared_neighbors_many_overlapping_seeds(spark, cap):
     seeds = spark.createDataFrame(seeds_rows, "query_id long, seed_id long")
     excl = spark.createDataFrame(extra, "query_id long, neighbor_id long")
     got = G.shared_feature_neighbors(dev, "id", [f"c{j}" for j in range(f)], seeds, q=1, k=4, exclude=excl,
-                                     depth_cap=cap).toPandas()
+                                     degree=degree, depth=2).toPandas()
     for q in range(12):
         sd = {s for qq, s in seeds_rows if qq == q}
         best = {}
@@ -191,3 +179,29 @@ def test_shared_neighbors_many_overlapping_seeds(spark, cap):
         want = sorted(((b, c) for b, c in best.items() if b not in sd and b != q), key=lambda x: (-x[1], x[0]))[:4]
         have = got[got.query_id == q].sort_values("rank")
         assert list(zip(have.neighbor_id, have.shared_count)) == want
+
+
+@pytest.mark.parametrize("q", [0, 1, 3])
+def test_shared_neighbors_hub_blank_25_columns(spark, q):
+    """25 columns, a blank that a third of the devices hold in most of them, copies of whole devices, light and heavy nodes."""
+    rng = np.random.default_rng(20 + q)
+    n, f = 240, 25
+    vals = rng.integers(0, 40, size=(n, f))
+    vals[:, :6] = rng.integers(0, 4, size=(n, 6))
+    blank = rng.permutation(n)[:n // 3]
+    vals[np.ix_(blank, np.arange(8, 22))] = -1
+    vals[200:] = vals[rng.integers(0, 3, size=40)]
+    rows = [(i, "t", *[None if v < 0 else str(v) for v in vals[i]]) for i in range(n)]
+    cols = [f"c{j}" for j in range(f)]
+    dev = spark.createDataFrame(rows, "id long, kind string, " + ", ".join(f"{c} string" for c in cols))
+    seeds_rows = [(z, int(s)) for z in range(25) for s in rng.choice(n, size=4, replace=False)] + [(99, int(b)) for b in blank] + [(98, 10_000)]
+    seeds = spark.createDataFrame(seeds_rows, "query_id long, seed_id long")
+    got = {}
+    for r in G.shared_feature_neighbors(dev, "id", cols, seeds, q=q, k=5, type_col="kind", degree=20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.neighbor_id, r.shared_count, r.device_type))
+    same = (vals[:, None, :] == vals[None, :, :]).sum(axis=2)
+    for z in {z for z, _ in seeds_rows}:
+        sd = {s for y, s in seeds_rows if y == z and s < n}
+        best = {b: max(int(same[s, b]) for s in sd) for b in range(n) if b not in sd} if sd else {}
+        want = sorted(((b, c) for b, c in best.items() if c > q), key=lambda x: (-x[1], x[0]))[:5]
+        assert sorted(got.get(z, [])) == [(i, b, c, "t") for i, (b, c) in enumerate(want, 1)]
