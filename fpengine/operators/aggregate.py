@@ -5,10 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .windows import distributed_row_number
+from ..session import cut_lineage
+from .windows import _null_safe_join
 
 
 def unpivot(df: DataFrame, id_cols: Sequence[str], value_cols: Sequence[str], name: str = "feature",
@@ -31,29 +35,59 @@ def combination_distribution(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+@F.pandas_udf(T.LongType())
+def _ordered_bits(x: pd.Series) -> pd.Series:
+    """Longs that sort as the doubles do (-0.0 as 0.0, NaN last)."""
+    v = x.to_numpy(dtype=np.float64) + 0.0
+    b = np.where(np.isnan(v), np.nan, v).view(np.int64)
+    return pd.Series(b ^ ((b >> 63) & np.int64(0x7FFFFFFFFFFFFFFF)))
+
+
+@F.pandas_udf(T.DoubleType())
+def _from_bits(k: pd.Series) -> pd.Series:
+    b = k.to_numpy(dtype=np.int64)
+    return pd.Series((b ^ ((b >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64))
+
+
 def exact_quantile(df: DataFrame, value_col: str, by: Sequence[str] = (), q: float = 0.5, out: str = "median") -> DataFrame:
-    """Exact linear-interpolated quantile per group without gathering any group into one
-    task: values are numbered through a range exchange (distributed_row_number), the two
-    neighbouring ranks are kept and interpolated."""
-    keyed = df.select(*by, F.col(value_col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    """Exact linear-interpolated quantile per group by radix selection: values are counted by the leading 16 bits of their order (map-side, at most
+    65536 counts per group), the wanted ranks fall into one count each, and only values with that prefix are looked at for the
+    next 16 bits. No value is sorted or moved; after 32 bits the few that are left are kept as counts. Nulls are left out, NaN sorts last."""
     grp = list(by)
-    # tie-break equal values by a content hash so numbering is deterministic
-    keyed = keyed.withColumn("_h", F.xxhash64(*grp, "_x"))
-    numbered = distributed_row_number(keyed, grp, ["_x", "_h"], out="_rn")
-    if by:
-        j = numbered.join(keyed.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n")), grp)
-    else:  # one number: a literal, not a join without a key
-        j = numbered.withColumn("_n", F.lit(keyed.count()))
-    pos = (F.col("_n") - 1) * F.lit(q)
-    lo = F.floor(pos) + 1
-    hi = F.ceil(pos) + 1
-    near = j.where((F.col("_rn") == lo) | (F.col("_rn") == hi))
-    res = near.groupBy(*grp).agg(
-        F.max(F.when(F.col("_rn") == lo, F.col("_x"))).alias("_lo"),
-        F.max(F.when(F.col("_rn") == hi, F.col("_x"))).alias("_hi"),
-        F.first("_n").alias("_n"))
+    keyed = df.where(F.col(value_col).isNotNull()).select(*by, _ordered_bits(F.col(value_col).cast("double")).alias("_k"), F.lit(1).cast("long").alias("_c"))
+    at = Window.partitionBy(*grp, "_w") if grp else Window.partitionBy("_w")
+    hist = keyed.groupBy(*grp, F.shiftright("_k", 48).alias("_p")).agg(F.sum("_c").alias("_c")).withColumn("_w", F.lit(0))
+    n = F.sum("_c").over(at)
+    pos = (n - 1) * F.lit(q)
+    hist = hist.withColumn("_n", n).withColumn("_ranks", F.array(F.floor(pos), F.ceil(pos)))
+    hist = hist.withColumn("_upto", F.sum("_c").over(at.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))
+    state = hist.select(*grp, "_p", "_n", "_c", "_upto", F.posexplode("_ranks").alias("_w", "_r"))
+
+    def pick(h: DataFrame) -> DataFrame:
+        """The counts that hold the wanted ranks; ``_r`` becomes the rank inside. Two rows per group."""
+        inside = h.where((F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_c")))
+        return inside.select(*grp, "_w", "_p", (F.col("_r") - (F.col("_upto") - F.col("_c"))).alias("_r"), "_n")
+
+    state = cut_lineage(pick(state))
+    kept = None
+    for shift in (32, 16, 0):
+        same = F.shiftright("_k", shift + 16) == F.col("_p")
+        if kept is not None:
+            met = _null_safe_join(kept.drop("_r", "_n"), state, [*grp, "_w"]).where(same)
+        elif grp:
+            met = _null_safe_join(keyed, state, grp).where(same)
+        else:
+            met = keyed.join(F.broadcast(state), same)  # two rows
+        if shift == 16:  # what shares 32 bits with a wanted rank, as counts per value
+            met = kept = cut_lineage(met.groupBy(*grp, "_w", "_k").agg(F.sum("_c").alias("_c"), F.first("_r").alias("_r"), F.first("_n").alias("_n")))
+        h = met.groupBy(*grp, "_w", F.shiftright("_k", shift).alias("_p")).agg(F.sum("_c").alias("_c"), F.first("_r").alias("_r"), F.first("_n").alias("_n"))
+        h = h.withColumn("_upto", F.sum("_c").over(at.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))
+        state = cut_lineage(pick(h))
+    val = state.withColumn("_x", _from_bits("_p"))
+    agg = [F.max(F.when(F.col("_w") == w, F.col("_x"))).alias(c) for w, c in ((0, "_lo"), (1, "_hi"))]
+    res = val.groupBy(*grp).agg(*agg, F.first("_n").alias("_n"))
     frac = ((F.col("_n") - 1) * F.lit(q)) - F.floor((F.col("_n") - 1) * F.lit(q))
-    return res.select(*grp, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias(out))
+    return res.select(*grp, F.when(frac == 0, F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias(out))
 
 
 def median_mad(df: DataFrame, value_col: str, by: Sequence[str] = ()) -> DataFrame:

@@ -122,6 +122,27 @@ def test_exact_median(spark):
     assert per == {"y": np.median([5.0, 9.0, 7.0]), "x": np.median([1.0, 3.0, 2.0])}
 
 
+def test_radix_quantiles(spark):
+    """Signs, zeros, ties, tiny and huge values, groups with a null key, several quantiles; no value is moved by a range exchange."""
+    rng = np.random.default_rng(12)
+    groups = {"a": rng.normal(size=301), "b": np.concatenate([-10.0 ** rng.uniform(-300, 300, 50), [0.0, -0.0, 5e-324, 1e308]]), "c": np.repeat([2.5, -1.0], 40),
+              None: 1 + rng.integers(0, 50, size=100) * 2.0 ** -52, "one": np.array([3.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    for q in (0.0, 0.5, 0.9, 1.0):
+        got = {r.g: r.x for r in A.exact_quantile(df, "v", ["g"], q, "x").collect()}
+        assert got.keys() == groups.keys()
+        for g, vs in groups.items():
+            v, pos = sorted(vs), (len(vs) - 1) * q
+            lo, hi = v[int(np.floor(pos))], v[int(np.ceil(pos))]
+            assert got[g] == (lo if pos == int(pos) else lo + (hi - lo) * (pos - np.floor(pos)))
+    every = [v for _, v in rows if v is not None]
+    res = A.exact_quantile(df, "v")
+    assert res.first()["median"] == np.median(every)
+    assert A.exact_quantile(df.where("v IS NULL"), "v").first()["median"] is None
+    assert "rangepartitioning" not in res._jdf.queryExecution().toString()
+
+
 def test_shared_neighbors_bruteforce(spark):
     rng = np.random.default_rng(6)
     n, f = 60, 4
