@@ -225,7 +225,7 @@ det AS (SELECT w.query_id, w.overall_cluster, w.perspective, w.cluster, w.w, imp
 feat AS (SELECT query_id, overall_cluster, perspective, sum(w * sim) AS fs, any_value(importance) AS S
          FROM det WHERE is_important GROUP BY 1, 2, 3),
 paths AS (SELECT query_id, overall_cluster, sum(S * fs) AS path_score, count(*) AS n_important FROM feat GROUP BY 1, 2),
-rpaths AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path_score DESC, overall_cluster) AS rank FROM paths)"""
+rpaths AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(path_score, 9) DESC, overall_cluster) AS rank FROM paths)"""
 
 
 def _paths(spark, sf_dir):

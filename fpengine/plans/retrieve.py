@@ -147,7 +147,8 @@ def reasoning_paths(hits: DataFrame, queries: DataFrame, overall: DataFrame, sin
             .agg(F.sum(F.col("w") * F.col("similarity")).alias("feature_score"), F.first("importance").alias("S")))
     paths = feat.groupBy("query_id", "overall_cluster").agg(
         F.sum(F.col("S") * F.col("feature_score")).alias("path_score"), F.count(F.lit(1)).alias("n_important"))
-    rw = Window.partitionBy("query_id").orderBy(F.col("path_score").desc(), F.col("overall_cluster"))
+    # sums of doubles differ in their last bits with the partitioning: equal scores must stay equal
+    rw = Window.partitionBy("query_id").orderBy(F.round("path_score", 9).desc(), F.col("overall_cluster"))
     return paths.withColumn("rank", F.row_number().over(rw)), details
 
 
