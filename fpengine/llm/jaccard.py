@@ -84,7 +84,7 @@ def _scan(words):
         count = np.zeros(SLOTS, dtype=np.int32)
         for batch in batches:
             ids = batch.column(0)
-            for at, rows, data, off in text_blocks(batch):
+            for at, rows, data, off in text_blocks(batch, most=1_500_000):
                 sets = shingle_sets(data, off, words)
                 for u in sets:
                     if len(u):
@@ -120,7 +120,7 @@ def _prefixes(level_of, words, num, den):
         level = np.frombuffer(level_of.value, dtype=np.uint8)
         for batch in batches:
             ids = batch.column(0)
-            for at, rows, data, off in text_blocks(batch):
+            for at, rows, data, off in text_blocks(batch, most=1_500_000):
                 sets = shingle_sets(data, off, words)
                 pre = [prefix_of(u, level, num, den) if len(u) else u for u in sets]
                 cut = np.zeros(rows + 1, dtype=np.int32)
@@ -163,7 +163,7 @@ def _sets(words):
         import pyarrow as pa
         for batch in batches:
             ids = batch.column(0)
-            for at, rows, data, off in text_blocks(batch):
+            for at, rows, data, off in text_blocks(batch, most=1_500_000):
                 sets = shingle_sets(data, off, words)
                 yield pa.RecordBatch.from_arrays([ids.slice(at, rows), pa.array([len(u) for u in sets], type=pa.int64()),
                                                   pa.array([u.tobytes() for u in sets], type=pa.binary())], names=["doc_id", "n", "arr"])
