@@ -1,5 +1,5 @@
 """Exact similarity search without a cross join (VEC4 brute-force inner-product top-k, JN12,
-TOP2, VEC5 inner step).
+TOP2).
 
 Queries and corpus are cut into blocks by hash of their ids: query block ``qb`` of at most
 ``queries_per_block`` rows, corpus block ``cb`` of at most ``corpus_rows_per_block`` rows.
@@ -163,32 +163,3 @@ def exact_range_pairs(points: DataFrame, radius: float, *, id_col: str = "id", v
     schema = "src long, dst long, dist double"
     _same_types(left, right, "_a", "_b")
     return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(run, schema)
-
-
-def ivf_topk(queries: DataFrame, corpus: DataFrame, k: int, *, nlist: int = 16, nprobe: int = 4, seed: int = 42,
-             query_id: str = "query_id", query_vec: str = "qvec", corpus_id: str = "id", corpus_vec: str = "vec",
-             exclude_same_id: bool = False) -> DataFrame:
-    """VEC5: coarse-cell approximate top-k (inner product). K-means cells over the corpus;
-    every query probes its ``nprobe`` nearest cells; candidates come from an equi-join on the
-    cell id (no cross join) and are ranked per query. Exact when nprobe == nlist."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    cv = corpus.select(F.col(corpus_id), F.col(corpus_vec), array_to_vector(F.col(corpus_vec)).alias("_f"))
-    model = KMeans(k=nlist, seed=seed, featuresCol="_f", predictionCol="_cell", maxIter=10).fit(cv)
-    cells = model.transform(cv).select(corpus_id, corpus_vec, "_cell")
-    centers = [[float(x) for x in c] for c in model.clusterCenters()]  # nlist x dim: bounded by nlist
-    cmat = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centers])
-    qv = F.transform(F.col(query_vec), lambda x: x.cast("double"))
-    dists = F.transform(cmat, lambda c: F.aggregate(F.zip_with(c, qv, lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                                                    lambda acc, x: acc + x))
-    order = F.array_sort(F.transform(dists, lambda d, i: F.struct(d.alias("d"), i.alias("i"))))
-    probes = queries.select(query_id, query_vec, F.explode(F.slice(F.transform(order, lambda s: s["i"]), 1, nprobe)).alias("_cell"))
-    cand = probes.join(cells, "_cell")
-    if exclude_same_id:
-        cand = cand.where(F.col(query_id) != F.col(corpus_id))
-    scored = cand.select(query_id, F.col(corpus_id).cast("long").alias(corpus_id),
-                         F.aggregate(F.zip_with(F.col(query_vec), F.col(corpus_vec), lambda a, b: a * b), F.lit(0.0),
-                                     lambda acc, x: acc + x).alias("score"))
-    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(corpus_id).asc())
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -167,16 +167,6 @@ def test_shared_neighbors_bruteforce(spark):
         assert list(zip(have.neighbor_id, have.shared_count)) == want
 
 
-def test_ivf_full_probe_is_exact(spark):
-    rng = np.random.default_rng(7)
-    X = rng.normal(size=(120, 6))
-    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "id long, vec array<double>")
-    q = df.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
-    a = {(r.query_id, r.id) for r in knn.ivf_topk(q, df, 3, nlist=4, nprobe=4, exclude_same_id=True).collect()}
-    e = {(r.query_id, r.id) for r in knn.exact_topk(q, df, 3, exclude_same_id=True).collect()}
-    assert a == e
-
-
 @pytest.mark.parametrize("degree", [256, 5, 0])
 def test_shared_neighbors_many_overlapping_seeds(spark, degree):
     rng = np.random.default_rng(8)
