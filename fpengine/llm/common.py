@@ -225,21 +225,28 @@ def lower_bytes(data: np.ndarray) -> np.ndarray:
 
 # --- neighbours in a global order ----------------------------------------------------------
 
-def with_blocks(df: DataFrame, key: str) -> DataFrame:
-    """``df`` with ``_block``, the number of the row's range of keys. Only the keys are range-partitioned to find the
-    bounds; as many bounds as blocks reach the driver, and there are four blocks per shuffle partition."""
+def block_numbers(df: DataFrame, key: str, blocks: int | None = None):
+    """A function of a column that numbers its ranges in the order of ``df``'s keys. Only the keys are range-partitioned to find the
+    bounds; as many bounds as blocks reach the driver, four per shuffle partition unless ``blocks`` says otherwise."""
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = blocks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = df.select(F.col(key).alias("k"))
-    got = keys.repartitionByRange(4 * parts, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("lo")).collect()
+    got = keys.repartitionByRange(count, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("lo")).collect()
     bounds = sorted({r["lo"] for r in got})
-    shared = spark.sparkContext.broadcast(np.array(bounds, dtype=object if bounds and isinstance(bounds[0], str) else np.int64))
+    if not bounds:
+        return lambda c: F.lit(0).cast("long")
+    shared = spark.sparkContext.broadcast(np.array(bounds, dtype=object if isinstance(bounds[0], str) else np.int64))
 
     @pandas_udf("long")
     def block_of(k: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(shared.value, k.to_numpy(), side="right") - 1)
 
-    return df.withColumn("_block", block_of(F.col(key))) if bounds else df.withColumn("_block", F.lit(0).cast("long"))
+    return lambda c: block_of(F.col(c))
+
+
+def with_blocks(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``_block``, the number of the row's range of keys."""
+    return df.withColumn("_block", block_numbers(df, key)(key))
 
 
 def ordered_blocks(df: DataFrame, key: str, unique: str):

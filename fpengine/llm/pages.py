@@ -27,6 +27,7 @@ markup never fails (unclosed elements end with their parents); repeated rows giv
 from __future__ import annotations
 
 import html as html_lib
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -36,9 +37,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fpengine.llm.common import spark_of, stage, with_blocks
+from fpengine.llm.common import block_numbers, discard, spark_of, stage
 
 DROP, OTHER, MAIN = 0, 1, 2
+BLOCK_ROWS = 32_768  # pages of a block of neighbouring keys
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
                    "strong sub sup time tt u var wbr".split())
@@ -262,24 +264,28 @@ def _host_wide(parsed: DataFrame) -> DataFrame:
     return n.join(every, "_host").where("2 * n > of").select("_host", "line")
 
 
-def blocks_of_unlike(df: DataFrame, key: str, same: str, sides) -> DataFrame:
-    """Deal ``df`` into blocks of neighbouring keys so that every row meets, in its own block, the nearest rows before
-    and after it that differ from it in ``same`` (which the key determines). Returns ``df`` with
+def blocks_of_unlike(facts: DataFrame, key: str, same: str, rows, sides) -> DataFrame:
+    """Deal rows into blocks of neighbouring keys so that every row meets, in its own block, the nearest rows before
+    and after it that differ from it in ``same`` (which the key determines). ``facts`` holds key and ``same`` of every row;
+    ``rows(None)`` gives the rows with all columns that are to be dealt, ``rows(keys)`` those of a few keys. Returns the rows with
 
     * ``_block``: number of the block,
     * ``_role``: 0 for the nearest row before the block that differs from its first (a copy), 1 for the block's own rows,
       2 for the nearest row after it that differs from its last (a copy),
 
     dealt by block and sorted by block, role and key. ``sides`` makes more rows of the same columns from the dealt
-    ones, to be dealt to the blocks with them."""
-    spark = df.sparkSession
-    d = with_blocks(df, key)
+    facts, to be dealt to the blocks with them. Blocks hold about ``BLOCK_ROWS`` rows, or fewer where shuffle partitions abound."""
+    spark = facts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(4 * parts, math.ceil(facts.count() / BLOCK_ROWS))
+    number = block_numbers(facts, key, blocks)
+    d = facts.withColumn("_block", number(key))
     small = d.select("_block", F.col(key).alias("k"), F.col(same).alias("s"))
     ends = small.groupBy("_block").agg(F.max("k").alias("hi"), F.min("k").alias("lo"), F.max_by("s", "k").alias("hs"), F.min_by("s", "k").alias("ls")) \
         .orderBy("_block").collect()
     extra = []
     if ends:  # one row per block: small by construction
-        e = F.broadcast(spark.createDataFrame([(r["_block"], r["ls"], r["hs"]) for r in ends], f"_block long, ls {dict(df.dtypes)[same]}, hs {dict(df.dtypes)[same]}"))
+        e = F.broadcast(spark.createDataFrame([(r["_block"], r["ls"], r["hs"]) for r in ends], f"_block long, ls {dict(facts.dtypes)[same]}, hs {dict(facts.dtypes)[same]}"))
         inner = {r["_block"]: r for r in small.join(e, "_block").groupBy("_block").agg(
             F.max(F.expr("CASE WHEN s <> hs THEN k END")).alias("hi"), F.min(F.expr("CASE WHEN s <> ls THEN k END")).alias("lo")).collect()}
         # the last row that differs, block by block: (key, its block, same) of the last row and of the last one unlike it
@@ -296,22 +302,21 @@ def blocks_of_unlike(df: DataFrame, key: str, same: str, sides) -> DataFrame:
                 elif last is not None and last[2] != r[end]:
                     other = last[:2]
                 last = (r[at], b, r[end])
-    t = dict(df.dtypes)[key]
-    out = d.withColumn("_role", F.lit(1))
+    out = rows(None).withColumn("_block", number(key)).withColumn("_role", F.lit(1))
     if extra:  # two rows per block at most
-        copies = F.broadcast(spark.createDataFrame(extra, f"_ob_key {t}, _from long, _to long, _role2 int"))
-        moved = d.join(copies, (F.col(key) == F.col("_ob_key")) & (F.col("_block") == F.col("_from")))
+        copies = F.broadcast(spark.createDataFrame(extra, f"_ob_key {dict(facts.dtypes)[key]}, _from long, _to long, _role2 int"))
+        few = rows([e[0] for e in extra]).withColumn("_block", number(key))
+        moved = few.join(copies, (F.col(key) == F.col("_ob_key")) & (F.col("_block") == F.col("_from")))
         moved = moved.withColumn("_block", F.col("_to")).withColumn("_role", F.col("_role2")).drop("_ob_key", "_from", "_to", "_role2")
-        out = out.unionByName(moved.select(*d.columns, "_role"))
-    return out.unionByName(sides(d)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_block") \
-        .sortWithinPartitions("_block", "_role", key)
+        out = out.unionByName(moved.select(*out.columns))
+    return out.unionByName(sides(d)).repartition(max(parts, blocks // 4), "_block").sortWithinPartitions("_block", "_role", key)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every page."""
     import pyarrow as pa
 
-    spark_of(pages)
+    spark = spark_of(pages)
     u = F.lower(F.coalesce(F.col(url).cast("string"), F.lit("")))
     host = F.regexp_extract(u, r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1)
     path = F.regexp_replace(F.regexp_replace(u, r"^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*", ""), "#.*$", "")
@@ -319,16 +324,24 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                        F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"),
                        F.translate(host, "\t", " ").alias("host"), F.translate(path, "\t", " ").alias("path"),
                        F.lpad(F.coalesce(F.col(page_id).cast("string"), F.lit("")), 20, "0").alias("pid"))
-    parsed = stage(src.mapInArrow(_parse, "page_id long, url string, _key string, _host long, _same long, lines array<string>, "
-                                          "ids array<long>, regions binary"), "pages-lines")
-    wide = stage(_host_wide(parsed), "pages-wide")
+    schema = "page_id long, url string, _key string, _host long, _same long, lines array<string>, ids array<long>, regions binary"
+    # pages are parsed where their facts are staged and again where their lines are dealt, so that the lines lie on disk once
+    hashed = stage(src.mapInArrow(_parse, schema).select("_key", "_host", "_same", "ids"), "pages-ids")
+    wide = stage(_host_wide(hashed), "pages-wide")
+    facts = stage(hashed.select("_key", "_host", "_same"), "pages-facts")
+    discard(hashed)
+
+    def rows_of(keys: list[str] | None) -> DataFrame:
+        """The pages' lines; of the keys named alone, if any are: their ids stand in the key."""
+        some = src if keys is None else src.join(F.broadcast(spark.createDataFrame([(p,) for p in sorted({k.split("\t")[2] for k in keys})], "pid string")), "pid", "left_semi")
+        return some.select(*src.columns).mapInArrow(_parse, schema).select("page_id", "url", "_key", "lines", "regions")
 
     def of_blocks(d: DataFrame) -> DataFrame:
         here = d.select("_host", "_block").distinct().join(wide, "_host")
-        none = [F.lit(None).cast(t).alias(c) for c, t in parsed.dtypes if c not in ("_key", "ids")]
-        return here.select("_block", "line").select(*none, F.lit("").alias("_key"), F.array("line").alias("ids"), "_block", F.lit(-1).alias("_role"))
+        return here.select(F.col("line").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit("").alias("_key"),
+                           F.lit(None).cast("array<string>").alias("lines"), F.lit(None).cast("binary").alias("regions"), "_block", F.lit(-1).alias("_role"))
 
-    dealt = blocks_of_unlike(parsed, "_key", "_same", of_blocks).select("page_id", "url", "_key", "lines", "ids", "regions", "_block", "_role")
+    dealt = blocks_of_unlike(facts, "_key", "_same", rows_of, of_blocks)
 
     def run(batches):
         rows: list[tuple] = []
@@ -361,16 +374,16 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                for p, u0, key, lines, ids, regions, b, role in zip(*(part.column(c).to_pylist() for c in range(8)), strict=True):
+                for p, u0, key, lines, regions, b, role in zip(*(part.column(c).to_pylist() for c in range(7)), strict=True):
                     if b != block:
                         emit(None)
                         block, host_wide, before, here = b, set(), None, None
                     if role == -1:
-                        host_wide.add(ids[0])
+                        host_wide.add(p)  # such a row carries the line's hash
                         continue
                     k = key.split("\t")
                     if here is None or (here[0], here[1]) != (k[3], k[0]):
-                        page = (k[3], k[0], k[1], (lines, ids, regions))
+                        page = (k[3], k[0], k[1], (lines, [line_hash(k[0], t) for t in lines], regions))
                         emit(page)
                         before, here = here, page
                     if role == 1:
