@@ -305,6 +305,27 @@ def fn4_jn13(spark, sf_dir):
     return j.select(F.col("o_orderkey").cast("long"), hit.alias("matched"), F.size("toks").cast("long").alias("n_tokens"))
 
 
+@register("JN13_global_vendor_match", """
+WITH vendor AS (
+  SELECT DISTINCT v FROM (SELECT lower(p_brand) AS v FROM part UNION ALL SELECT unnest(string_split(lower(p_name), ' ')) FROM part) WHERE v <> ''
+), tok AS (
+  SELECT DISTINCT doc_id, t FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9#]+')) AS t FROM documents) WHERE t <> '' AND t <> 'unknown'
+), token AS (SELECT t, count(*) AS n FROM tok GROUP BY t)
+SELECT v AS vendor, t AS token, CAST(n AS BIGINT) AS n_documents FROM vendor JOIN token ON instr(t, v) > 0 OR instr(v, t) > 0
+""")
+def jn13(spark, sf_dir):
+    """JN13 without a shared key: every vendor (brand or word of a part's name) against every token of every document,
+    either containing the other, with the number of documents that hold the token."""
+    from ..operators.substrings import containment_join
+    part = table(spark, sf_dir, "part")
+    vendor = part.select(F.lower("p_brand").alias("v")).union(part.select(F.explode(F.split(F.lower("p_name"), " "))))
+    tok = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9#]+"))).alias("t")) \
+        .where("t <> '' AND t <> 'unknown'").distinct()
+    token = tok.groupBy("t").agg(F.count(F.lit(1)).alias("n_documents"))
+    return containment_join(vendor, token, "v", "t").join(token, F.col("right") == F.col("t")) \
+        .select(F.col("left").alias("vendor"), F.col("right").alias("token"), "n_documents")
+
+
 @register("FN17_perspective_descriptions", """
 WITH r AS (
   SELECT p_type AS cluster, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS software,
