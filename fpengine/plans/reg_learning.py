@@ -278,6 +278,18 @@ def ml12(spark, sf_dir):
     return spark.createDataFrame(rows, "reg_param double, cv_macro_f1 double")
 
 
+@register("ML12_kernel_grid")
+def ml12_kernel(spark, sf_dir):
+    """Kernel classifier of the documents' language, balanced weights, 5 stratified folds, macro-F1 of every (gamma, c); the later snapshot's
+    accuracy under the best point."""
+    from ..operators.kernel import fit_grid
+    train, test = document_features(spark, sf_dir)
+    model = fit_grid(train)
+    later = model.predict(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    rows = [(g, c, f1, (g, c) == model.best, later) for g, c, f1 in model.grid]
+    return spark.createDataFrame(rows, "gamma double, c double, cv_macro_f1 double, chosen boolean, later_accuracy double")
+
+
 @register("ML14_score_later_snapshot")
 def ml14(spark, sf_dir):
     """Fit, save and reload the pipeline; score the unlabelled documents (the later
