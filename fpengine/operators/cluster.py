@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .knn import exact_range_pairs
+from .vectormean import mean_vectors
 from .windows import distributed_row_number
 
 
@@ -83,11 +84,8 @@ def cluster_stats(assign: DataFrame, group_cols=("device_type",)) -> DataFrame:
 
 
 def centroids(df: DataFrame, group_col: str, vec_col: str) -> DataFrame:
-    """ML6 / AGG23: element-wise mean vector per group (posexplode + groupBy(pos))."""
-    return (df.select(group_col, F.posexplode(vec_col).alias("_pos", "_x"))
-            .groupBy(group_col, "_pos").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-            .groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct("_pos", "_m"))).alias("_s"))
-            .select(group_col, F.transform("_s", lambda s: s["_m"]).alias("centroid")))
+    """ML6 / AGG23: element-wise mean vector per group."""
+    return mean_vectors(df, [group_col], vec_col, "centroid")
 
 
 def nearest_centroid(points: DataFrame, cents: DataFrame, id_col: str, vec_col: str, group_col: str,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.scalar import chunk_text
+from .vectormean import mean_vectors
 
 
 def word_tokens(text_col) -> F.Column:
@@ -42,6 +43,4 @@ def chunked_text_vectors(df: DataFrame, key_col: str, text_col: str, dim: int =
         .withColumn("_ck", F.concat_ws(":", F.col(key_col).cast("string"), F.col("_ci").cast("string")))
     enc = hashed_text_vectors(chunks.select("_ck", "_chunk"), "_ck", "_chunk", dim)
     j = chunks.select(key_col, "_ck").join(enc, "_ck")
-    avg = (j.select(key_col, F.posexplode("vec").alias("_p", "_x")).groupBy(key_col, "_p").agg(F.avg("_x").alias("_m"))
-           .groupBy(key_col).agg(F.array_sort(F.collect_list(F.struct("_p", "_m"))).alias("_s")))
-    return avg.select(key_col, V.l2_normalize(F.transform("_s", lambda s: s["_m"])).alias("vec"))
+    return mean_vectors(j, [key_col], "vec", "_m").select(key_col, V.l2_normalize("_m").alias("vec"))

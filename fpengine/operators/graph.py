@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_tables, stage_table
 from .sharing import shared_feature_neighbors  # noqa: F401  (JN8, part of the graph's interface)
+from .vectormean import layer_norm, mean_vectors
 
 
 def feature_value(c: str) -> Column:
@@ -104,33 +105,54 @@ def bipartite_index(edges: DataFrame, src: str = "ip", dst: str = "feature_id")
     return src_ids, dst_ids, fwd.unionByName(rev)
 
 
+def spread_hubs(edges: DataFrame, degree: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Cut the edges of very large senders into slices. ``edges``: _from, _to, ...; ``degree``: _node, _d.
+
+    A sender is a hub if it has more than a quarter of a partition's share of all edges, so there are at most
+    4 * ``parts`` hubs whatever the graph, and their list may be broadcast. Returns the edges with ``_slice``, and
+    (_from, _d, _slice), one row per sender and slice: at most 8 * ``parts`` rows more than senders."""
+    share = degree.agg(F.sum("_d").alias("t")).first()["t"] or 0
+    limit = max(1, share // (4 * parts))
+    cuts = F.ceil(F.col("_d") / limit).cast("int")
+    hubs = degree.where(F.col("_d") > limit).select(F.col("_node").alias("_from"), cuts.alias("_cuts"))
+    cut = edges.join(F.broadcast(hubs), "_from", "left") \
+        .withColumn("_slice", F.pmod(F.xxhash64("_to"), F.coalesce("_cuts", F.lit(1))).cast("int")).drop("_cuts")
+    slices = degree.select(F.col("_node").alias("_from"), "_d", F.explode(F.sequence(F.lit(0), F.greatest(cuts, F.lit(1)) - 1)).alias("_slice"))
+    return cut, slices
+
+
 def propagate(node_vecs: DataFrame, edges: DataFrame, *, rounds: int = 2, src: str = "ip", dst: str = "feature_id",
-              node_col: str = "node", vec_col: str = "vec") -> DataFrame:
+              node_col: str = "node", vec_col: str = "vec", relation: str | None = None,
+              relation_weights: dict[str, float] | None = None, norm: str = "l2") -> DataFrame:
     """VEC12 (re-aimed, untrained): ``rounds`` of degree-weighted neighbour averaging on the
-    bipartite graph in both directions, residual add and L2 normalisation; lineage is cut
-    by a reliable checkpoint every round.
-
-    Each message is weighted by the degree penalty of its sender (VEC11). The average is
-    computed element-wise via posexplode + groupBy(node, pos), so no node's neighbourhood
-    is gathered in one place."""
+    bipartite graph in both directions, residual add and normalisation (``norm``: "l2" or
+    "layer"); the state of a round is a reliable checkpoint.
+
+    A message is the sender's vector times its degree penalty (VEC11) times the weight of the edge's
+    ``relation`` (1 if not named). A node's aggregate is the mean of its messages, from one partial sum per task,
+    so a hub's neighbourhood is gathered nowhere; the edges of a sending hub lie in slices (``spread_hubs``). A node
+    without a vector sends nothing and takes its first aggregate alone; one without messages keeps its vector, normalised."""
+    spark = edges.sparkSession
+    weight = F.lit(1.0)
+    for name, w in (relation_weights or {}).items():
+        weight = F.when(F.col(relation) == name, F.lit(float(w))).otherwise(weight)
     deg_src = edges.groupBy(src).agg(F.count(F.lit(1)).alias("_d")).withColumnRenamed(src, "_node")
     deg_dst = edges.groupBy(dst).agg(F.count(F.lit(1)).alias("_d")).withColumnRenamed(dst, "_node")
-    degree = deg_src.unionByName(deg_dst)
-    both = edges.select(F.col(src).alias("_from"), F.col(dst).alias("_to")) \
-        .unionByName(edges.select(F.col(dst).alias("_from"), F.col(src).alias("_to")))
+    degree = stage_table(deg_src.unionByName(deg_dst), "vec12-degree")
+    both = edges.select(F.col(src).alias("_from"), F.col(dst).alias("_to"), weight.alias("_w")) \
+        .unionByName(edges.select(F.col(dst).alias("_from"), F.col(src).alias("_to"), weight.alias("_w")))
+    cut, slices = spread_hubs(both, degree, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cut = stage_table(cut, "vec12-edges")
+    normed = layer_norm if norm == "layer" else V.l2_normalize
     cur = node_vecs.select(F.col(node_col).alias("_node"), F.col(vec_col).alias("_v"))
     for _ in range(rounds):
-        sender = cur.join(degree, "_node").select(F.col("_node").alias("_from"),
-                                                  V.scale("_v", V.degree_penalty("_d")).alias("_mv"))
-        msgs = both.join(sender, "_from").select("_to", F.posexplode("_mv").alias("_pos", "_x"))
-        agg = (msgs.groupBy("_to", "_pos").agg(F.avg("_x").alias("_m"))
-               .groupBy("_to").agg(F.array_sort(F.collect_list(F.struct("_pos", "_m"))).alias("_s"))
-               .select(F.col("_to").alias("_node"), F.transform("_s", lambda s: s["_m"]).alias("_agg")))
-        # residual add; a node without a vector yet (a feature node in round 1) takes the
-        # aggregate alone
-        nxt = cur.join(agg, "_node", "full").select(
-            "_node", V.l2_normalize(F.when(F.col("_agg").isNull(), V.as_double("_v"))
-                                    .when(F.col("_v").isNull(), F.col("_agg"))
-                                    .otherwise(F.zip_with(V.as_double("_v"), "_agg", lambda a, b: a + b))).alias("_v"))
-        cur = cut_lineage(nxt)
+        sender = cur.withColumnRenamed("_node", "_from").join(slices, "_from") \
+            .select("_from", "_slice", V.scale("_v", V.degree_penalty("_d")).alias("_mv"))
+        msgs = cut.join(sender, ["_from", "_slice"]).select(F.col("_to").alias("_node"), V.scale("_mv", F.col("_w")).alias("_mv"))
+        agg = mean_vectors(msgs, ["_node"], "_mv", "_agg")
+        summed = cur.join(agg, "_node", "full").select(
+            "_node", F.when(F.col("_agg").isNull(), V.as_double("_v")).when(F.col("_v").isNull(), F.col("_agg"))
+            .otherwise(F.zip_with(V.as_double("_v"), "_agg", lambda a, b: a + b)).alias("_s"))
+        cur = cut_lineage(summed.select("_node", normed(F.col("_s")).alias("_v")))
+    drop_tables(cut, degree)
     return cur.select(F.col("_node").alias(node_col), F.col("_v").alias(vec_col))

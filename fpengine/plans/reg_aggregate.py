@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import EMBEDDING_LAYOUT, MAD_FLOOR, MAD_THRESHOLD
 from ..operators import aggregate as A
 from ..operators import graph as G
+from ..operators.vectormean import mean_vectors
 from ..sources.tables import TABLES, table
 from .registry import register
 
@@ -246,16 +247,13 @@ SELECT CAST(vec_id AS BIGINT) AS vec_id, round(list_sum(mv), 6) AS mean_sum,
        round(list_sum(list_transform(mv, lambda v: v * v)), 6) AS mean_sq FROM m
 """)
 def agg23(spark, sf_dir):
-    """Mean of the four perspective blocks of each vector (11 -> 1 in the original) via
-    posexplode + groupBy(key, pos)."""
+    """Mean of the four perspective blocks of each vector (11 -> 1 in the original); every block is a row."""
     emb = table(spark, sf_dir, "embeddings")
     d = EMBEDDING_LAYOUT.block_dim
-    long = emb.select("vec_id", F.posexplode("embedding").alias("pos", "x")) \
-        .withColumn("j", F.col("pos") % d)
-    mean = long.groupBy("vec_id", "j").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return mean.groupBy("vec_id").agg(F.round(F.sum("m"), 6).alias("mean_sum"),
-                                      F.round(F.sum(F.col("m") * F.col("m")), 6).alias("mean_sq")) \
-        .select(F.col("vec_id").cast("long"), "mean_sum", "mean_sq")
+    blocks = emb.select("vec_id", F.explode(F.array(*[F.slice("embedding", 1 + i * d, d) for i in range(len(EMBEDDING_LAYOUT.names))])).alias("b"))
+    mean = mean_vectors(blocks, ["vec_id"], "b")
+    return mean.select(F.col("vec_id").cast("long"), F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), 6).alias("mean_sum"),
+                       F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x), 6).alias("mean_sq"))
 
 
 @register("AGG24_outcome_summary", """

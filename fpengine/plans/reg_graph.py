@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import EMBEDDING_LAYOUT
 from ..operators import graph as G
 from ..sources.tables import table
 from .registry import register
@@ -218,3 +219,30 @@ def vec12(spark, sf_dir):
     nodes = emb.select(F.col("vec_id").cast("string").alias("node"), F.col("embedding").alias("vec"))
     out = G.propagate(nodes, edges, rounds=2)
     return out.select("node", F.size("vec").alias("dim"), F.round(V.l2_norm("vec"), 6).alias("norm"))
+
+
+#: weights of the relations of one typed round, by perspective
+RELATION_WEIGHTS = dict(zip(EMBEDDING_LAYOUT.names, EMBEDDING_LAYOUT.weights, strict=True))
+
+
+@register("VEC12_typed_round", f"""
+WITH single AS ({SINGLE_SQL}),
+e AS (SELECT ip, md5(perspective || '=' || CAST(cluster AS VARCHAR)) AS fid, CASE perspective {
+    " ".join(f"WHEN '{n}' THEN {w}::DOUBLE" for n, w in RELATION_WEIGHTS.items())} END AS w FROM single),
+x AS (SELECT CAST(vec_id AS VARCHAR) AS node, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+d AS (SELECT ip AS node, count(*) AS d FROM e GROUP BY 1),
+m AS (SELECT e.fid AS node, x.i, avg(x.v * e.w * CASE WHEN d.d > 1 THEN 1 / ln(d.d) ELSE 1.0 END) AS v
+      FROM e JOIN x ON x.node = e.ip JOIN d ON d.node = e.ip GROUP BY 1, 2),
+a AS (SELECT * FROM x UNION ALL SELECT * FROM m),
+s AS (SELECT node, avg(v) AS mu, sqrt(greatest(avg(v * v) - avg(v) * avg(v), 0) + 1e-5) AS sd FROM a GROUP BY 1)
+SELECT a.node, CAST(a.i AS INTEGER) AS pos, round((a.v - s.mu) / s.sd, 6) AS value FROM a JOIN s USING (node)
+""")
+def vec12_typed(spark, sf_dir):
+    """One round with a weight per relation (perspective) and layer norm, every element of every node. Feature nodes
+    start without a vector, so they take their messages and the devices keep their own vectors, normalised."""
+    emb = table(spark, sf_dir, "embeddings")
+    edges = single_clusters(spark, sf_dir).select("ip", "perspective", G.feature_id(F.col("perspective"), F.col("cluster").cast("string")).alias("feature_id"))
+    nodes = emb.select(F.col("vec_id").cast("string").alias("node"), F.col("embedding").alias("vec"))
+    out = G.propagate(nodes, edges, rounds=1, relation="perspective", relation_weights=RELATION_WEIGHTS, norm="layer")
+    return out.select("node", F.posexplode("vec").alias("pos", "value")) \
+        .select("node", (F.col("pos") + 1).cast("int").alias("pos"), F.round("value", 6).alias("value"))

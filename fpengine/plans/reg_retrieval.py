@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import EMBEDDING_LAYOUT
 from ..functions import vectors as V
+from ..operators.vectormean import mean_vectors
 from ..sources.tables import table
 from .registry import register
 from .retrieve import knn_vote, local_retrieval
@@ -110,10 +111,7 @@ def _vec_distances(spark, sf_dir):
     centroid (ML6 centroids)."""
     emb = table(spark, sf_dir, "embeddings")
     dim = EMBEDDING_LAYOUT.dim
-    cent = (emb.select("label", F.posexplode("embedding").alias("pos", "x"))
-            .groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-            .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_s"))
-            .select("label", F.transform("_s", lambda s: s["m"]).alias("centroid")))
+    cent = mean_vectors(emb, ["label"], "embedding", "centroid")
     j = emb.join(cent, "label")
     return j.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import EMBEDDING_LAYOUT, VectorLayout
 from ..functions import vectors as V
 from ..operators.knn import exact_topk
+from ..operators.vectormean import mean_vectors
 
 
 def prepare_corpus(df: DataFrame, id_col: str, vec_col: str, layout: VectorLayout = EMBEDDING_LAYOUT,
@@ -83,10 +84,7 @@ def single_cluster_centroids(vectors: DataFrame, single: DataFrame, id_col: str,
     perspective's block over the cluster's members (noise excluded).
     Output: perspective, cluster, rep (array<double>)."""
     j = single.where(F.col("cluster") != -1).join(vectors.select(F.col(id_col).cast("string").alias("ip"), vec_col), "ip")
-    blk = j.select("perspective", "cluster", F.posexplode(block_of(vec_col, layout)).alias("pos", "x"))
-    return (blk.groupBy("perspective", "cluster", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-            .groupBy("perspective", "cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_s"))
-            .select("perspective", "cluster", F.transform("_s", lambda s: s["m"]).alias("rep")))
+    return mean_vectors(j, ["perspective", "cluster"], block_of(vec_col, layout), "rep")
 
 
 def community_retrieval(hits: DataFrame, queries: DataFrame, assign: DataFrame, centroids: DataFrame,
