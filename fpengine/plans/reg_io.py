@@ -11,6 +11,7 @@ from ..sources import io as IO
 from ..sources.tables import table
 from ..streaming import incremental as ST
 from .reg_flatten import HOST_COLS, HOST_SQL, build_hosts
+from .reg_aggregate import _DRIFT_SQL
 from .registry import register
 
 
@@ -257,18 +258,57 @@ def st4(spark, sf_dir):
     return t.agg(F.count(F.lit(1)).cast("long").alias("n_rows"), F.countDistinct("user_id").cast("long").alias("n_keys"))
 
 
-@register("ST5_stream_drift_windows")
+@register("ST4_keyed_decisions", """
+WITH e AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
+g AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 12 HOUR THEN 1 ELSE 0 END)
+                OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e),
+s AS (SELECT user_id, k, min(ts) AS a, max(ts) + INTERVAL 12 HOUR AS b, arg_max(event_type, (ts, event_id)) AS decision, count(*) AS n
+      FROM g GROUP BY 1, 2)
+SELECT CAST(user_id AS BIGINT) AS user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(b, '%Y-%m-%d %H:%M:%S') AS session_end,
+       decision, CAST(n AS BIGINT) AS n FROM s
+WHERE b <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 HOUR
+""")
+def st4_keyed(spark, sf_dir):
+    """Decisions per user and session from two drops of events; the stream is started anew for the second, and sessions
+    that span both come from the state it left."""
+    from .reg_aggregate import SPLIT_TS
+    base = IO.scratch_path(spark, "st4k")
+    e = table(spark, sf_dir, "events")
+    split = F.lit(SPLIT_TS).cast("timestamp_ntz")
+    for drop, rows in (("a", e.where(F.col("ts") < split)), ("b", e.where(F.col("ts") >= split))):
+        rows.write.mode("overwrite").parquet(f"{base}/in/{drop}")
+        stream = spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").parquet(base + "/in")
+        ST.keyed_decisions(stream, "user_id", "ts", "event_id", "event_type", base + "/out", base + "/ckpt")
+    t = spark.read.parquet(base + "/out")
+    at = "yyyy-MM-dd HH:mm:ss"
+    return t.select(F.col("user_id").cast("long"), F.date_format("session_start", at).alias("session_start"),
+                    F.date_format("session_end", at).alias("session_end"), "decision", F.col("n").cast("long"))
+
+
+@register("ST5_stream_drift_windows", f"""
+WITH {_DRIFT_SQL}
+SELECT strftime(date_trunc('day', e.ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+       strftime(date_trunc('day', e.ts) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+       CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(is_drift AS INTEGER)) AS BIGINT) AS n_drift
+FROM events e JOIN test USING (event_id) GROUP BY 1, 2
+""")
 def st5(spark, sf_dir):
-    """Later events stream against the stored reference threshold; drifts are counted per
-    day with a watermark."""
+    """Later events stream against the stored reference threshold; drifts are counted per day (UTC). They arrive in two
+    drops, with a restart in between; the second one updates the days that are still open."""
     from .reg_aggregate import SPLIT_TS, _drift
     base = IO.scratch_path(spark, "st5")
     e = table(spark, sf_dir, "events")
     _, thr = _drift(spark, sf_dir)
-    e.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp_ntz")).write.mode("overwrite").parquet(base + "/in")
-    stream = spark.readStream.schema(e.schema).parquet(base + "/in")
-    ST.stream_drift_counts(stream, thr, "ts", "value", base + "/out", base + "/ckpt")
-    return spark.read.parquet(base + "/out")
+    later = e.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp_ntz"))
+    second = F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp_ntz") + F.expr("INTERVAL 180 HOURS")
+    for drop, rows in (("a", later.where(~second)), ("b", later.where(second))):
+        rows.write.mode("overwrite").parquet(f"{base}/in/{drop}")
+        stream = spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").parquet(base + "/in")
+        ST.stream_drift_counts(stream, thr, "ts", "value", base + "/out", base + "/ckpt")
+    at = "yyyy-MM-dd HH:mm:ss"
+    return ST.drift_windows(spark, base + "/out").select(F.date_format("window_start", at).alias("window_start"),
+                                                         F.date_format("window_end", at).alias("window_end"),
+                                                         F.col("n").cast("long"), F.col("n_drift").cast("long"))
 
 
 @register("SNK8_drift_outputs", """
