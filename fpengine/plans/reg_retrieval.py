@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EMBEDDING_LAYOUT
@@ -321,38 +322,102 @@ def rt1_graph(spark, sf_dir):
 
 # ---------------------------------------------------------------- RT4 / RT7 / RT8 / RT9 / PRJ21
 from ..operators import relational as RL  # noqa: E402
+from ..operators import resultstore as RS  # noqa: E402
 from ..sources import io as IO  # noqa: E402
 
 
-@register("RT4_cascade_with_reuse")
+def cascade_queries(vectors: DataFrame, version: str) -> DataFrame:
+    """query_id and embedding with the hash of every kind's inputs: the vector, the depth and the version of the corpus; each kind
+    rests on the one before."""
+    local = F.xxhash64("embedding", F.lit(K), F.lit(version))
+    return vectors.select(F.col("vec_id").cast("long").alias("query_id"), "embedding", local.alias("h_local")) \
+        .withColumn("h_community", F.xxhash64("h_local", F.lit("community"))) \
+        .withColumn("h_reasoning", F.xxhash64("h_local", F.lit("reasoning")))
+
+
+def cascade_stages(spark, sf_dir, run: int):
+    """RT1, RT2 and RT3 as stages of the cascade; a row says which run computed it."""
+    emb = table(spark, sf_dir, "embeddings")
+
+    def local(todo, rows):
+        q = todo.select(F.col("query_id").alias("vec_id"), "embedding")
+        hits = local_retrieval(q, emb, query_id="vec_id", corpus_id="vec_id", k=K, payload=("label",), exclude_self=True)
+        return hits.select(F.col("query_id").cast("long"), "neighbor_id", "label", "rank", "similarity_score", F.lit(run).alias("run"))
+
+    def community(todo, rows):
+        assign = emb.select(F.col("vec_id").alias("neighbor_id"), F.lit("embeddings").alias("device_type"), F.col("label").alias("cluster"))
+        cents = CL.centroids(emb, "label", "embedding").select(F.lit("embeddings").alias("device_type"), F.col("label").alias("cluster"), "centroid")
+        r = community_retrieval(rows("local"), todo.select("query_id", "embedding"), assign, cents, _reports(emb))
+        return r.select("query_id", "cluster", "related_ips", "similarity", "report", "rank", F.lit(run).alias("run"))
+
+    def reasoning(todo, rows):
+        single = single_clusters(spark, sf_dir)
+        overall = overall_clusters(spark, sf_dir).select("ip", "overall_cluster")
+        reps = single_cluster_centroids(emb, single, "vec_id", "embedding")
+        paths, _ = reasoning_paths(rows("local"), todo.select("query_id", "embedding"), overall, single.drop("device_type"), reps)
+        return paths.withColumn("run", F.lit(run))
+
+    return [("local", "h_local", local), ("community", "h_community", community), ("reasoning", "h_reasoning", reasoning)]
+
+
+@register("RT4_cascade_with_reuse", f"""
+WITH {_PREP_SQL}, {_PATH_SQL},
+kinds AS (SELECT 'local' AS kind, query_id FROM hits UNION ALL SELECT 'community', query_id FROM hits UNION ALL SELECT 'reasoning', query_id FROM rpaths),
+n AS (SELECT kind, count(DISTINCT query_id) AS n FROM kinds GROUP BY 1)
+SELECT kind, CAST(n AS BIGINT) AS n_queries,
+       CAST((SELECT count(*) FROM (SELECT query_id FROM kinds GROUP BY 1 HAVING count(DISTINCT kind) = 3)) AS BIGINT) AS n_complete FROM n
+""")
 def rt4(spark, sf_dir):
-    """Retrieval cascade that reuses stored partial results. An earlier run stored the
-    local results of every query; the cascade finds, per kind, the queries that lack it
-    (anti-join against the store), computes only those kinds and appends them per kind
-    (SNK3). FLT9 then reports the queries that hold every kind."""
-    store = IO.scratch_path(spark, "rt4")
-    emb, hits = _hits(spark, sf_dir)
-    hits.select("query_id", F.lit("local").alias("kind")).distinct().write.mode("append").partitionBy("kind").parquet(store)
-    stored = spark.read.parquet(store)
-    queries = emb.select(F.col("vec_id").alias("query_id"))
-
-    def missing(kind):
-        return queries.join(stored.where(F.col("kind") == kind).select("query_id"), "query_id", "left_anti")
-
-    new = []
-    if missing("local").limit(1).count() > 0:
-        new.append(hits.join(missing("local"), "query_id", "left_semi").select("query_id", F.lit("local").alias("kind")))
-    todo_c = missing("community")
-    new.append(hits.join(todo_c, "query_id", "left_semi").select("query_id", F.lit("community").alias("kind")))
-    _, paths, _ = _paths(spark, sf_dir)
-    new.append(paths.join(missing("reasoning"), "query_id", "left_semi").select("query_id", F.lit("reasoning").alias("kind")))
-    out = new[0]
-    for d in new[1:]:
-        out = out.unionByName(d)
-    out.distinct().write.mode("append").partitionBy("kind").parquet(store)
-    final = spark.read.parquet(store)
-    complete = RL.complete_keys(final, "query_id", "kind", ["local", "community", "reasoning"]).count()
-    return final.groupBy("kind").agg(F.countDistinct("query_id").alias("n_queries")).withColumn("n_complete", F.lit(complete))
+    """Retrieval cascade that reuses stored partial results: an earlier run stored the local results alone; this one reads
+    them and computes the other two kinds. FLT9 then reports the queries that hold every kind."""
+    emb = table(spark, sf_dir, "embeddings")
+    store = RS.ResultStore(spark, IO.scratch_path(spark, "rt4"))
+    q = cascade_queries(emb, RS.table_version(emb))
+    RS.cascade(store, q, cascade_stages(spark, sf_dir, 1)[:1])
+    stages = cascade_stages(spark, sf_dir, 2)
+    RS.cascade(store, q, stages)
+    every = None
+    for kind, _, _ in stages:
+        d = RS.current_rows(store, q, stages, kind).select("query_id", F.lit(kind).alias("kind"))
+        every = d if every is None else every.unionByName(d)
+    complete = RL.complete_keys(every, "query_id", "kind", [k for k, _, _ in stages]).count()
+    return every.groupBy("kind").agg(F.countDistinct("query_id").cast("long").alias("n_queries")) \
+        .withColumn("n_complete", F.lit(complete).cast("long"))
+
+
+@register("RT4_changed_queries", f"""
+WITH {_PREP_SQL}, {_CENT_SQL},
+sc AS (SELECT q.vec_id AS query_id, q.label AS ql, q.conf, n.vec_id AS neighbor_id, n.label AS neighbor_label,
+              list_inner_product(q.qv, n.cv) * CASE WHEN q.label = 3 THEN -1 ELSE 1 END AS raw
+       FROM vecs q JOIN vecs n ON q.vec_id <> n.vec_id),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, neighbor_id) AS rk FROM sc) WHERE rk <= {K}),
+j AS (SELECT DISTINCT h.query_id, h.ql, h.neighbor_label AS cluster,
+             list_cosine_similarity(xv.e, cents.centroid) * CASE WHEN h.ql = 3 THEN -1 ELSE 1 END AS similarity
+      FROM h JOIN xv ON xv.vec_id = h.query_id JOIN cents ON cents.cluster = h.neighbor_label)
+SELECT 'local' AS kind, CAST(query_id AS BIGINT) AS query_id, CAST(neighbor_id AS BIGINT) AS item, CAST(rk AS BIGINT) AS rank,
+       round(raw * conf, 6) AS score, CAST(CASE WHEN ql = 3 THEN 3 ELSE 1 END AS INTEGER) AS run FROM h
+UNION ALL
+SELECT 'community', CAST(query_id AS BIGINT), CAST(cluster AS BIGINT),
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, cluster) AS BIGINT),
+       round(similarity, 6), CAST(CASE WHEN ql = 3 THEN 3 ELSE 1 END AS INTEGER) FROM j
+""")
+def rt4_changed(spark, sf_dir):
+    """Three runs of the cascade: all queries, the same again, and with the vectors of one class turned round. Only the turned
+    queries and what rests on them come from the third run; the second one computes nothing."""
+    emb = table(spark, sf_dir, "embeddings")
+    store = RS.ResultStore(spark, IO.scratch_path(spark, "rt4v"))
+    version = RS.table_version(emb)
+    turned = emb.withColumn("embedding", F.when(F.col("label") == 3, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")))
+    for run, vectors in ((1, emb), (2, emb), (3, turned)):
+        q = cascade_queries(vectors, version)
+        stages = cascade_stages(spark, sf_dir, run)[:2]
+        RS.cascade(store, q, stages)
+    hits = RS.current_rows(store, q, stages, "local")
+    com = RS.current_rows(store, q, stages, "community")
+    return hits.select(F.lit("local").alias("kind"), "query_id", F.col("neighbor_id").cast("long").alias("item"), F.col("rank").cast("long"),
+                       F.round("similarity_score", 6).alias("score"), F.col("run").cast("int")) \
+        .unionByName(com.select(F.lit("community").alias("kind"), "query_id", F.col("cluster").cast("long").alias("item"), F.col("rank").cast("long"),
+                                F.round("similarity", 6).alias("score"), F.col("run").cast("int")))
 
 
 @register("RT7_known_unknown_split", """
