@@ -128,8 +128,7 @@ def _prefixes(level_of, words, num, den):
                 flat = np.concatenate(pre).view(np.int64) if pre else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, rows), pa.array([len(u) for u in sets], type=pa.int64()),
-                     pa.array([signature(u).tobytes() for u in sets], type=pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], names=["doc_id", "n", "sig", "pre"])
+                     pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], names=["doc_id", "n", "pre"])
     return run
 
 
@@ -158,15 +157,47 @@ def overlap_bound(n_a, n_b, differing):
     return (n_a + n_b - differing) // 2
 
 
-def _sets(words):
+def _id_slot(ids: np.ndarray, width: int) -> np.ndarray:
+    return (mix64(ids.view(np.uint64)) & np.uint64(width - 1)).astype(np.int64)
+
+
+def _bits(width):
+    """Ids -> words of the bitmap that holds them, one row per word and task."""
     def run(batches):
         import pyarrow as pa
+        words = np.zeros(width // 64, dtype=np.uint64)
         for batch in batches:
+            s = _id_slot(batch.column(0).to_numpy(), width)
+            np.bitwise_or.at(words, s >> 6, np.uint64(1) << (s & 63).astype(np.uint64))
+        hit = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(words[hit].view(np.int64))], names=["word", "bits"])
+    return run
+
+
+def id_bitmap(need: DataFrame):
+    """A broadcast bitmap of the ids (long, not null) of a staged table: 16 bits per id, 8 MB at most whatever their number. It
+    never misses an id but holds others too, so an exact join follows; it only keeps texts that nobody asks for out of the work."""
+    width = 1 << min(26, max(16, int(16 * need.count()).bit_length()))
+    got = need.mapInArrow(_bits(width), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = np.zeros(width // 64, dtype=np.int64)
+    words[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
+    return spark_of(need).sparkContext.broadcast(words.tobytes())
+
+
+def _sets(words, wanted, bitmaps):
+    """Sorted arrays (or bitmap signatures) of the sets of the documents that the id bitmap holds."""
+    def run(batches):
+        import pyarrow as pa
+        held = np.frombuffer(wanted.value, dtype=np.uint64)
+        for batch in batches:
+            s = _id_slot(batch.column(0).to_numpy(), 64 * len(held))
+            batch = batch.filter(pa.array((held[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1))
             ids = batch.column(0)
             for at, rows, data, off in text_blocks(batch, most=1_500_000):
                 sets = shingle_sets(data, off, words)
                 yield pa.RecordBatch.from_arrays([ids.slice(at, rows), pa.array([len(u) for u in sets], type=pa.int64()),
-                                                  pa.array([u.tobytes() for u in sets], type=pa.binary())], names=["doc_id", "n", "arr"])
+                                                  pa.array([(signature(u) if bitmaps else u).tobytes() for u in sets], type=pa.binary())],
+                                                 names=["doc_id", "n", "bits" if bitmaps else "arr"])
     return run
 
 
@@ -292,7 +323,8 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     repeats = _has_repeats(rows)
     one = (lambda df: df.dropDuplicates(["doc_id", "n"])) if repeats else (lambda df: df)
-    pre = src.where("doc_id IS NOT NULL").mapInArrow(_prefixes(level_of, words, num, den), "doc_id long, n long, sig binary, pre array<long>")
+    named = src.where("doc_id IS NOT NULL")
+    pre = named.mapInArrow(_prefixes(level_of, words, num, den), "doc_id long, n long, pre array<long>")
     pre = stage(one(pre.where("n > 0").join(reps, ["doc_id", "n"], "left_semi")), "jac-prefix")
     free_shuffles(spark)
     keyed = pre.select("doc_id", F.explode("pre").alias("h"))
@@ -302,26 +334,43 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # members of the groups of three and more; a hot key of this join is split by Spark's skew join
     more = keyed.join(groups.where("m > 2").select("h", "lo"), "h")
     more = stage(more.select("h", F.col("doc_id").alias("doc"), "lo"), "jac-members")
+    discard(pre)
     free_shuffles(spark)
     two = groups.where("m = 2").select(F.col("hi").alias("doc"), "lo")
     star = two.unionByName(more.where("doc <> lo").select("doc", "lo")).groupBy(F.col("lo").alias("a"), F.col("doc").alias("b")) \
         .agg(F.count(F.lit(1)).alias("w"))
-    star = stage(star, "jac-star")
-    sig = pre.select("doc_id", "n", "sig")
+    # a pair outside the size band cannot link
+    star = star.join(reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a") \
+        .join(reps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b") \
+        .where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b", "w")
+    star = stage(star.distinct() if repeats else star, "jac-star")
+    discard(groups)
+    free_shuffles(spark)
+
+    def sets_of(need: DataFrame, bitmaps: bool = False) -> DataFrame:
+        """Arrays or bitmaps of the sets of the documents of ``need`` (doc_id). Texts are not shuffled; only sets are."""
+        need = stage(need.distinct(), "jac-need")
+        col = "bits" if bitmaps else "arr"
+        sets = named.mapInArrow(_sets(words, id_bitmap(need), bitmaps), f"doc_id long, n long, {col} binary").where("n > 0")
+        sets = sets.join(need, "doc_id", "left_semi")
+        sets = stage(one(sets.join(reps, ["doc_id", "n"], "left_semi")) if repeats else sets, f"jac-{col}")
+        discard(need)
+        free_shuffles(spark)
+        return sets
 
-    def may_link(pairs: DataFrame) -> DataFrame:
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+
+    def may_link(pairs: DataFrame, sig: DataFrame) -> DataFrame:
         """Pairs whose sizes and bitmaps allow a link."""
-        sa = sig.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-        sb = sig.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+        sa = sig.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("sa"))
+        sb = sig.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("sb"))
         j = pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", "sa", "sb")
         return j.mapInArrow(_bounded(num, den), "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs that link. Only their documents' arrays are made."""
-        need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = src.join(need, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, n long, arr binary")
-        sets = stage(one(sets.join(reps, ["doc_id", "n"], "left_semi")) if repeats else sets, "jac-sets")
-        free_shuffles(spark)
+        sets = sets_of(ends(pairs))
         a = sets.select(F.col("doc_id").alias("a"), F.col("arr").alias("aa"))
         b = sets.select(F.col("doc_id").alias("b"), F.col("arr").alias("ab"))
         j = pairs.join(a, "a").join(b, "b").select("a", "b", "aa", "ab")
@@ -331,9 +380,13 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return out
 
     # round 1: each document against the centre it meets most often, of those that may link
-    open_ = stage(may_link(star), "jac-open")
+    sig = sets_of(ends(star), bitmaps=True)
+    open_ = stage(may_link(star, sig), "jac-open")
+    discard(sig)
+    free_shuffles(spark)
     best = star.join(open_, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a"))
     first = stage(best.select("a", "b"), "jac-first")
+    discard(star)
     links = verified(first)
     comp = connected_components(links)
 
@@ -344,19 +397,25 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # round 2: what is still in different components
     pairs2 = with_comp(with_comp(open_.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
     member = stage(with_comp(more.select("h", "doc"), "doc", "comp"), "jac-member")
+    discard(more)
     mixed = member.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m"),
                                     F.sum(F.xxhash64("doc").bitwiseAND(F.lit((1 << 40) - 1))).alias("fp")).where("c1 <> c2")
     # groups of the same members say the same: one of them is enough
     mixed = mixed.groupBy("m", "fp").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("m") / TILE).cast("int").alias("nb"))
-    tiles = member.join(mixed, "h").join(sig.withColumnRenamed("doc_id", "doc"), "doc") \
+    left = stage(member.join(mixed, "h"), "jac-left")
+    discard(member)
+    free_shuffles(spark)
+    sig = sets_of(left.select(F.col("doc").alias("doc_id")), bitmaps=True)
+    tiles = left.join(sig.select(F.col("doc_id").alias("doc"), "n", F.col("bits").alias("sig")), "doc") \
         .withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int")) \
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     tiles = tiles.select(F.col("h").alias("g"), F.least("blk", "o").alias("ti"), F.greatest("blk", "o").alias("tj"),
                          "doc", "n", "comp", "blk", "sig")
     met = tiles.repartition("g", "ti", "tj").sortWithinPartitions("g", "ti", "tj").mapInArrow(_tiles(num, den), "a long, b long")
     rest = stage(met.union(pairs2).distinct().join(first, ["a", "b"], "left_anti"), "jac-rest")
+    discard(sig, left, open_, first)
     free_shuffles(spark)
-    used = [scan, classes, pre, groups, more, star, open_, first, links, member, rest]
+    used = [scan, classes, links, rest]
     if not rest.isEmpty():
         again = verified(rest)
         comp = connected_components(links.union(again))
