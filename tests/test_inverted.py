@@ -104,3 +104,16 @@ def test_defined_results(spark, tmp_path):
     assert empty.search(queries(df), 2).count() == 0 and empty.tune(2)["recall"] == 1.0
     assert empty.append(df) == 4  # without cosine the zero vector stays
     assert empty.search(queries(df), 1, probes=9).count() > 0
+
+
+def test_registered_search_asks_every_hundredth_id_against_all(spark, tmp_path):
+    """VEC5 indexes all rows; the queries are the ids divisible by 100, and their neighbours may have any id."""
+    from fpengine.plans import registry
+    registry.load_all()
+    x = grouped(730, 64, 11)
+    frame(spark, x).select(F.col("id").alias("vec_id"), F.col("vec").alias("embedding"), F.lit(0).alias("label")) \
+        .write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = registry.QUERIES["VEC5_ivf_topk"](spark, str(tmp_path)).collect()
+    assert sorted({r.query_id for r in rows}) == list(range(0, 730, 100))
+    assert any(r.id % 100 for r in rows)
+    assert np.mean([r.recall_at_5 for r in rows]) >= 0.9
