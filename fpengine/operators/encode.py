@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.scalar import chunk_text
+from ..session import stage_table
 from .vectormean import mean_vectors
 
 
@@ -28,7 +29,8 @@ def hashed_text_vectors(df: DataFrame, key_col: str, text_col: str, dim: int = 2
     Texts are de-duplicated before encoding (IDF is fitted on the distinct texts)."""
     distinct = df.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_tk"), F.col(text_col).alias("_t")) \
         .dropDuplicates(["_tk"]).withColumn("_w", word_tokens("_t"))
-    tf = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dim).transform(distinct)
+    # the fit and the weighting both read the counts: texts are made distinct and cut into words once
+    tf = stage_table(HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dim).transform(distinct).select("_tk", "_tf"), "text-counts")
     idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(tf).transform(tf)
     enc = idf.select("_tk", V.l2_normalize(vector_to_array("_tfidf")).alias("vec"))
     keyed = df.select(F.col(key_col), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_tk"))
@@ -39,8 +41,6 @@ def chunked_text_vectors(df: DataFrame, key_col: str, text_col: str, dim: int =
                          max_length: int = 500, overlap: int = 50) -> DataFrame:
     """VEC9: split every whole text into overlapping chunks (FN5), encode the chunks, average
     them element-wise per text and re-normalise."""
-    chunks = df.select(F.col(key_col), F.posexplode(chunk_text(text_col, max_length, overlap)).alias("_ci", "_chunk")) \
-        .withColumn("_ck", F.concat_ws(":", F.col(key_col).cast("string"), F.col("_ci").cast("string")))
-    enc = hashed_text_vectors(chunks.select("_ck", "_chunk"), "_ck", "_chunk", dim)
-    j = chunks.select(key_col, "_ck").join(enc, "_ck")
-    return mean_vectors(j, [key_col], "vec", "_m").select(key_col, V.l2_normalize("_m").alias("vec"))
+    chunks = df.select(F.col(key_col), F.explode(chunk_text(text_col, max_length, overlap)).alias("_chunk"))
+    enc = hashed_text_vectors(chunks, key_col, "_chunk", dim)
+    return mean_vectors(enc, [key_col], "vec", "_m").select(key_col, V.l2_normalize("_m").alias("vec"))
