@@ -1,13 +1,15 @@
 """Density hierarchy (ML1, ML3-ML5): clusters of different density, from one parameter, the smallest cluster.
 
-1. Equal vectors collapse to one weighted point. Points are dealt to blocks of a few hundred to a thousand neighbours (nearest of at
+1. Equal vectors collapse to one weighted point. Points are dealt to blocks of a few hundred to ``BLOCK`` neighbours (nearest of at
    most ``MAX_CELLS`` pivots, large cells split by hash). All distances are computed inside tiles of two blocks, by
    numpy; a tile gives back a few rows per point, and no table of pairs exists.
 2. Core distance of a point: the distance within which ``min_samples`` members (itself counted) lie. The own block gives an upper bound; tiles of
    two blocks whose cells are farther apart than the bounds of both are left out.
 3. Links: per tile the minimum spanning tree under mutual reachability, max(core a, core b, distance). A link that no tile keeps is the
    heaviest of a cycle, so the union of these trees holds the minimum spanning tree of all points. Equal weights are ordered by the ids of the link,
-   which makes that tree unique.
+   which makes that tree unique. A block's own tree is built once; its links bound from above at which level a point reaches the tree's root. Between
+   two blocks only links no heavier than the bound of one of their ends can matter, and the lightest of all others. A matrix
+   product tells most pairs apart; the distances of the few left are then computed exactly.
 4. Contraction rounds in the manner of Boruvka: every vertex below the smallest cluster size looks at its lightest link. Two that
    choose the same link merge; one whose link leads to a large vertex falls in at that level; its other links, all heavier, move along.
    Rounds go on until at most ``local_links`` links are left (none need be); that rest, or a small table from the start, is
@@ -29,9 +31,11 @@ from ..session import drop_tables, stage_table
 from .relational import lookup
 from .windows import distributed_row_number
 
-BLOCK = 768
+BLOCK = 1536
 MAX_CELLS = 256
 PIVOT_SAMPLE = 2048
+PIVOT_ROUNDS = 5
+PAIRS = 200_000  # pairs whose distances are computed at once
 LOCAL_LINKS = 200_000
 FLOOR = 1e-9  # levels below this count as this, so that copies have a finite density
 
@@ -44,6 +48,49 @@ def pair_distances(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def some_distances(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The entries (a, b) of ``pair_distances``, to the last bit."""
+    out = np.empty(len(a))
+    for i in range(0, len(a), PAIRS):
+        out[i:i + PAIRS] = np.sqrt(((x[a[i:i + PAIRS]] - x[b[i:i + PAIRS]]) ** 2).sum(axis=1))
+    return out
+
+
+def squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances of the rows of ``x`` and ``y`` by a matrix product, and how far rounding may take one off."""
+    mid = x.mean(axis=0)
+    x, y = x - mid, y - mid
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    out = np.column_stack([x, xx, np.ones(len(x))]) @ np.column_stack([-2 * y, np.ones(len(y)), yy]).T
+    return out, 1e-14 * (x.shape[1] + 6) * float(xx.max() + yy.max())
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the links (a < b, of n vertices) that the minimum spanning forest keeps, ties by (a, b): rounds of Boruvka on the links in order."""
+    order = np.lexsort((b, a, w))
+    comp, kept, u, v, at = np.arange(n), [], a[order], b[order], order
+    while True:
+        cu, cv = comp[u], comp[v]
+        open_ = cu != cv
+        u, v, at, cu, cv = u[open_], v[open_], at[open_], cu[open_], cv[open_]
+        if not len(u):
+            return np.unique(np.concatenate(kept)) if kept else np.zeros(0, dtype=np.int64)
+        first = np.full(n, len(u))
+        rank = np.arange(len(u))
+        np.minimum.at(first, cu, rank)
+        np.minimum.at(first, cv, rank)
+        tip = np.flatnonzero(first < len(u))
+        pick = first[tip]
+        kept.append(at[pick])
+        to = np.arange(n)
+        to[tip] = np.where(cu[pick] == tip, cv[pick], cu[pick])
+        both = (to[to] == np.arange(n)) & (np.arange(n) < to)  # two that chose the same link: the smaller is the root
+        to[both] = np.flatnonzero(both)
+        while (to[to] != to).any():
+            to = to[to]
+        comp = to[comp]
+
+
 def spanning_links(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Minimum spanning tree of a full symmetric matrix whose rows are in the order of their ids: (low, high, weight), ties by (low, high)."""
     n = len(weight)
@@ -73,12 +120,10 @@ def _with_blocks(points: DataFrame) -> tuple[DataFrame, np.ndarray]:
     share = max(1, n // PIVOT_SAMPLE)  # the sample is between PIVOT_SAMPLE and twice as many rows, whatever n
     sample = np.array([r["vec"] for r in points.where(F.pmod(F.xxhash64("pid"), F.lit(share)) == 0).orderBy("pid").select("vec").collect()], dtype=float)
     sample = sample if len(sample) else np.array([points.first()["vec"]], dtype=float)
-    chosen = [0]
-    near = np.linalg.norm(sample - sample[0], axis=1)
-    while len(chosen) < cells and near.max() > 0:
-        chosen.append(int(near.argmax()))
-        near = np.minimum(near, np.linalg.norm(sample - sample[chosen[-1]], axis=1))
-    pivots = sample[chosen]
+    pivots = sample[np.unique(np.linspace(0, len(sample) - 1, cells).astype(int))]
+    for _ in range(PIVOT_ROUNDS):  # means of the sample's cells: compact and of like size; any pivots give the same clusters
+        near = np.stack([np.linalg.norm(sample - p, axis=1) for p in pivots], axis=1).argmin(axis=1)
+        pivots = np.stack([sample[near == c].mean(axis=0) if (near == c).any() else pivots[c] for c in range(len(pivots))])
     shared = points.sparkSession.sparkContext.broadcast(pivots)
 
     def cell_of(frames):
@@ -104,15 +149,39 @@ def _in_tiles(points: DataFrame, tiles: DataFrame) -> DataFrame:
 def _nearest(k: int):
     """Per point of a tile the distances below its bound to members of the other block (of its own in a home tile), nearest first, as many
     as ``k`` members need."""
+    def across(pid, x, w, ub, side) -> pd.DataFrame:
+        i, j = np.flatnonzero(side), np.flatnonzero(~side)
+        d2, off = squares(x[i], x[j])
+        far = ub * ub * (1 + 1e-9) + off
+        # not larger, so that a pair whose square is no number stays
+        a, b = np.nonzero(~(d2 > np.maximum(far[i][:, None], far[j][None, :])))
+        a, b = i[a], j[b]
+        d = some_distances(x, a, b)
+        a, b, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+        ok = d < ub[a]
+        a, b, d = a[ok], b[ok], d[ok]
+        o = np.lexsort((b, d, a))
+        a, b, d = a[o], b[o], d[o]
+        new = np.flatnonzero(np.diff(a, prepend=-1))
+        before = np.cumsum(w[b]) - w[b]  # members nearer than this one
+        before -= np.repeat(before[new], np.diff(np.append(new, len(a)))) if len(a) else 0
+        need = before + w[a] < k
+        a, b, d = a[need], b[need], d[need]
+        new = np.flatnonzero(np.diff(a, prepend=-1))
+        cuts = [*new.tolist(), len(a)]
+        ds, ms = d.tolist(), w[b].tolist()
+        rows = [(p, ds[s:e], ms[s:e]) for p, s, e in zip(pid[a[new]].tolist(), cuts[:-1], cuts[1:])]
+        return pd.DataFrame(rows, columns=["pid", "d", "m"])
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pid")
         x, w, ub = np.stack(pdf["vec"].to_numpy()), pdf["w"].to_numpy(), pdf["ub"].to_numpy()
-        home = pdf["ti"].iloc[0] == pdf["tj"].iloc[0]
-        d, side = pair_distances(x), (pdf["block"] == pdf["ti"]).to_numpy()
+        if pdf["ti"].iloc[0] != pdf["tj"].iloc[0]:
+            return across(pdf["pid"].to_numpy(), x, w, ub, (pdf["block"] == pdf["ti"]).to_numpy())
+        d = pair_distances(x)
         rows = []
         for i, pid in enumerate(pdf["pid"]):
-            ok = (side != side[i]) if not home else np.arange(len(x)) != i
-            cand = np.flatnonzero(ok & (d[i] < ub[i]))
+            cand = np.flatnonzero((np.arange(len(x)) != i) & (d[i] < ub[i]))
             cand = cand[np.argsort(d[i][cand], kind="stable")]
             stop = int(np.searchsorted(np.cumsum(w[cand]) + w[i], k)) + 1
             cand = cand[:stop]
@@ -149,15 +218,73 @@ def core_distances(points: DataFrame, gaps: np.ndarray, min_samples: int) -> Dat
     return merged(found.unionByName(cross), "core").select("pid", "core")
 
 
-def _tile_links(pdf: pd.DataFrame) -> pd.DataFrame:
+def _home_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The points with the spanning tree of their block, rooted at its densest point: per point the point above it, the level of that link, and the
+    heaviest level on the way to the root (-1 for the root, which has no link)."""
     pdf = pdf.sort_values("pid")
     pid, core = pdf["pid"].to_numpy(), pdf["core"].to_numpy()
     m = np.maximum(pair_distances(np.stack(pdf["vec"].to_numpy())), np.maximum(core[:, None], core[None, :]))
-    a, b, w = spanning_links(m)
-    side = (pdf["block"] == pdf["ti"]).to_numpy()
-    if pdf["ti"].iloc[0] != pdf["tj"].iloc[0]:  # links inside a block come from its home tile
+    beside = [[] for _ in pid]
+    for a, b, w in zip(*(c.tolist() for c in spanning_links(m))):
+        beside[a].append((b, w))
+        beside[b].append((a, w))
+    root = int(core.argmin())
+    up, lvl, top = np.full(len(pid), -1), np.full(len(pid), -1.0), np.full(len(pid), -1.0)
+    todo = [(root, -1)]
+    while todo:
+        v, over = todo.pop()
+        for n, w in beside[v]:
+            if n != over:
+                up[n], lvl[n], top[n] = pid[v], w, max(top[v], w)
+                todo.append((n, v))
+    return pdf[["block", "g", "pid", "vec", "core"]].assign(up=up, up_lvl=lvl, top=top)
+
+
+def cross_links(pid, x, core, side, up, up_lvl, top) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The links between two blocks that the spanning tree of both together holds: (low, high, weight) as places of ``pid``, which is sorted.
+
+    A link that is heavier than ``top`` of both its ends, and not the first of all such links, is the heaviest of a cycle: over both roots
+    and that first link. So the tree is that of the blocks' own trees, the links up to ``top`` and that one."""
+    i, j = np.flatnonzero(side), np.flatnonzero(~side)
+    d2, off = squares(x[i], x[j])
+    if not (np.isfinite(core).all() and np.isfinite(d2).all()):
+        a, b, w = spanning_links(np.maximum(pair_distances(x), np.maximum(core[:, None], core[None, :])))
         keep = side[a] != side[b]
-        a, b, w = a[keep], b[keep], w[keep]
+        return a[keep], b[keep], w[keep]
+
+    def exact(a, b):
+        lo, hi = np.minimum(i[a], j[b]), np.maximum(i[a], j[b])
+        return lo, hi, np.maximum(some_distances(x, lo, hi), np.maximum(core[lo], core[hi]))
+
+    slack = 1 + 1e-9
+    c2, bound = core * core, np.where(top >= 0, top * top * slack + off, -np.inf)
+    np.maximum(d2, c2[i][:, None], out=d2)  # squared weights
+    np.maximum(d2, c2[j][None, :], out=d2)
+    a, b = np.nonzero(d2 <= np.maximum(bound[i][:, None], bound[j][None, :]))
+    lo, hi, w = exact(a, b)
+    within = w <= np.maximum(top[lo], top[hi])
+    d2[a[within], b[within]] = np.inf
+    lo, hi, w = lo[within], hi[within], w[within]
+    least = d2.min()
+    if np.isfinite(least):
+        p, q, r = exact(*np.nonzero(d2 <= least * slack + 2 * off))
+        one = np.lexsort((q, p, r))[:1]
+        if not len(lo):
+            return p[one], q[one], r[one]
+        lo, hi, w = np.append(lo, p[one]), np.append(hi, q[one]), np.append(w, r[one])
+    own = np.flatnonzero(up_lvl >= 0)
+    over = np.searchsorted(pid, up[own])
+    a, b = np.concatenate([lo, np.minimum(own, over)]), np.concatenate([hi, np.maximum(own, over)])
+    kept = forest(len(pid), a, b, np.concatenate([w, up_lvl[own]]))
+    kept = kept[kept < len(lo)]
+    return lo[kept], hi[kept], w[kept]
+
+
+def _tile_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("pid")
+    pid = pdf["pid"].to_numpy()
+    a, b, w = cross_links(pid, np.stack(pdf["vec"].to_numpy()), pdf["core"].to_numpy(), (pdf["block"] == pdf["ti"]).to_numpy(),
+                          pdf["up"].to_numpy(), pdf["up_lvl"].to_numpy(), pdf["top"].to_numpy())
     return pd.DataFrame({"a": pid[a], "b": pid[b], "lvl": w})
 
 
@@ -166,9 +293,13 @@ def reach_links(points: DataFrame, min_samples: int) -> DataFrame:
     blocked, gaps = _with_blocks(points)
     blocked = stage_table(blocked)
     full = stage_table(blocked.join(core_distances(blocked, gaps, min_samples), "pid"))
+    kind = "block string, g string, pid long, vec array<double>, core double, up long, up_lvl double, top double"
+    full = stage_table(full.groupBy("block").applyInPandas(_home_links, kind))
+    own = full.where("up_lvl >= 0").select(F.least("pid", "up").alias("a"), F.greatest("pid", "up").alias("b"), F.col("up_lvl").alias("lvl"))
     blocks = full.select("g", "block").distinct()
-    tiles = blocks.select("g", F.col("block").alias("ti")).join(blocks.select("g", F.col("block").alias("tj")), "g").where("ti <= tj").select("ti", "tj")
-    return stage_table(_in_tiles(full, tiles).groupBy("ti", "tj").applyInPandas(_tile_links, "a long, b long, lvl double"))
+    tiles = blocks.select("g", F.col("block").alias("ti")).join(blocks.select("g", F.col("block").alias("tj")), "g").where("ti < tj").select("ti", "tj")
+    cross = _in_tiles(full.drop("g"), tiles).groupBy("ti", "tj").applyInPandas(_tile_links, "a long, b long, lvl double")
+    return stage_table(own.unionByName(cross))
 
 
 # --- contraction ---------------------------------------------------------------------------------

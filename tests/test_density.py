@@ -2,6 +2,7 @@
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from fpengine.operators import density as D
@@ -170,3 +171,42 @@ def test_tile_trees_hold_the_whole_tree():
             p, q, _ = D.spanning_links(m[np.ix_(idx, idx)])
             kept |= set(zip(idx[p].tolist(), idx[q].tolist()))
     assert whole <= kept and len(kept) < 90 * 89 / 2 / 5
+
+
+@pytest.mark.parametrize("case", range(12))
+def test_links_of_two_blocks_need_no_full_matrix(monkeypatch, case):
+    """The links between two blocks are those of the tree of both together, ties included, without all exact distances of the tile."""
+    rng = np.random.default_rng(case)
+    n, dim = 40 + 10 * case, 1 + case % 9
+    x = rng.normal(size=(n, dim)) * rng.choice([.1, 1, 5], size=(n, 1))
+    x = (np.round(x, 1) if case % 2 else x) + (1e6 if case % 3 == 0 else 0)
+    side = x[:, 0] < np.median(x[:, 0]) if case % 4 == 0 else rng.random(n) < .4
+    side[:2] = True, False
+    core = np.sort(D.pair_distances(x), axis=1)[:, 5]
+    a, b, w = D.spanning_links(np.maximum(D.pair_distances(x), np.maximum(core[:, None], core[None, :])))
+    want = {(p, q, r) for p, q, r in zip((a * 3).tolist(), (b * 3).tolist(), w.tolist()) if side[p // 3] != side[q // 3]}
+    pdf = pd.DataFrame({"g": "", "pid": np.arange(n) * 3, "vec": list(x), "core": core, "block": np.where(side, "i", "j"), "ti": "i", "tj": "j"})
+    tree = pd.concat([D._home_links(part) for _, part in pdf.groupby("block")])
+    monkeypatch.setattr(D, "pair_distances", None)
+    got = D._tile_links(pdf.merge(tree[["pid", "up", "up_lvl", "top"]], on="pid").sample(frac=1, random_state=case))
+    assert set(zip(got["a"].tolist(), got["b"].tolist(), got["lvl"].tolist())) == want
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_nearest_of_two_blocks(monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(120, 3)), 1)
+    d, w = D.pair_distances(x), rng.integers(1, 4, 120)
+    side, ub = rng.random(120) < .5, np.where(rng.random(120) < .1, np.inf, rng.uniform(.2, 1.5, 120))
+    pdf = pd.DataFrame({"pid": np.arange(120), "vec": list(x), "w": w, "ub": ub, "block": np.where(side, "i", "j"), "ti": "i", "tj": "j"})
+    want = {}
+    for i in range(120):
+        got = w[i]
+        for z, m in sorted((d[i, j], j) for j in range(120) if side[j] != side[i] and d[i, j] < ub[i]):
+            if got >= 8:
+                break
+            got += w[m]
+            want.setdefault(i, []).append((z, w[m]))
+    monkeypatch.setattr(D, "pair_distances", None)
+    rows = D._nearest(8)(pdf.sample(frac=1, random_state=seed))
+    assert {r.pid: list(zip(r.d, r.m)) for r in rows.itertuples()} == want
