@@ -11,8 +11,8 @@ suffixes is then induced from the sorted sample:
 
 * runs with equal gram and equal context agree in all their windows, whose bytes are covered at once;
 * runs that share a gram with another document but not the whole context agree in some windows at most, and only if
-  they agree on half of the rest of a window left or right of the gram. They alone are expanded: the smallest document of each of their windows is found by a partial
-  aggregation, and their windows are marked by joining back.
+  they agree on half of the rest of a window left or right of the gram. They alone are expanded: a task settles what its own windows say about
+  each other and keeps the smallest document's; these meet once, sorted by window and document, and all but the first document's are marked.
 
 The classical external induced sorting carries common-prefix values through disk-backed priority queues
 of one machine; here the context hash plays their part (full agreement) and window hashes the
@@ -246,10 +246,36 @@ def _settle(length):
     return run
 
 
-def _expand(length):
-    """Window hashes of the runs of a text: (w, doc, th, a)."""
+WINDOWS = "w long, doc long, th long, a long, b long"
+
+
+def _window_rows(w, doc, th, a, b):
+    import pyarrow as pa
+    for i in range(0, len(doc), 200_000):
+        j = slice(i, i + 200_000)
+        yield pa.RecordBatch.from_arrays([pa.array(x[j]) for x in (w, doc, th, a, b)], names=["w", "doc", "th", "a", "b"])
+
+
+def _lowest(parts, length):
+    """Equal windows inside a task: all but the smallest document's are settled. An open window has end 0."""
+    w, doc, th, a = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    o = np.lexsort((doc, w))
+    w, doc, th, a = (x[o] for x in (w, doc, th, a))
+    new = np.ones(len(w), dtype=bool)
+    new[1:] = w[1:] != w[:-1]
+    first = np.flatnonzero(new)
+    done = doc > np.repeat(doc[first], np.diff(np.append(first, len(w))))
+    if done.any():
+        d, t, s, e = _merge(doc[done], th[done], a[done], a[done] + length)
+        yield from _window_rows(mix64(d.astype(np.uint64)).view(np.int64), d, t, s, e)
+    k = ~done
+    yield from _window_rows(w[k], doc[k], th[k], a[k], np.zeros(int(k.sum()), dtype=np.int64))
+
+
+def _expand(length, most=HELD):
+    """Windows of the runs of a text by the hash of their bytes, and spans that are settled."""
     def run(batches):
-        import pyarrow as pa
+        parts, held = [], 0
         for batch in batches:
             for at, rows, data, off in text_blocks(batch):
                 s = prefix_hash(data.astype(np.uint64) + np.uint64(1))
@@ -263,12 +289,40 @@ def _expand(length):
                 start = base + np.arange(len(base)) - np.repeat(np.cumsum(c) - c, c)
                 # the same window may stand in two runs of the list only if the list repeats: it never does
                 p = off[row] + start
-                w = range_hash(s, p, p + length).view(np.int64)
                 ids, ths = part.column(0).to_numpy(), part.column(1).to_numpy()
-                for i in range(0, len(w), 200_000):
-                    j = slice(i, i + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(w[j]), pa.array(ids[row[j]]), pa.array(ths[row[j]]), pa.array(start[j])],
-                                                     names=["w", "doc", "th", "a"])
+                parts.append((range_hash(s, p, p + length).view(np.int64), ids[row], ths[row], start))
+                held += len(start)
+                if held >= most:
+                    yield from _lowest(parts, length)
+                    parts, held = [], 0
+        if held:
+            yield from _lowest(parts, length)
+    return run
+
+
+def _marked(length):
+    """Windows sorted by hash and document -> the spans of all that a smaller document has too, and the settled ones."""
+    def run(batches):
+        import pyarrow as pa
+        last, low = None, None
+        for batch in batches:
+            w, doc, th, a, b = (batch.column(k).to_numpy() for k in range(5))
+            hit = b > 0
+            end = b.copy()
+            op = np.flatnonzero(~hit)
+            if len(op):
+                v, d = w[op], doc[op]
+                new = np.ones(len(op), dtype=bool)
+                new[1:] = v[1:] != v[:-1]
+                first = np.flatnonzero(new)
+                least = d[first]
+                if last is not None and v[0] == last:  # the group began in the batch before
+                    least[0] = low
+                last, low = v[-1], least[-1]
+                hit[op] = d > np.repeat(least, np.diff(np.append(first, len(op))))
+                end[op] = a[op] + length
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merge(doc[hit], th[hit], a[hit], end[hit])], names=["doc", "th", "a", "b"])
     return run
 
 
@@ -306,20 +360,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # rows that repeat an id are told apart by their text
     src = src.withColumn("th", F.xxhash64("text") if repeats else F.lit(0).cast("long")).select("doc", "th", "text")
     runs = src.where("doc IS NOT NULL").mapInArrow(_scan(length, gram, max(64, GROUP // max(1, src.rdd.getNumPartitions()))), COLS)
-    dealt = runs.repartition("g").sortWithinPartitions("g")
-    found = stage(dealt.mapInArrow(_settle(length), COLS).select("kind", "doc", "th", "a", "b"), "sfx-found")
+    found = stage(runs.repartition("g").sortWithinPartitions("g").mapInArrow(_settle(length), COLS).select("kind", "doc", "th", "a", "b"), "sfx-found")
+    del runs
     free_shuffles(spark)
 
     lists = found.where(F.col("kind") == EXPAND).groupBy("doc", "th").agg(F.collect_set(F.struct("a", F.col("b").alias("c"))).alias("runs"))
     wide = src.join(lists, ["doc", "th"]).select("doc", "th", "text", "runs")
-    windows = stage(wide.mapInArrow(_expand(length), "w long, doc long, th long, a long"), "sfx-windows")
-    free_shuffles(spark)
-    low = windows.groupBy("w").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("w", "lo")
-    hits = windows.join(low, "w").where("doc > lo").select("doc", "th", "a", (F.col("a") + length).alias("b"))
+    windows = wide.mapInArrow(_expand(length), WINDOWS).repartition("w").sortWithinPartitions("w", "doc")
+    hits = windows.mapInArrow(_marked(length), "doc long, th long, a long, b long")
     spans = found.where(F.col("kind") == SPAN).select("doc", "th", "a", "b").unionByName(hits)
     per = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     per = stage(per, "sfx-spans")
-    discard(found, windows)
+    discard(found)
     free_shuffles(spark)
     j = src.join(per, ["doc", "th"], "left").select("doc", "text", "spans")
     return j.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

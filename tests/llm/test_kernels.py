@@ -140,3 +140,24 @@ def test_huffman_code_is_a_distribution_and_mixer_learns():
     learnt = lm.Mixer(1).run(st, gate, bit, lane, block, 1)[0]
     assert learnt > 0.6 * even
     assert lm.words_of("A\x0bÄ b c\n") == ["a".encode(), "Ä".encode(), "b c".encode()]
+
+
+def test_windows_meet_once():
+    """Windows settled inside tasks and the open ones, sorted over several batches, mark exactly what a smaller document has too."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n, length = 400, 5
+    w, doc, a = rng.integers(0, 60, n), rng.integers(0, 12, n), 10 * np.arange(n)
+    th = np.zeros(n, dtype=np.int64)
+    low = {}
+    for x, d in zip(w.tolist(), doc.tolist()):
+        low[x] = min(low.get(x, d), d)
+    want = {(d, s) for x, d, s in zip(w.tolist(), doc.tolist(), a.tolist()) if low[x] < d}
+    sent = [b for part in np.array_split(np.arange(n), 4) for b in suffixes._lowest([(w[part], doc[part], th[part], a[part])], length)]
+    t = pa.Table.from_batches(sent)
+    assert 0 < sum(b > 0 for b in t["b"].to_pylist()) and t.num_rows == n
+    t = t.sort_by([("w", "ascending"), ("doc", "ascending")]).combine_chunks()
+    got = [b for b in suffixes._marked(length)(t.to_batches(max_chunksize=7))]
+    rows = [r for b in got for r in b.to_pylist()]
+    assert {(r["doc"], r["a"]) for r in rows} == want and all(r["b"] == r["a"] + length for r in rows) and len(rows) == len(want)
