@@ -12,6 +12,9 @@ Devices come in last: a list of the best ``m`` neighbours needs at most the ``m`
 answer is merged from the lists of its seeds without its excluded devices; it is final when its k-th entry ranks no later than the last entry
 of every list that was cut. Queries that are not final look deeper, with lists four times as long, until all are: no depth is ever
 the last one.
+
+A query's lists travel as arrays, one row per seed profile, and are merged in its one row. Queries with more than ``FEW`` excluded devices (their seeds
+are among them), and all once lists are longer than ``SHORT``, are merged row by row instead, so no row grows without bound.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from ..session import drop_tables, stage_table
 from .relational import lookup
 
 LIGHT = 256  # a light node's list has at most this many profiles
+FEW, SHORT = 64, 1024
 
 
 def _count(a: str, b: str, n: int):
@@ -62,6 +66,19 @@ def _part_pairs(parts: DataFrame, seed_parts: DataFrame, heavy: DataFrame, n: in
     return both.select("hs", "h", _count("fa", "hf", n).alias("s")).where(F.col("s") >= t)
 
 
+def _merged(asked: DataFrame, lists: DataFrame, without: DataFrame, m: int, k: int) -> DataFrame:
+    """(q, top, last): the ``k`` first devices (s: negative count, neighbor) of the lists of a query's seeds without its devices ``out``, and the
+    first of the last entries of its lists of full length ``m``."""
+    short = lists.groupBy("sp").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "neighbor"))).alias("x"))
+    each = asked.join(short, "sp").groupBy("q").agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"),
+                                                    F.min(F.when(F.size("x") >= m, F.element_at("x", -1))).alias("last"))
+    kept = F.filter("x", lambda e: ~F.coalesce(F.array_contains(F.coalesce("out", F.array()), e["neighbor"]), F.lit(False)))
+    # a device's first entry is its best; the others go
+    names = F.slice(F.array_distinct(F.transform("x", lambda e: e["neighbor"])), 1, k)
+    left = each.join(without, "q", "left").select("q", kept.alias("x"), "last")
+    return left.select("q", F.transform(names, lambda d: F.filter("x", lambda e: e["neighbor"].eqNullSafe(d))[0]).alias("top"), "last")
+
+
 def shared_feature_neighbors(devices: DataFrame, id_col: str, feature_cols: Sequence[str], seeds: DataFrame, *, q: int = 1, k: int = 5,
                              type_col: str | None = None, query_col: str = "query_id", seed_col: str = "seed_id",
                              exclude: DataFrame | None = None, degree: int = LIGHT, depth: int | None = None) -> DataFrame:
@@ -107,6 +124,8 @@ def shared_feature_neighbors(devices: DataFrame, id_col: str, feature_cols: Sequ
         w = Window.partitionBy(by).orderBy(F.col("s").desc(), F.col("neighbor").asc())
         return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= m)
 
+    hubs = stage_table(excluded.groupBy("q").count().where(F.col("count") > FEW).select("q"), "jn8-hubs")
+    without = stage_table(excluded.join(hubs, "q", "left_anti").groupBy("q").agg(F.collect_list("neighbor").alias("out")), "jn8-without")
     m, pending, done = depth or k + 1, asked, []
     while True:
         from_light = best(pairs.join(pending.select("sp").distinct(), "sp", "left_semi").join(first("p", m), "p").select("sp", "neighbor", "s"), "sp", m)
@@ -114,12 +133,18 @@ def shared_feature_neighbors(devices: DataFrame, id_col: str, feature_cols: Sequ
         hs = pending.select("sp", "hs").distinct()
         either = from_light.select("sp", "neighbor", "s").unionByName(hs.join(from_heavy, "hs").select("sp", "neighbor", "s"))
         lists = stage_table(best(either.groupBy("sp", "neighbor").agg(F.max("s").alias("s")), "sp", m), "jn8-lists")
-        fan = pending.join(lists.select("sp", "neighbor", "s"), "sp").groupBy("q", "neighbor").agg(F.max("s").alias("s"))
+        rows = pending.join(hubs, "q", "left_semi") if m <= SHORT else pending
+        fan = rows.join(lists.select("sp", "neighbor", "s"), "sp").groupBy("q", "neighbor").agg(F.max("s").alias("s"))
         top = stage_table(best(fan.join(excluded, ["q", "neighbor"], "left_anti"), "q", k), "jn8-top")
         key = F.struct((-F.col("s")).alias("s"), "neighbor")
-        cut = pending.join(lists.where(F.col("r") == m).select("sp", key.alias("last")), "sp").groupBy("q").agg(F.min("last").alias("last"))
+        cut = rows.join(lists.where(F.col("r") == m).select("sp", key.alias("last")), "sp").groupBy("q").agg(F.min("last").alias("last"))
         kth = top.where(F.col("r") == k).select("q", key.alias("kth"))
-        deeper = stage_table(cut.join(kth, "q", "left").where("kth IS NULL OR kth > last").select("q"), "jn8-deeper")
+        open_ = cut.join(kth, "q", "left").where("kth IS NULL OR kth > last").select("q")
+        if m <= SHORT:
+            merged = stage_table(_merged(pending.join(hubs, "q", "left_anti"), lists, without, m, k), "jn8-merged")
+            top = top.unionByName(merged.select("q", F.posexplode("top").alias("r", "x")).select("q", "x.neighbor", (-F.col("x.s")).alias("s"), (F.col("r") + 1).alias("r")))
+            open_ = open_.unionByName(merged.where(F.col("last").isNotNull() & ((F.size("top") < k) | (F.col("top")[k - 1] > F.col("last")))).select("q"))
+        deeper = stage_table(open_, "jn8-deeper")
         drop_tables(lists)
         if deeper.isEmpty():
             done.append(top)

@@ -216,3 +216,35 @@ def test_shared_neighbors_hub_blank_25_columns(spark, q):
         best = {b: max(int(same[s, b]) for s in sd) for b in range(n) if b not in sd} if sd else {}
         want = sorted(((b, c) for b, c in best.items() if c > q), key=lambda x: (-x[1], x[0]))[:5]
         assert sorted(got.get(z, [])) == [(i, b, c, "t") for i, (b, c) in enumerate(want, 1)]
+
+
+@pytest.mark.parametrize("few,short", [(64, 1024), (3, 1024), (64, 6)])
+def test_lists_of_a_query_merge_alike_as_arrays_and_as_rows(spark, monkeypatch, few, short):
+    """Queries with few excluded devices, hubs and deep lists take different ways to the same answer."""
+    from fpengine.operators import sharing as SH
+
+    monkeypatch.setattr(SH, "FEW", few)
+    monkeypatch.setattr(SH, "SHORT", short)
+    rng = np.random.default_rng(12)
+    vals = rng.integers(0, 3, size=(60, 3)).tolist()
+    seeds = [(q, int(d)) for q in range(12) for d in rng.choice(60, size=1 + q % 6, replace=False)]
+    excl = [(q, int(d)) for q in range(12) for d in rng.choice(60, size=(0, 2, 30)[q % 3], replace=False)]
+    dev = spark.createDataFrame([(i, *map(str, v)) for i, v in enumerate(vals)], "id long, a string, b string, c string")
+    got = SH.shared_feature_neighbors(dev, "id", ["a", "b", "c"], spark.createDataFrame(seeds, "query_id long, seed_id long"), q=1, k=4,
+                                      exclude=spark.createDataFrame(excl, "query_id long, neighbor_id long")).collect()
+    want = set()
+    for q in range(12):
+        mine, gone = [d for p, d in seeds if p == q], {d for p, d in seeds + excl if p == q}
+        best = {i: max(sum(x == y for x, y in zip(vals[i], vals[d])) for d in mine) for i in range(60) if i not in gone}
+        want |= {(q, i, s, r + 1) for r, (s, i) in enumerate(sorted((-s, i) for i, s in best.items() if s > 1)[:4]) for s in (-s,)}
+    assert {(r.query_id, r.neighbor_id, r.shared_count, r.rank) for r in got} == want
+
+
+def test_merged_lists_are_one_row_per_query(spark):
+    from fpengine.operators import sharing as SH
+
+    asked = spark.createDataFrame([(1, 10), (1, 11), (2, 11), (3, 12)], "q long, sp long")
+    lists = spark.createDataFrame([(10, 5, 2), (10, 6, 2), (11, 5, 3), (11, 7, 2), (11, 8, 2)], "sp long, neighbor long, s int")
+    got = {r.q: ([(x.s, x.neighbor) for x in r.top], tuple(r.last) if r.last else None) for r in
+           SH._merged(asked, lists, spark.createDataFrame([(1, [7])], "q long, out array<long>"), 3, 2).collect()}
+    assert got == {1: ([(-3, 5), (-2, 6)], (-2, 8)), 2: ([(-3, 5), (-2, 7)], (-2, 8))}
