@@ -41,6 +41,10 @@ SLOTS = 1 << 22
 SEEN_IN_TASK, FREQUENT = 5, 32
 #: rows of a tile's side
 TILE = 1024
+#: bytes of text that a kernel works on at once: its arrays take about a hundred times as much
+TEXTS = 400_000
+#: least number of bits an element has in the bitmaps that travel with pairs and members of tiles (many rows a document)
+BITS = 4
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -84,7 +88,7 @@ def _scan(words):
         count = np.zeros(SLOTS, dtype=np.int32)
         for batch in batches:
             ids = batch.column(0)
-            for at, rows, data, off in text_blocks(batch, most=1_500_000):
+            for at, rows, data, off in text_blocks(batch, most=TEXTS):
                 sets = shingle_sets(data, off, words)
                 for u in sets:
                     if len(u):
@@ -120,7 +124,7 @@ def _prefixes(level_of, words, num, den):
         level = np.frombuffer(level_of.value, dtype=np.uint8)
         for batch in batches:
             ids = batch.column(0)
-            for at, rows, data, off in text_blocks(batch, most=1_500_000):
+            for at, rows, data, off in text_blocks(batch, most=TEXTS):
                 sets = shingle_sets(data, off, words)
                 pre = [prefix_of(u, level, num, den) if len(u) else u for u in sets]
                 cut = np.zeros(rows + 1, dtype=np.int32)
@@ -132,14 +136,50 @@ def _prefixes(level_of, words, num, den):
     return run
 
 
-def signature_width(n: int) -> int:
-    """Bits of the bitmap of a set of n: a power of two, 8n to 16n, so it follows the size band. Few of
-    the differing elements then fall together, and the bound is near the true overlap."""
-    return 1 << max(6, int(8 * n - 1).bit_length())
+def _meet(batches):
+    """Rows (h, doc) sorted by both -> the groups of several documents, with their smallest: of two rows the other one, of more
+    rows (``many``) every member. A group that goes on over batches is given out as it comes, so none is held whole."""
+    import pyarrow as pa
+
+    def out(h, doc, lo, many):
+        for i in range(0, len(h), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 100_000]) for x in (h, doc, lo, many)], names=["h", "doc", "lo", "many"])
+
+    def groups(h, doc):
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
+        size = np.diff(np.append(first, len(h)))
+        lo, many = np.repeat(doc[first], size), np.repeat(size > 2, size)
+        several = np.repeat(doc[first] != doc[first + size - 1], size) & (many | (doc != lo))
+        yield from out(h[several], doc[several], lo[several], many[several])
 
+    none = np.zeros(0, dtype=np.int64)
+    held, begun = (none, none), None
+    for batch in batches:
+        h, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if begun is not None:
+            k = int(np.searchsorted(h, begun[0], side="right"))
+            yield from out(h[:k], doc[:k], np.full(k, begun[1]), np.ones(k, dtype=bool))
+            h, doc = h[k:], doc[k:]
+        if not len(h):
+            continue
+        h, doc, begun = np.concatenate([held[0], h]), np.concatenate([held[1], doc]), None
+        cut = int(np.searchsorted(h, h[-1]))
+        yield from groups(h[:cut], doc[:cut])
+        held = h[cut:], doc[cut:]
+        if len(held[0]) > 2 and held[1][0] != held[1][-1]:
+            yield from out(*held, np.full(len(held[0]), held[1][0]), np.ones(len(held[0]), dtype=bool))
+            held, begun = (none, none), (int(h[-1]), held[1][0])
+    yield from groups(*held)
 
-def signature(u: np.ndarray) -> np.ndarray:
-    bits = np.zeros(signature_width(max(len(u), 1)), dtype=np.uint8)
+
+def signature_width(n: int, per: int = 8) -> int:
+    """Bits of the bitmap of a set of n: a power of two, from ``per`` * n to twice that, so it follows the size band. The wider
+    it is, the fewer of the differing elements fall together and the nearer the bound is to the true overlap."""
+    return 1 << max(6, int(per * n - 1).bit_length())
+
+
+def signature(u: np.ndarray, per: int = 8) -> np.ndarray:
+    bits = np.zeros(signature_width(max(len(u), 1), per), dtype=np.uint8)
     bits[(u >> np.uint64(8)).astype(np.int64) & (len(bits) - 1)] = 1
     return np.packbits(bits, bitorder="little")
 
@@ -184,8 +224,8 @@ def id_bitmap(need: DataFrame):
     return spark_of(need).sparkContext.broadcast(words.tobytes())
 
 
-def _sets(words, wanted, bitmaps):
-    """Sorted arrays (or bitmap signatures) of the sets of the documents that the id bitmap holds."""
+def _sets(words, wanted, per):
+    """Sorted arrays (or bitmap signatures of ``per`` bits an element) of the sets of the documents that the id bitmap holds."""
     def run(batches):
         import pyarrow as pa
         held = np.frombuffer(wanted.value, dtype=np.uint64)
@@ -193,11 +233,11 @@ def _sets(words, wanted, bitmaps):
             s = _id_slot(batch.column(0).to_numpy(), 64 * len(held))
             batch = batch.filter(pa.array((held[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1))
             ids = batch.column(0)
-            for at, rows, data, off in text_blocks(batch, most=1_500_000):
+            for at, rows, data, off in text_blocks(batch, most=TEXTS):
                 sets = shingle_sets(data, off, words)
                 yield pa.RecordBatch.from_arrays([ids.slice(at, rows), pa.array([len(u) for u in sets], type=pa.int64()),
-                                                  pa.array([(signature(u) if bitmaps else u).tobytes() for u in sets], type=pa.binary())],
-                                                 names=["doc_id", "n", "bits" if bitmaps else "arr"])
+                                                  pa.array([(signature(u, per) if per else u).tobytes() for u in sets], type=pa.binary())],
+                                                 names=["doc_id", "n", "bits" if per else "arr"])
     return run
 
 
@@ -264,7 +304,7 @@ def tile_pairs(doc, n, comp, block, sigs, cross: bool, num: int = NUM, den: int
     """Pairs of different components, within the size band, whose bitmaps allow a link."""
     order = np.argsort(n, kind="stable")
     doc, n, comp, block = doc[order], n[order], comp[order], block[order]
-    width = np.array([signature_width(int(x)) for x in n])
+    width = np.array([8 * len(sigs[k]) for k in order])
     mats: dict[int, tuple[int, np.ndarray]] = {}
     out_a, out_b = [], []
     last = np.searchsorted(n * num, n * den, side="right")  # n_j * num <= n_i * den
@@ -327,31 +367,25 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     pre = named.mapInArrow(_prefixes(level_of, words, num, den), "doc_id long, n long, pre array<long>")
     pre = stage(one(pre.where("n > 0").join(reps, ["doc_id", "n"], "left_semi")), "jac-prefix")
     free_shuffles(spark)
-    keyed = pre.select("doc_id", F.explode("pre").alias("h"))
-    groups = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
-    groups = stage(groups, "jac-groups")
-    free_shuffles(spark)
-    # members of the groups of three and more; a hot key of this join is split by Spark's skew join
-    more = keyed.join(groups.where("m > 2").select("h", "lo"), "h")
-    more = stage(more.select("h", F.col("doc_id").alias("doc"), "lo"), "jac-members")
+    # one shuffle finds the groups and their members: the first row of a group is its smallest document
+    keyed = pre.select(F.explode("pre").alias("h"), F.col("doc_id").alias("doc"))
+    met = stage(keyed.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_meet, "h long, doc long, lo long, many boolean"), "jac-members")
     discard(pre)
     free_shuffles(spark)
-    two = groups.where("m = 2").select(F.col("hi").alias("doc"), "lo")
-    star = two.unionByName(more.where("doc <> lo").select("doc", "lo")).groupBy(F.col("lo").alias("a"), F.col("doc").alias("b")) \
-        .agg(F.count(F.lit(1)).alias("w"))
+    more = met.where("many").select("h", "doc")
+    star = met.where("doc <> lo").groupBy(F.col("lo").alias("a"), F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("w"))
     # a pair outside the size band cannot link
     star = star.join(reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a") \
         .join(reps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b") \
         .where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b", "w")
     star = stage(star.distinct() if repeats else star, "jac-star")
-    discard(groups)
     free_shuffles(spark)
 
-    def sets_of(need: DataFrame, bitmaps: bool = False) -> DataFrame:
-        """Arrays or bitmaps of the sets of the documents of ``need`` (doc_id). Texts are not shuffled; only sets are."""
+    def sets_of(need: DataFrame, per: int = 0) -> DataFrame:
+        """Arrays or bitmaps (``per`` bits an element) of the sets of the documents of ``need`` (doc_id). Texts are not shuffled; only sets are."""
         need = stage(need.distinct(), "jac-need")
-        col = "bits" if bitmaps else "arr"
-        sets = named.mapInArrow(_sets(words, id_bitmap(need), bitmaps), f"doc_id long, n long, {col} binary").where("n > 0")
+        col = "bits" if per else "arr"
+        sets = named.mapInArrow(_sets(words, id_bitmap(need), per), f"doc_id long, n long, {col} binary").where("n > 0")
         sets = sets.join(need, "doc_id", "left_semi")
         sets = stage(one(sets.join(reps, ["doc_id", "n"], "left_semi")) if repeats else sets, f"jac-{col}")
         discard(need)
@@ -380,7 +414,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return out
 
     # round 1: each document against the centre it meets most often, of those that may link
-    sig = sets_of(ends(star), bitmaps=True)
+    sig = sets_of(ends(star), BITS)
     open_ = stage(may_link(star, sig), "jac-open")
     discard(sig)
     free_shuffles(spark)
@@ -397,7 +431,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # round 2: what is still in different components
     pairs2 = with_comp(with_comp(open_.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
     member = stage(with_comp(more.select("h", "doc"), "doc", "comp"), "jac-member")
-    discard(more)
+    discard(met)
     mixed = member.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m"),
                                     F.sum(F.xxhash64("doc").bitwiseAND(F.lit((1 << 40) - 1))).alias("fp")).where("c1 <> c2")
     # groups of the same members say the same: one of them is enough
@@ -405,7 +439,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     left = stage(member.join(mixed, "h"), "jac-left")
     discard(member)
     free_shuffles(spark)
-    sig = sets_of(left.select(F.col("doc").alias("doc_id")), bitmaps=True)
+    sig = sets_of(left.select(F.col("doc").alias("doc_id")), BITS)
     tiles = left.join(sig.select(F.col("doc_id").alias("doc"), "n", F.col("bits").alias("sig")), "doc") \
         .withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int")) \
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))

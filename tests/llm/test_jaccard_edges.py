@@ -1,5 +1,9 @@
 """Empty tables, null ids and texts, repeated ids in the n-gram join."""
 
+import numpy as np
+import pyarrow as pa
+
+from fpengine.llm import jaccard
 from fpengine.llm.jaccard import similar_components
 
 
@@ -13,3 +17,51 @@ def test_empty_null_and_repeated(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in similar_components(spark.createDataFrame(rows, schema)).collect())
     # document 7 stands in two rows and joins the links of both
     assert got == [(0, 56, 0), (3, 0, 3), (4, 0, 4), (5, 56, 5), (7, 56, 5), (7, 56, 5), (8, 56, 5), (9, 56, 5)]
+
+
+def _members(rows, size):
+    """Rows that _meet gives for (h, doc), in batches of ``size``, and the most input rows it held back."""
+    rows = sorted(rows)
+    read = [0]
+
+    def batches():
+        for i in range(0, len(rows), size):
+            part = rows[i:i + size]
+            read[0] += len(part)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], type=pa.int64()) for k in (0, 1)], names=["h", "doc"])
+
+    got, late = [], 0
+    for b in jaccard._meet(batches()):
+        got += [tuple(r.values()) for r in b.to_pylist()]
+        late = max(late, read[0] - len(got))
+    return got, late
+
+
+def test_one_pass_finds_groups_and_members():
+    rng = np.random.default_rng(3)
+    rows = [(int(h), int(d)) for h, d in zip(rng.integers(-6, 6, 60), rng.integers(0, 9, 60), strict=True)] + [(40, 1), (41, 2), (41, 2), (42, 3), (42, 5)]
+    want = []
+    for h in {r[0] for r in rows}:
+        docs = sorted(d for g, d in rows if g == h)
+        if docs[0] != docs[-1]:
+            want += [(h, d, docs[0], len(docs) > 2) for d in (docs if len(docs) > 2 else docs[1:])]
+    for size in (1, 2, 3, 7, 1000):
+        assert sorted(_members(rows, size)[0]) == sorted(want)
+    assert _members([], 5) == ([], 0)
+
+
+def test_a_large_group_is_not_held():
+    got, late = _members([(7, d) for d in range(5000)], 100)
+    assert len(got) == 5000 and late <= 200
+
+
+def test_bitmaps_of_half_the_width_lose_no_link():
+    rng = np.random.default_rng(5)
+    for n, gone in ((40, 4), (300, 33), (300, 30), (1000, 100)):
+        u = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        v = np.unique(np.concatenate([u[gone:], rng.integers(0, 1 << 62, gone).astype(np.uint64)]))
+        assert 100 * len(np.intersect1d(u, v)) >= 80 * len(np.union1d(u, v))
+        sig = [jaccard.signature(s, jaccard.BITS).tobytes() for s in (u, v)]
+        assert all(len(x) <= jaccard.BITS * n / 4 for x in sig)
+        a, b = jaccard.tile_pairs(np.array([1, 2]), np.array([len(u), len(v)]), np.array([1, 2]), np.array([0, 0]), sig, False)
+        assert sorted([*a.tolist(), *b.tolist()]) == [1, 2]
