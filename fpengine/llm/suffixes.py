@@ -10,9 +10,11 @@ bytes. Spark's external sort, which spills to disk, orders the tuples by gram. W
 suffixes is then induced from the sorted sample:
 
 * runs with equal gram and equal context agree in all their windows, whose bytes are covered at once;
-* runs that share a gram with another document but not the whole context agree in some windows at most, and only if
-  they agree on half of the rest of a window left or right of the gram. They alone are expanded: a task settles what its own windows say about
-  each other and keeps the smallest document's; these meet once, sorted by window and document, and all but the first document's are marked.
+* runs that share a gram with another document but not the whole context agree in some windows at most. Windows fall into
+  ``CLASSES`` by the place of the gram in them; equal ones are of one class and agree on all bytes that the windows of their class have in
+  common (41 of 50). A tuple has a short hash of these bytes per class, and only the windows of classes whose bytes another document has too
+  are expanded: a task settles what its own windows say about each other and keeps the smallest document's; these meet once, sorted by window
+  and document, and all but the first document's are marked.
 
 The classical external induced sorting carries common-prefix values through disk-backed priority queues
 of one machine; here the context hash plays their part (full agreement) and window hashes the
@@ -42,14 +44,21 @@ GRAM = 12
 GROUP = 1_000_000
 #: tuples a task holds before it gives them out
 HELD = 500_000
-#: offset codes fit 6 bits, the number of windows of a run 6 bits
-_FBITS = 40
+#: classes of windows by the place of the gram; bits of a class's hash
+CLASSES, _KBITS = 4, 10
+#: the number of windows of a run has 6 bits, the place of the gram in its first window 6 bits, then the classes' hashes follow
+_FBITS, _KEYS = 40, 12
+
+
+def _class_bounds(length: int = LENGTH, gram: int = GRAM) -> list[int]:
+    """Class k holds the windows with bounds[k] to bounds[k + 1] - 1 bytes before their gram."""
+    return [-(-k * (length - gram + 1) // CLASSES) for k in range(CLASSES + 1)]
 
 
 def runs_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """Runs of windows with one representative: row, first window (place in the row), number of
-    windows (6 bits) with short hashes of the bytes left and right of the gram (9 bits each, 0 at a
-    text's ends), gram hash, context hash."""
+    windows (6 bits) with the place of the gram in the first one (6 bits) and a short hash per class (0: the run has no
+    window of it), gram hash, context hash."""
     n = np.diff(off)
     have = np.flatnonzero(n >= length)
     if not len(have):
@@ -83,14 +92,16 @@ def runs_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     place = r[first]
     ctx = range_hash(s, a, a + count + length - 1)
     ctx = mix64(ctx ^ (place - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ count.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    # a window that two runs share holds this many bytes on one side of the gram at least
-    half = -(-(length - gram) // 2)
-    left, right = place - half, place + gram + half
-    hl = np.where(left >= off[row], range_hash(s, np.maximum(left, 0), place) % np.uint64(255) + np.uint64(1), np.uint64(0))
-    hr = np.where(right <= off[row + 1], range_hash(s, place + gram, np.minimum(right, total)) % np.uint64(255) + np.uint64(1), np.uint64(0))
-    side = (hl.astype(np.int64) << 6) | (hr.astype(np.int64) << 15)
+    # what all windows of a class have in common: the bytes around the gram that its most unlike windows share
+    before = place - a
+    code = count | before << 6
+    bounds = _class_bounds(length, gram)
+    for k in range(CLASSES):
+        has = np.flatnonzero((before >= bounds[k]) & (before - count + 1 < bounds[k + 1]))
+        left, right = place[has] - bounds[k], place[has] + length - (bounds[k + 1] - 1)
+        code[has] |= (range_hash(s, left, right) % np.uint64((1 << _KBITS) - 1) + np.uint64(1)).astype(np.int64) << (_KEYS + _KBITS * k)
     # 48 bits of the gram's hash are enough: contexts are compared too
-    return row, a - off[row], count | side, h[place] >> np.uint64(16), ctx
+    return row, a - off[row], code, h[place] >> np.uint64(16), ctx
 
 
 def _merge(doc, th, start, end):
@@ -128,8 +139,8 @@ def _rows(kind, g, f, doc, th, a, b):
 def _collapse(parts, length, most):
     """Equal gram and context inside a task: all but the smallest document are settled."""
     g, f, doc, th, a, c = (np.concatenate([p[k] for p in parts]) for k in range(6))
-    o = np.lexsort((doc, f, g))
-    g, f, doc, th, a, c = (x[o] for x in (g, f, doc, th, a, c))
+    at = np.lexsort((doc, f, g))
+    g, f, doc, th, a, c = (x[at] for x in (g, f, doc, th, a, c))
     new = np.ones(len(g), dtype=bool)
     new[1:] = (g[1:] != g[:-1]) | (f[1:] != f[:-1])
     first = np.flatnonzero(new)
@@ -139,7 +150,7 @@ def _collapse(parts, length, most):
         d, t, s, e = _merge(doc[done], th[done], a[done], a[done] + (c[done] & 63) + length - 1)
         yield _rows(SPAN, mix64(d.astype(np.uint64)).view(np.int64), None, d, t, s, e)
     k = ~done
-    g, f, doc, th, a, c = (x[k] for x in (g, f, doc, th, a, c))
+    g, f, doc, th, a, c, at = (x[k] for x in (g, f, doc, th, a, c, at))
     newg = np.ones(len(g), dtype=bool)
     newg[1:] = g[1:] != g[:-1]
     fg = np.flatnonzero(newg)
@@ -150,7 +161,8 @@ def _collapse(parts, length, most):
         yield _rows(EXPAND, mix64(doc[hot].astype(np.uint64)).view(np.int64), None, doc[hot], th[hot], a[hot], c[hot] & 63)
         w = fg[size > most]  # a witness for the other tasks; its mark sends the whole group to the expansion
         yield _rows(OPEN, g[w].view(np.int64), packed[w] | 1, doc[w], th[w], a[w], c[w])
-    cold = ~hot
+    cold = np.flatnonzero(~hot)
+    cold = cold[np.argsort(at[cold])]  # in the order of the texts neighbouring rows are alike and pack better
     yield _rows(OPEN, g[cold].view(np.int64), packed[cold], doc[cold], th[cold], a[cold], c[cold])
 
 
@@ -173,8 +185,10 @@ def _scan(length, gram, most):
     return run
 
 
-def _settle(length):
+def _settle(length, gram):
     """Tuples sorted by gram, context, document: spans that are settled and runs to expand."""
+    bounds = _class_bounds(length, gram)
+
     def work(t):
         kind, g, f, doc, th, a, c = (t.column(k).to_numpy() for k in range(7))
         sp = kind == SPAN
@@ -209,24 +223,35 @@ def _settle(length):
         done = doc > low
         if done.any():
             yield _rows(SPAN, None, None, *_merge(doc[done], th[done], a[done], a[done] + (c[done] & 63) + length - 1))
-        # several contexts of one gram: the smallest document of each context is expanded, if another document agrees
-        # with it on the bytes left or right of the gram
+        # several contexts of one gram: of the smallest document of each context the windows are expanded whose class's bytes another
+        # document has too
         contexts = np.bincount(grp[ff], minlength=len(fg_size))
         wide = np.flatnonzero((~done) & ((contexts[grp] > 1) | anyhot[grp]))
-        if len(wide):
-            near = anyhot[grp[wide]]
-            for shift in (6, 15):
-                side = (c[wide] >> shift) & 511
-                o = np.lexsort((side, grp[wide]))
-                gs, ss, ds = grp[wide][o], side[o], doc[wide][o]
-                new = np.ones(len(o), dtype=bool)
-                new[1:] = (gs[1:] != gs[:-1]) | (ss[1:] != ss[:-1])
-                f0 = np.flatnonzero(new)
-                several = (np.minimum.reduceat(ds, f0) != np.maximum.reduceat(ds, f0)) & (ss[f0] > 0)
-                near[o] |= np.repeat(several, np.diff(np.append(f0, len(o))))
-            wide = wide[near]
-        if len(wide):
-            yield _rows(EXPAND, None, None, doc[wide], th[wide], a[wide], c[wide] & 63)
+        if not len(wide):
+            return
+        grp, doc, th, a, c = (x[wide] for x in (grp, doc, th, a, c))
+        whole = anyhot[grp]
+        if whole.any():
+            yield _rows(EXPAND, None, None, doc[whole], th[whole], a[whole], c[whole] & 63)
+        near = np.zeros((CLASSES + 2, len(grp)), dtype=bool)  # a class without windows before the first and after the last
+        for k in range(CLASSES):
+            key = (c >> (_KEYS + _KBITS * k)) & ((1 << _KBITS) - 1)
+            o = np.lexsort((key, grp))
+            gs, ks, ds = grp[o], key[o], doc[o]
+            new = np.ones(len(o), dtype=bool)
+            new[1:] = (gs[1:] != gs[:-1]) | (ks[1:] != ks[:-1])
+            f0 = np.flatnonzero(new)
+            several = (np.minimum.reduceat(ds, f0) != np.maximum.reduceat(ds, f0)) & (ks[f0] > 0)
+            near[k + 1, o] = np.repeat(several, np.diff(np.append(f0, len(o))))
+        near &= ~whole
+        first, gram_at = a, a + ((c >> 6) & 63)
+        last = a + (c & 63) - 1
+        for i in range(CLASSES):  # neighbouring classes of a run stay one run
+            for j in range(i, CLASSES):
+                x = np.flatnonzero(near[i + 1:j + 2].all(axis=0) & ~near[i] & ~near[j + 2])
+                if len(x):
+                    lo, hi = np.maximum(first[x], gram_at[x] - (bounds[j + 1] - 1)), np.minimum(last[x], gram_at[x] - bounds[i])
+                    yield _rows(EXPAND, None, None, doc[x], th[x], lo, hi - lo + 1)
 
     def run(batches):
         import pyarrow as pa
@@ -268,8 +293,9 @@ def _lowest(parts, length):
     if done.any():
         d, t, s, e = _merge(doc[done], th[done], a[done], a[done] + length)
         yield from _window_rows(mix64(d.astype(np.uint64)).view(np.int64), d, t, s, e)
-    k = ~done
-    yield from _window_rows(w[k], doc[k], th[k], a[k], np.zeros(int(k.sum()), dtype=np.int64))
+    k = np.flatnonzero(~done)
+    k = k[np.lexsort((a[k], th[k], doc[k]))]  # neighbouring rows are alike and pack better
+    yield from _window_rows(w[k], doc[k], th[k], a[k], np.zeros(len(k), dtype=np.int64))
 
 
 def _expand(length, most=HELD):
@@ -360,7 +386,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # rows that repeat an id are told apart by their text
     src = src.withColumn("th", F.xxhash64("text") if repeats else F.lit(0).cast("long")).select("doc", "th", "text")
     runs = src.where("doc IS NOT NULL").mapInArrow(_scan(length, gram, max(64, GROUP // max(1, src.rdd.getNumPartitions()))), COLS)
-    found = stage(runs.repartition("g").sortWithinPartitions("g").mapInArrow(_settle(length), COLS).select("kind", "doc", "th", "a", "b"), "sfx-found")
+    found = stage(runs.repartition("g").sortWithinPartitions("g").mapInArrow(_settle(length, gram), COLS).select("kind", "doc", "th", "a", "b"), "sfx-found")
     del runs
     free_shuffles(spark)
 

@@ -161,3 +161,32 @@ def test_windows_meet_once():
     got = [b for b in suffixes._marked(length)(t.to_batches(max_chunksize=7))]
     rows = [r for b in got for r in b.to_pylist()]
     assert {(r["doc"], r["a"]) for r in rows} == want and all(r["b"] == r["a"] + length for r in rows) and len(rows) == len(want)
+
+
+def test_only_windows_near_another_document_are_expanded():
+    """All equal windows of different documents are settled or expanded; those that agree on a part of a window alone are not."""
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    word = lambda n: bytes(rnd.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    shared = [word(33) for _ in range(40)]  # too short for a window
+    long = [word(70) for _ in range(5)]
+    texts = [b"".join(word(rnd.randint(10, 60)) + rnd.choice(shared + long) for _ in range(20)) for _ in range(60)]
+    off = np.cumsum([0] + [len(t) for t in texts])
+    row, a, c, g, f = suffixes.runs_of(np.frombuffer(b"".join(texts), dtype=np.uint8), off)
+    f = (f & np.uint64((1 << suffixes._FBITS) - 1)).astype(np.int64) << 1
+    o = np.argsort(g.view(np.int64), kind="stable")
+    t = suffixes._rows(suffixes.OPEN, g.view(np.int64)[o], f[o], row[o], row[o] * 0, a[o], c[o])
+    got, n = set(), 0
+    for b in suffixes._settle(50, 12)(pa.Table.from_batches([t]).to_batches(max_chunksize=500)):
+        for r in b.to_pylist():
+            starts = range(r["a"], r["a"] + r["b"]) if r["kind"] == suffixes.EXPAND else range(r["a"], r["b"] - 49)
+            n += len(starts) if r["kind"] == suffixes.EXPAND else 0
+            got |= {(r["doc"], i) for i in starts}
+    low, twice = {}, set()
+    for d, x in enumerate(texts):
+        for i in range(len(x) - 49):
+            if low.setdefault(x[i:i + 50], d) < d:
+                twice |= {(d, i)}
+    assert twice and twice <= got
+    assert n < 2.5 * len(twice)
