@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fpengine.llm.common import (connected_components, discard, free_shuffles, lower_bytes, mix64, prefix_hash, range_hash,
-                                 spark_of, stage, text_blocks, word_spans)
+                                 small_batches, spark_of, stage, text_blocks, word_spans)
 from fpengine.operators.windows import distributed_row_number
 
 WORDS = 5
@@ -42,7 +42,7 @@ SEEN_IN_TASK, FREQUENT = 5, 32
 #: rows of a tile's side
 TILE = 1024
 #: bytes of text that a kernel works on at once: its arrays take about a hundred times as much
-TEXTS = 400_000
+TEXTS = 200_000
 #: least number of bits an element has in the bitmaps that travel with pairs and members of tiles (many rows a document)
 BITS = 4
 
@@ -345,6 +345,11 @@ def _tiles(num, den):
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
                        num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
+    with small_batches(spark_of(docs)):  # everything in it is staged before it ends
+        return _similar_components(docs, doc_id, text, words, num, den)
+
+
+def _similar_components(docs: DataFrame, doc_id: str, text: str, words: int, num: int, den: int) -> DataFrame:
     spark = spark_of(docs)
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     scan = stage(src.mapInArrow(_scan(words), "doc_id long, n long, f1 long, f2 long, slot long, seen long"), "jac-scan")
