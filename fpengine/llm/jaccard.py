@@ -29,8 +29,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fpengine.llm.common import (connected_components, discard, free_shuffles, lower_bytes, mix64, prefix_hash, range_hash,
-                                 small_batches, spark_of, stage, text_blocks, word_spans)
+from fpengine.llm.common import (connected_components, discard, free_shuffles, lower_bytes, mix64, packed, prefix_hash, range_hash,
+                                 small_batches, small_broadcasts, spark_of, stage, text_blocks, word_spans)
 from fpengine.operators.windows import distributed_row_number
 
 WORDS = 5
@@ -101,9 +101,10 @@ def _scan(words):
                     [ids.slice(at, rows), pa.array([len(u) for u in sets], type=pa.int64()), pa.array(f1), pa.array(f2),
                      pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names=["doc_id", "n", "f1", "f2", "slot", "seen"])
         hit = np.flatnonzero(count >= SEEN_IN_TASK)
-        if len(hit):
-            none = pa.nulls(len(hit), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(hit), pa.array(count[hit].astype(np.int64))],
+        for i in range(0, len(hit), 100_000):  # a large task has seen every slot
+            some = hit[i:i + 100_000]
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(some), pa.array(count[some].astype(np.int64))],
                                              names=["doc_id", "n", "f1", "f2", "slot", "seen"])
     return run
 
@@ -218,10 +219,8 @@ def id_bitmap(need: DataFrame):
     """A broadcast bitmap of the ids (long, not null) of a staged table: 16 bits per id, 8 MB at most whatever their number. It
     never misses an id but holds others too, so an exact join follows; it only keeps texts that nobody asks for out of the work."""
     width = 1 << min(26, max(16, int(16 * need.count()).bit_length()))
-    got = need.mapInArrow(_bits(width), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words = np.zeros(width // 64, dtype=np.int64)
-    words[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
-    return spark_of(need).sparkContext.broadcast(words.tobytes())
+    got = need.mapInArrow(_bits(width), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return spark_of(need).sparkContext.broadcast(packed(got, "word", "bits", "<i8", width // 64).tobytes())
 
 
 def _sets(words, wanted, per):
@@ -345,7 +344,7 @@ def _tiles(num, den):
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
                        num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
-    with small_batches(spark_of(docs)):  # everything in it is staged before it ends
+    with small_batches(spark_of(docs)), small_broadcasts(docs.sparkSession):  # everything in it is staged before it ends
         return _similar_components(docs, doc_id, text, words, num, den)
 
 
@@ -356,9 +355,8 @@ def _similar_components(docs: DataFrame, doc_id: str, text: str, words: int, num
     rows = scan.where("slot IS NULL")
 
     # the order's table: at most SLOTS small numbers
-    seen = scan.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= FREQUENT).toPandas()
-    level = np.zeros(SLOTS, dtype=np.uint8)
-    level[seen["slot"].to_numpy(dtype=np.int64)] = np.log2(seen["seen"].to_numpy(dtype=np.float64)).astype(np.uint8)
+    seen = scan.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= FREQUENT)
+    level = packed(seen.select("slot", F.floor(F.log2("seen")).alias("level")), "slot", "level", "u1", SLOTS)
     level_of = spark.sparkContext.broadcast(level.tobytes())
 
     # equal sets collapse; repeated ids with different sets stay apart until the end
@@ -371,6 +369,7 @@ def _similar_components(docs: DataFrame, doc_id: str, text: str, words: int, num
     named = src.where("doc_id IS NOT NULL")
     pre = named.mapInArrow(_prefixes(level_of, words, num, den), "doc_id long, n long, pre array<long>")
     pre = stage(one(pre.where("n > 0").join(reps, ["doc_id", "n"], "left_semi")), "jac-prefix")
+    level_of.destroy()
     free_shuffles(spark)
     # one shuffle finds the groups and their members: the first row of a group is its smallest document
     keyed = pre.select(F.explode("pre").alias("h"), F.col("doc_id").alias("doc"))
@@ -390,9 +389,11 @@ def _similar_components(docs: DataFrame, doc_id: str, text: str, words: int, num
         """Arrays or bitmaps (``per`` bits an element) of the sets of the documents of ``need`` (doc_id). Texts are not shuffled; only sets are."""
         need = stage(need.distinct(), "jac-need")
         col = "bits" if per else "arr"
-        sets = named.mapInArrow(_sets(words, id_bitmap(need), per), f"doc_id long, n long, {col} binary").where("n > 0")
+        wanted = id_bitmap(need)
+        sets = named.mapInArrow(_sets(words, wanted, per), f"doc_id long, n long, {col} binary").where("n > 0")
         sets = sets.join(need, "doc_id", "left_semi")
         sets = stage(one(sets.join(reps, ["doc_id", "n"], "left_semi")) if repeats else sets, f"jac-{col}")
+        wanted.destroy()
         discard(need)
         free_shuffles(spark)
         return sets

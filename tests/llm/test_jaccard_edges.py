@@ -65,3 +65,41 @@ def test_bitmaps_of_half_the_width_lose_no_link():
         assert all(len(x) <= jaccard.BITS * n / 4 for x in sig)
         a, b = jaccard.tile_pairs(np.array([1, 2]), np.array([len(u), len(v)]), np.array([1, 2]), np.array([0, 0]), sig, False)
         assert sorted([*a.tolist(), *b.tolist()]) == [1, 2]
+
+
+def test_driver_gets_no_row_per_slot(spark, monkeypatch):
+    """Counts and bitmaps reach the driver as segments of an array, broadcasts go with their plan, and joins broadcast small sides alone."""
+    from fpengine.llm import common
+
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*base[:78], f"x{i}", f"y{i % 3}"])) for i in range(40)] + [(90, "other words stand alone here now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sent, limits = [], []
+    real, write = type(spark.sparkContext).broadcast, jaccard.stage
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(type(docs), "toPandas", lambda df: 1 / 0)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, x: sent.append(real(sc, x)) or sent[-1])
+    monkeypatch.setattr(jaccard, "stage", lambda df, tag: limits.append(common._bytes(spark.conf.get(key))) or write(df, tag))
+    got = {r.doc_id: r.component_id for r in similar_components(docs).collect()}
+    assert got == {**{i: 0 for i in range(40)}, 90: 90}
+    assert sent and all(b._jbroadcast is not None and not b._jbroadcast.isValid() for b in sent)
+    assert max(limits) <= 1 << 20 and spark.conf.get(key) == before
+
+
+def test_packed_rows_are_the_array(spark):
+    from fpengine.llm import common
+
+    rows = [(3, 7), (8191, 1), (8192, 2), (40_000, 9)]
+    got = common.packed(spark.createDataFrame(rows, "k long, v long"), "k", "v", "<i8", 40_001)
+    assert len(got) == 40_001 and {(int(k), int(got[k])) for k in np.flatnonzero(got)} == set(rows)
+    assert not common.packed(spark.createDataFrame([], "k long, v long"), "k", "v", "u1", 64).any()
+    assert [common._bytes(x) for x in ("10485760b", "256k", "10MB", "-1", "1g")] == [10485760, 262144, 10485760, -1, 1 << 30]
+
+
+def test_a_task_that_saw_every_slot_gives_small_batches(monkeypatch):
+    monkeypatch.setattr(jaccard, "SEEN_IN_TASK", 1)
+    text = " ".join(f"w{i}" for i in range(250_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+    out = list(jaccard._scan(5)([batch]))
+    assert max(b.num_rows for b in out) <= 100_000 and sum(b.num_rows for b in out) > 200_000
